@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import byte_bpe
+from lakewright.llm import byte_bpe, token_store
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,16 @@ def register(function):
     return function
 
 
+#: What op4 appends to each document.
+END_ID = 2
+
+
+@register
+def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return token_store.store_and_read(docs, TOKENIZER, end_id=END_ID, id_width=2).drop("ids")
+
+
 @register
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
