@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import byte_bpe, token_store
+from lakewright.llm import byte_bpe, language_id, token_store
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def register(function):
     return function
 
 
+@register
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
 #: What op4 appends to each document.
 END_ID = 2
 
