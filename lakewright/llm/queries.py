@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import byte_bpe, language_id, token_store
+from lakewright.llm import byte_bpe, language_id, quality, token_store, toxicity
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents", "doc_id", "text", "lang"))
 
 
+@register
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return toxicity.score_documents(docs, table(spark, folder, "labels", "doc_id", "toxic"))
+
+
 #: What op4 appends to each document.
 END_ID = 2
 
@@ -41,3 +47,9 @@ def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     return byte_bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, ids=False)
+
+
+@register
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return quality.score_documents(docs, table(spark, folder, "labels", "doc_id", "quality", "toxic"))
