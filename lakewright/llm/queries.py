@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import byte_bpe, language_id, media, quality, token_store, toxicity
+from lakewright.llm import byte_bpe, html_text, language_id, media, quality, token_store, toxicity
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     return quality.score_documents(docs, table(spark, folder, "labels", "doc_id", "quality", "toxic"))
+
+
+@register
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, folder, "pages", "page_id", "url", "html"))
