@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import byte_bpe, html_text, language_id, media, quality, token_store, toxicity
+from lakewright.llm import byte_bpe, decontaminate, html_text, language_id, media, quality, token_store, toxicity
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def op6_media(spark: SparkSession, folder: str) -> DataFrame:
     return media.media_of_texts(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@register
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, folder, "benchmark", "item_id", "text")).drop("h", "hit_items", "spans")
+
+
 @register
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
