@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import byte_bpe, decontaminate, html_text, language_id, media, quality, token_store, toxicity
+from lakewright.llm import byte_bpe, decontaminate, html_text, language_id, media, quality, simhash, token_store, toxicity
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.store_and_read(docs, TOKENIZER, public_tokenizers.PATTERN, end_id=END_ID, id_width=2, ids=False)
 
 
+@register
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @register
 def op6_media(spark: SparkSession, folder: str) -> DataFrame:
     return media.media_of_texts(table(spark, folder, "documents", "doc_id", "text"))
