@@ -101,7 +101,7 @@ def find_hits(docs: DataFrame, found: DataFrame, key: str, text: str, *, broadca
     source = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), words(text).alias("w"))
     if broadcast:
         marked = source.select("key", "h", F.concat(F.array(F.lit(MARK)), "w").alias("w")).select("key", "h", "w", F.posexplode_outer("w").alias("p", "word"))
-        mark = found.sparkSession.createDataFrame([(MARK,)], "word string")
+        mark = found.sparkSession.range(1).select(F.lit(MARK).alias("word"))
         table = found.unionByName(mark, allowMissingColumns=True)
         joined = marked.join(F.broadcast(table), "word").select("key", "h", (F.size("w") - 1).alias("n_words"), (F.col("p") - 1 - F.col("at")).alias("base"), "w", "span", "starts", "size", "items")
         near = joined.select("key", "h", "n_words", "base", F.slice("w", F.greatest("base", F.lit(0)) + 2, F.size("span") + F.least("base", F.lit(0))).alias("around"), "span", "starts", "size", "items")
