@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import space_pieces
+from lakewright.llm.common import PieceEncoder
 
-#: Entries of a worker's memory of pieces that it has encoded; it is emptied when full.
-MEMORY_ENTRIES = 400_000
+#: Entries of each generation of a worker's memory of what it has encoded.
+MEMORY_ENTRIES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,26 +87,35 @@ class PerfectHash:
 
 
 def merge_bytes(piece: bytes, rank) -> list[int]:
-    """Ids of one pre-token: always the lowest-ranked neighbouring pair first, leftmost among equals."""
+    """Ids of one pre-token: always the lowest-ranked neighbouring pair first, leftmost among equals.
+
+    Parts are linked by where they end and by the part before them; a heap holds (rank, start, end) of pairs, and
+    an entry is stale if no pair of living parts spans it any more.
+    """
     n = len(piece)
-    following, preceding, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = []
+    for i in range(n - 1):
+        if (r := rank(piece[i : i + 2])) is not None:
+            heap.append((r, i, i + 2))
     heapify(heap)
-    alive = bytearray(b"\x01") * n
     while heap:
         _, left, stop = heappop(heap)
-        if not alive[left] or (right := following[left]) >= n or end[right] != stop:
-            continue  # one of the two has been merged meanwhile
-        alive[right] = 0
-        end[left] = stop
-        after = following[left] = following[right]
-        if after < n:
-            preceding[after] = left
-            if (r := rank(piece[left : end[after]])) is not None:
-                heappush(heap, (r, left, end[after]))
-        if (before := preceding[left]) >= 0 and (r := rank(piece[before:stop])) is not None:
-            heappush(heap, (r, before, stop))
-    return [rank(piece[i : end[i]]) for i in range(n) if alive[i]]
+        middle = end[left]  # 0 if the part at left was merged away
+        if not middle or middle >= n or end[middle] != stop:
+            continue
+        end[left], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = left
+            if (r := rank(piece[left : end[stop]])) is not None:
+                heappush(heap, (r, left, end[stop]))
+        if (lower := before[left]) >= 0 and (r := rank(piece[lower:stop])) is not None:
+            heappush(heap, (r, lower, stop))
+    ids, at = [], 0
+    while at < n:
+        ids.append(rank(piece[at : end[at]]))
+        at = end[at]
+    return ids
 
 
 class Codec:
@@ -114,36 +124,16 @@ class Codec:
     def __init__(self, hashed: PerfectHash, pattern: str):
         self.table = hashed
         self.token = dict(zip(hashed.values, hashed.keys, strict=True))
-        self.split = regex.compile(pattern).findall
-        self.inner: dict[str, bytes] = {}
-        self.outer: dict[str, bytes] = {}
+        self.rank = dict(zip(hashed.keys, hashed.values, strict=True)).get
+        self.encode = PieceEncoder(regex.compile(pattern).findall, self._encode_new, MEMORY_ENTRIES).encode
 
     def pretoken(self, piece: bytes) -> list[int]:
+        """Tier one, or else tier two."""
         whole = self.table.get(piece)
-        return [whole] if whole is not None else merge_bytes(piece, self.table.get)
-
-    def _encode_piece(self, piece: str) -> bytes:
-        ids = [i for match in self.split(piece) for i in self.pretoken(match.encode())]
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        pieces = space_pieces(text)
-        if len(self.inner) + len(self.outer) > MEMORY_ENTRIES:
-            self.inner.clear()
-            self.outer.clear()
-        first = self.outer.get(pieces[0])
-        if first is None:
-            first = self.outer[pieces[0]] = self._encode_piece(pieces[0])
-        known = self.inner
-        found = [first, *map(known.get, pieces[1:])]
-        if None in found:
-            for at, ids in enumerate(found):
-                if ids is None:
-                    piece = pieces[at]
-                    if piece not in known:
-                        known[piece] = self._encode_piece(" " + piece)
-                    found[at] = known[piece]
-        return b"".join(found)
+        return [whole] if whole is not None else merge_bytes(piece, self.rank)
+
+    def _encode_new(self, pretokens: list[str]) -> list[bytes]:
+        return [pack(f"<{len(ids)}I", *ids) for ids in map(self.pretoken, map(str.encode, pretokens))]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -166,7 +156,7 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            encoded = [codec.encode(x or "") for x in batch.column(1).to_pylist()]
+            encoded = list(codec.encode([x or "" for x in batch.column(1).to_pylist()]))
             back = [codec.decode(x) for x in encoded]
             out = [
                 batch.column(0),

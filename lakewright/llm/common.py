@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakewright.session import ensure_checkpoint_dir
 
@@ -50,3 +52,69 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few longs each up to which a side of a join is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if a count finds it small; else as it is, to be joined by shuffle. df should be materialised."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+class Recent:
+    """A bounded memory of computed values in two generations: when the younger is full it becomes the older, and
+    what is asked for again moves to the younger. Values are never None."""
+
+    def __init__(self, compute: Callable[[list], list], entries: int = 300_000):
+        self.compute, self.entries = compute, entries
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def __call__(self, keys: list) -> list:
+        """The values of keys; those that aren't known are computed together, each once."""
+        young = self.young
+        found = list(map(young.get, keys))
+        if None in found:
+            missing = []
+            for key, value in zip(keys, found, strict=True):
+                if value is None and key not in young:
+                    if (older := self.old.get(key)) is not None:
+                        young[key] = older
+                    else:
+                        missing.append(key)
+            if missing:
+                missing = list(dict.fromkeys(missing))
+                young.update(zip(missing, self.compute(missing), strict=True))
+            found = list(map(young.__getitem__, keys))
+            if len(young) > self.entries:
+                self.old, self.young = young, {}
+        return found
+
+
+class PieceEncoder:
+    """Encodes texts through two bounded memories: of pieces between spaces, and of the pre-tokens in pieces.
+
+    `split` cuts a piece into pre-tokens and `encode_new(list of pre-tokens)` gives each one's ids as bytes. What a
+    memory holds is what a fresh computation would give, so results don't depend on what was seen before.
+    """
+
+    def __init__(self, split: Callable[[str], list[str]], encode_new: Callable[[list[str]], list[bytes]], entries: int):
+        self.split = split
+        self.tokens = Recent(encode_new, entries)
+        self.first = Recent(lambda pieces: self._join(pieces, ""), entries // 8)
+        self.later = Recent(lambda pieces: self._join(pieces, " "), entries)
+
+    def _join(self, pieces: list[str], lead: str) -> list[bytes]:
+        cut = [self.split(lead + piece) for piece in pieces]
+        flat = iter(self.tokens([token for tokens in cut for token in tokens]))
+        return [b"".join(islice(flat, len(tokens))) for tokens in cut]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 200):
+            cut = [space_pieces(x) for x in texts[at : at + 200]]
+            heads = self.first([pieces[0] for pieces in cut])
+            rest = iter(self.later([x for pieces in cut for x in pieces[1:]]))
+            for head, pieces in zip(heads, cut, strict=True):
+                yield head + b"".join(islice(rest, len(pieces) - 1))
