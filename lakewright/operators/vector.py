@@ -54,3 +54,46 @@ def vector_search(
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
     return scored.orderBy(F.desc_nulls_last("score"), F.asc(key)).limit(limit)
+
+
+def batch_knn(queries: DataFrame, rows: DataFrame, *, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 1024, digits: int = 6) -> DataFrame:
+    """Exact nearest rows of every query by cosine: (query_id, key, score, place).
+
+    Queries are cut into blocks of `block` vectors; every block meets every row batch in one matrix product, and
+    each batch passes on k rows a query only, which a window then ranks. Blocks, not all queries, are in memory.
+    """
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("q"))
+    numbered = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-q.count() // block)))))
+    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("members"))
+    parts = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("row_id"), F.col(vector).cast("array<float>").alias("v"))
+    batches = (
+        parts.withColumn("batch", F.pmod(F.xxhash64("row_id"), F.lit(max(1, -(-parts.count() // 4096)))))
+        .groupBy("batch")
+        .agg(F.collect_list(F.struct("row_id", "v")).alias("rows"))
+    )
+
+    def run(frames):
+        for frame in frames:
+            for members, found in zip(frame.members, frame.rows, strict=True):
+                yield _nearest(members, found, k, digits)
+
+    met = blocks.select("members").crossJoin(batches.select("rows"))
+    near = met.mapInPandas(run, "query_id long, row_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
+    ranked = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    return ranked.select("query_id", F.col("row_id").alias(key), "score", "place")
+
+
+def _nearest(members, found, k: int, digits: int):
+    import numpy as np
+    import pandas as pd
+
+    a = np.array([np.asarray(m["q"], float) for m in members])
+    b = np.array([np.asarray(r["v"], float) for r in found])
+    query_ids, row_ids = np.array([m["query_id"] for m in members]), np.array([r["row_id"] for r in found])
+    scores = np.round((a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T, digits)
+    scores[query_ids[:, None] == row_ids[None, :]] = -np.inf
+    order = np.lexsort((np.broadcast_to(row_ids, scores.shape), -scores), axis=1)[:, :k]
+    rows = np.arange(len(members))[:, None]
+    out = pd.DataFrame({"query_id": np.repeat(query_ids, order.shape[1]), "row_id": row_ids[order].ravel(), "score": scores[rows, order].ravel()})
+    return out[np.isfinite(out.score)]

@@ -1,47 +1,6 @@
-"""The registered queries of the engine's own operators and their DuckDB equivalents."""
+"""All registered queries; importing the plan modules fills the registry."""
 
-from __future__ import annotations
+from lakewright.plans import relational, vectors  # noqa: F401
+from lakewright.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lakewright.operators import vector
-from lakewright.sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Adds a query under `name`, with its DuckDB SQL where there is one."""
-
-    def add(function):
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return add
-
-
-def probe(spark: SparkSession, folder: str, vec_id: int = 0) -> list[float]:
-    """One stored vector, as a query vector."""
-    found = table(spark, folder, "embeddings", "vec_id", "embedding").where(F.col("vec_id") == vec_id).head()
-    return list(found.embedding)
-
-
-@register(
-    "vector_topk",
-    """
-    SELECT e.vec_id, e.label,
-           round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
-    ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 10
-    """,
-)
-def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "embeddings")
-    found = vector.vector_search(rows, probe(spark, folder), limit=10)
-    return found.select("vec_id", "label", F.round("score", 6).alias("score"))
+__all__ = ["ORACLES", "QUERIES"]
