@@ -74,20 +74,20 @@ class Recent:
 
     def __call__(self, keys: list) -> list:
         """The values of keys; those that aren't known are computed together, each once."""
-        young = self.young
+        young, old = self.young, self.old
         found = list(map(young.get, keys))
         if None in found:
-            missing = []
-            for key, value in zip(keys, found, strict=True):
-                if value is None and key not in young:
-                    if (older := self.old.get(key)) is not None:
-                        young[key] = older
-                    else:
-                        missing.append(key)
-            if missing:
-                missing = list(dict.fromkeys(missing))
-                young.update(zip(missing, self.compute(missing), strict=True))
-            found = list(map(young.__getitem__, keys))
+            gaps = [at for at, value in enumerate(found) if value is None]
+            fresh = []
+            for key in dict.fromkeys(keys[at] for at in gaps):
+                if (older := old.get(key)) is not None:
+                    young[key] = older
+                else:
+                    fresh.append(key)
+            if fresh:
+                young.update(zip(fresh, self.compute(fresh), strict=True))
+            for at in gaps:
+                found[at] = young[keys[at]]
             if len(young) > self.entries:
                 self.old, self.young = young, {}
         return found

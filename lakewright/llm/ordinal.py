@@ -17,13 +17,15 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lakewright.llm.common import Recent
 
 #: The bound of the sample that a model is fitted on, the feature space, and how many features get a weight.
 FIT_ROWS, BUCKETS, MOST_FEATURES, LEAST_DOCS = 4000, 1 << 18, 600, 5
@@ -66,37 +68,26 @@ def hashed(token: str, reading: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in FEATURES[reading](token)]
 
 
-@dataclass
 class Model:
-    reading: str
-    thresholds: np.ndarray
-    weights: dict[int, float]
-    memory: dict[str, object] = field(default_factory=dict)
+    def __init__(self, reading: str, thresholds: np.ndarray, weights: dict[int, float]):
+        self.reading, self.thresholds, self.weights = reading, thresholds, weights
+        self.look = Recent(self._shares if reading == "share" else self._hits)
 
     def eta(self, text: str) -> float:
         tokens = text.split()
         if not tokens or not self.weights:
             return 0.0
-        if len(self.memory) > 400_000:
-            self.memory.clear()
-        known, look = self.memory, self._share if self.reading == "share" else self._presence
-        try:
-            found = list(map(known.__getitem__, tokens))
-        except KeyError:
-            for token in set(tokens) - known.keys():
-                known[token] = look(token)
-            found = list(map(known.__getitem__, tokens))
         if self.reading == "share":
             repeated = sum(map(eq, tokens, tokens[1:])) * self.weights.get(REPEAT, 0.0)
-            return (sum(found) + repeated) / len(tokens)
-        hits = {i for x in set(found) if x for i in x}
+            return (sum(self.look(tokens)) + repeated) / len(tokens)
+        hits = {i for found in set(self.look(list(set(tokens)))) for i in found}
         return sum(self.weights[i] for i in sorted(hits))
 
-    def _share(self, token: str) -> float:
-        return sum(self.weights.get(i, 0.0) for i in hashed(token, "share"))
+    def _shares(self, tokens: list[str]) -> list[float]:
+        return [sum(self.weights.get(i, 0.0) for i in hashed(token, "share")) for token in tokens]
 
-    def _presence(self, token: str) -> tuple[int, ...] | None:
-        return tuple(i for i in hashed(token, "presence") if i in self.weights) or None
+    def _hits(self, tokens: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(i for i in hashed(token, "presence") if i in self.weights) for token in tokens]
 
     def tails(self, text: str) -> list[float]:
         """P(grade >= 1), P(grade >= 2), ..."""
@@ -219,7 +210,7 @@ def score(docs: DataFrame, model: Model, *, text: str, keep: list[Column]) -> Da
     """The columns of `keep`, then expected (sum of the tails) and tails (array, empty without a model)."""
     kept = docs.select(*keep, F.col(text).alias("_text_"))
     shared = docs.sparkSession.sparkContext.broadcast((model.reading, model.thresholds, model.weights))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("expected", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Model(*shared.value)
@@ -228,4 +219,4 @@ def score(docs: DataFrame, model: Model, *, text: str, keep: list[Column]) -> Da
             arrays = [*batch.columns[:-1], pa.array([float(sum(t)) for t in tails], pa.float64()), pa.array([[float(p) for p in t] for t in tails], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "expected", "tails"])
 
-    return kept.mapInArrow(run, f"{fields}, expected double, tails array<double>")
+    return kept.mapInArrow(run, schema)
