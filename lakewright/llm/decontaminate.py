@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from lakewright.llm.common import materialise
 
 WINDOW = 10
+#: Words of a document that are handled as one row.
+SEGMENT = 64
 #: Bytes of entries, and of the benchmark's vocabulary, up to which they are broadcast.
 BROADCAST_BYTES = 48 << 20
 #: What separates words, after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Stands before a document's words, so that each document leaves one row in the join. No word can equal it.
+#: Stands with a document's first words, so that each document leaves one row in the join. No word can equal it.
 MARK = "\x00"
 
 
@@ -80,44 +82,61 @@ def entries(items: DataFrame, counts: DataFrame) -> DataFrame:
     return merged
 
 
+def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, h, n_words, number, start, near, own): documents cut into SEGMENT words each, own, with the words around
+    them that a window may reach into, near, which begin at document position `start`. A row stays small however long
+    its document is; a document without words has one segment."""
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), words(text).alias("w"))
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("w") / SEGMENT) - 1, F.lit(0)).cast("int"))
+
+    def cut(number: Column) -> Column:
+        start = F.greatest(number * SEGMENT - (WINDOW - 1), F.lit(0))
+        near = F.slice("w", start + 1, F.lit(SEGMENT + 2 * (WINDOW - 1)))
+        return F.struct(number.alias("number"), start.alias("start"), near.alias("near"), F.slice("w", number * SEGMENT + 1, F.lit(SEGMENT)).alias("own"))
+
+    return source.select("key", "h", F.size("w").alias("n_words"), F.explode_outer(F.transform(numbers, cut)).alias("s")).select("key", "h", "n_words", "s.*")
+
+
 def _verified(candidates: DataFrame) -> DataFrame:
-    """Adds `begins`: where windows of the entry begin in the document. Needs base (document position of span[0]),
-    `around` (the document's words from max(base, 0) on, as far as the span reaches) and the entry's columns."""
+    """Candidates whose entry occurs, with `begins`: where its windows begin in the document. Needs base (document
+    position of span[0]), `around` (the document's words there) and the entry's columns. What has no entry stays.
+
+    The test runs in an outer explode, which the optimizer doesn't move into the join: the join stays in generated
+    code, and only candidates, not all words, are ever copied with the words around them.
+    """
     skipped = F.greatest(-F.col("base"), F.lit(0))
     fits = F.filter(
         "starts",
         lambda s: (s >= skipped) & (F.slice("around", s - skipped + 1, F.col("size")) == F.slice("span", s + 1, F.col("size"))),
     )
-    return candidates.withColumn("begins", F.transform(fits, lambda s: s + F.col("base")))
+    hit = F.filter(F.array(F.transform(fits, lambda s: s + F.col("base"))), lambda b: F.size(b) > 0)
+    kept = ["key", "h", "n_words", "size", "items"]
+    return candidates.select(*kept, F.explode_outer(hit).alias("begins")).where("size IS NULL OR begins IS NOT NULL").select("key", "h", "n_words", "begins", "size", "items")
 
 
-def _around(all_words: Column) -> Column:
+def _around() -> Column:
     begin = F.greatest(F.col("base"), F.lit(0))
-    return F.slice(all_words, begin + 1, F.size("span") - (begin - F.col("base")))
+    return F.slice("near", begin - F.col("start") + 1, F.size("span") - (begin - F.col("base")))
 
 
 def find_hits(docs: DataFrame, found: DataFrame, key: str, text: str, *, broadcast: bool) -> DataFrame:
-    """One row for each document (size null) and one for each entry that occurs in it: key, h, n_words, begins, size, items."""
-    source = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), words(text).alias("w"))
+    """One row for each document (size null) and one for each place where an entry occurs: key, h, n_words, begins, size, items."""
+    cut = segments(docs, key, text)
     if broadcast:
-        marked = source.select("key", "h", F.concat(F.array(F.lit(MARK)), "w").alias("w")).select("key", "h", "w", F.posexplode_outer("w").alias("p", "word"))
-        mark = found.sparkSession.range(1).select(F.lit(MARK).alias("word"))
-        table = found.unionByName(mark, allowMissingColumns=True)
-        joined = marked.join(F.broadcast(table), "word").select("key", "h", (F.size("w") - 1).alias("n_words"), (F.col("p") - 1 - F.col("at")).alias("base"), "w", "span", "starts", "size", "items")
-        near = joined.select("key", "h", "n_words", "base", F.slice("w", F.greatest("base", F.lit(0)) + 2, F.size("span") + F.least("base", F.lit(0))).alias("around"), "span", "starts", "size", "items")
-        checked = _verified(near).where(F.col("size").isNull() | (F.size("begins") > 0))
-        return checked.select("key", "h", "n_words", "begins", "size", "items")
+        mark = F.when(F.col("number") == 0, F.array(F.lit(MARK))).otherwise(F.array().cast("array<string>"))
+        spread = cut.select("key", "h", "n_words", "number", "start", "near", F.posexplode_outer(F.concat("own", mark)).alias("p", "word"))
+        table = found.unionByName(found.sparkSession.range(1).select(F.lit(MARK).alias("word")), allowMissingColumns=True)
+        joined = spread.join(F.broadcast(table), "word").withColumn("base", F.col("number") * SEGMENT + F.col("p") - F.col("at"))
+        return _verified(joined.select("key", "h", "n_words", "base", _around().alias("around"), "span", "starts", "size", "items"))
     numbered = found.withColumn("entry", F.xxhash64("word", "at", "span", "starts"))
-    spread = source.select("key", "h", F.posexplode("w").alias("p", "word"))
-    pairs = spread.join(numbered.select("word", "at", "entry"), "word").select("key", "h", (F.col("p") - F.col("at")).alias("base"), "entry").distinct()
-    by_doc = pairs.groupBy("key", "h").agg(F.collect_list(F.struct("base", "entry")).alias("pairs"))
-    full = source.join(by_doc, source.key.eqNullSafe(by_doc.key) & (source.h == by_doc.h), "left").select(source.key, source.h, "w", "pairs")
-    base_rows = full.select("key", "h", F.size("w").alias("n_words"), F.lit(None).cast("array<int>").alias("begins"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("items"))
-    opened = full.where(F.col("pairs").isNotNull()).select("key", "h", "w", F.explode("pairs").alias("pair")).select("key", "h", "w", "pair.*")
-    sized = opened.join(numbered, "entry").where(F.col("base") + F.size("span") > 0)
-    near = sized.select("key", "h", F.size("w").alias("n_words"), "base", _around(F.col("w")).alias("around"), "span", "starts", "size", "items")
-    checked = _verified(near).where(F.size("begins") > 0)
-    return base_rows.unionByName(checked.select("key", "h", "n_words", "begins", "size", "items"))
+    spread = cut.select("key", "h", "number", F.posexplode("own").alias("p", "word"))
+    pairs = spread.join(numbered.select("word", "at", "entry"), "word").select(
+        F.col("key").alias("k"), F.col("h").alias("hash"), F.col("number").alias("at_number"), (F.col("number") * SEGMENT + F.col("p") - F.col("at")).alias("base"), "entry"
+    )
+    same = cut.key.eqNullSafe(F.col("k")) & (cut.h == F.col("hash")) & (cut.number == F.col("at_number"))
+    near = cut.join(pairs.distinct(), same).join(numbered, "entry").select("key", "h", "n_words", "base", _around().alias("around"), "span", "starts", "size", "items")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("begins", "array<int>"), ("size", "int"), ("items", "array<string>"))]
+    return cut.where("number = 0").select("key", "h", "n_words", *none).unionByName(_verified(near))
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast: bool | None = None) -> DataFrame:

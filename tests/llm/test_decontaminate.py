@@ -36,7 +36,7 @@ def case():
     texts = [None, "", "  ", "the " * 40, "ONE!", say(400)]
     for _, body in items[:9]:
         texts += [say(15) + " " + body.upper().replace("É", "É") + " " + say(9), body, (body + ", ") * 3, body[: len(body) // 2]]
-    docs = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (7, texts[8]), (None, texts[9]), (99, say(200_000 // 8) + " one")]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (7, texts[8]), (None, texts[9]), (99, say(5000) + " one")]
     return docs, items
 
 
