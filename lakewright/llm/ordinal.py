@@ -61,6 +61,9 @@ def word_features(token: str) -> list[str]:
     return [f"word:{word}", *(f"begin{n}:{word[:n]}" for n in (4, 5, 6) if len(word) > n)] if word else []
 
 
+#: A rated document: its grade, its features in order, and their values.
+Row = tuple[int, np.ndarray, np.ndarray]
+
 FEATURES = {"share": style_features, "presence": word_features}
 
 
@@ -107,8 +110,8 @@ def count_features(text: str, reading: str) -> dict[int, float]:
     return dict(counts)
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, rating: Column, *, key: str, text: str, reading: str) -> list[tuple[int, dict[int, float]]]:
-    """(rating, features) of at most FIT_ROWS rated documents. The ids are picked first, from the ratings alone, and
+def rated_sample(docs: DataFrame, ratings: DataFrame, rating: Column, *, key: str, text: str, reading: str) -> list[Row]:
+    """(rating, feature ids, values) of at most FIT_ROWS rated documents. The ids are picked first, from the ratings alone, and
     that bounded list is broadcast, so no text is shuffled."""
     picked = (
         ratings.where(F.col(key).isNotNull() & rating.isNotNull())
@@ -127,47 +130,45 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, rating: Column, *, key: st
 
     joined = docs.select(F.col(key).alias("_key_"), F.col(text).alias("_text_")).join(F.broadcast(chosen), "_key_").where("_text_ IS NOT NULL")
     found = joined.select("_rating_", "_text_").mapInArrow(run, "rating int, ids array<int>, values array<float>")
-    rows = [(r.rating, dict(zip(r.ids, r["values"], strict=True))) for r in found.collect()]
-    return sorted(rows, key=lambda row: (row[0], sorted(row[1].items())))
-
-
-def select_features(rows: list[tuple[int, dict[int, float]]]) -> list[int]:
-    """Features of at least LEAST_DOCS documents that move with the grade most (by the z of a rank-free correlation)."""
-    grades = np.array([g for g, _ in rows], float)
-    centred = grades - grades.mean()
-    n, scale = len(rows), max(grades.std(), 1e-9)
-    docs: Counter[int] = Counter()
-    first: Counter[int] = Counter()
-    second: Counter[int] = Counter()
-    cross: Counter[int] = Counter()
-    for c, (_, values) in zip(centred.tolist(), rows, strict=True):
-        for i, v in values.items():
-            docs[i] += 1
-            first[i] += v
-            second[i] += v * v
-            cross[i] += c * v
-    strength = {}
-    for i, d in docs.items():
-        spread = second[i] / n - (first[i] / n) ** 2
-        if d >= LEAST_DOCS and spread > 1e-12:
-            strength[i] = abs(cross[i] / n) / (spread**0.5 * scale) * n**0.5
-    return sorted((i for i in strength if strength[i] >= 4), key=lambda i: (-strength[i], i))[:MOST_FEATURES]
-
-
-def fit(rows: list[tuple[int, dict[int, float]]], reading: str, grades: int) -> Model:
+    rows = []
+    for r in found.toLocalIterator():
+        ids, values = np.array(r.ids, np.int32), np.array(r["values"], np.float32)
+        order = np.argsort(ids)
+        rows.append((r.rating, ids[order], values[order]))
+    return sorted(rows, key=lambda row: (row[0], row[1].tobytes(), row[2].tobytes()))
+
+
+def select_features(rows: list[Row]) -> list[int]:
+    """Features of at least LEAST_DOCS documents that move with the grade most (by the z of their correlation)."""
+    grades = np.array([row[0] for row in rows], float)
+    centred, n, scale = grades - grades.mean(), len(rows), max(grades.std(), 1e-9)
+    docs, first, second, cross = (np.zeros(BUCKETS) for _ in range(4))
+    for c, (_, ids, values) in zip(centred, rows, strict=True):
+        docs[ids] += 1
+        first[ids] += values
+        second[ids] += values.astype(float) ** 2
+        cross[ids] += c * values
+    spread = second / n - (first / n) ** 2
+    usable = np.flatnonzero((docs >= LEAST_DOCS) & (spread > 1e-12))
+    strength = np.abs(cross[usable] / n) / (np.sqrt(spread[usable]) * scale) * n**0.5
+    kept = [(-z, i) for z, i in zip(strength.tolist(), usable.tolist(), strict=True) if z >= 4]
+    return [i for _, i in sorted(kept)[:MOST_FEATURES]]
+
+
+def fit(rows: list[Row], reading: str, grades: int) -> Model:
     """Adam on the penalised likelihood over standardised columns; a model without thresholds if only one grade occurs."""
-    if len({g for g, _ in rows}) < 2:
+    if len({row[0] for row in rows}) < 2:
         return Model(reading, np.zeros(0), {})
     chosen = select_features(rows)
-    column = {i: at for at, i in enumerate(chosen)}
+    column = np.full(BUCKETS, -1)
+    column[chosen] = np.arange(len(chosen))
     x = np.zeros((len(rows), len(chosen)), np.float64)
-    for at, (_, values) in enumerate(rows):
-        for i, v in values.items():
-            if i in column:
-                x[at, column[i]] = v
+    for at, (_, ids, values) in enumerate(rows):
+        places = column[ids]
+        x[at, places[places >= 0]] = values[places >= 0]
     scale = np.maximum(x.std(0), 1e-9)
     x /= scale
-    y = np.array([g for g, _ in rows])
+    y = np.array([row[0] for row in rows])
     levels = grades - 1
     below = np.clip([(y <= k).mean() for k in range(levels)], 1e-3, 1 - 1e-3)
     start = np.log(below / (1 - below))

@@ -24,8 +24,8 @@ def grade() -> Column:
 
 def fit(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str = "text") -> ordinal.Model:
     rows = ordinal.rated_sample(docs, ratings, grade(), key=key, text=text, reading="share")
-    present = sorted({g for g, _ in rows})
-    return ordinal.fit([(present.index(g), v) for g, v in rows], "share", len(present))
+    present = sorted({row[0] for row in rows})
+    return ordinal.fit([(present.index(g), ids, values) for g, ids, values in rows], "share", len(present))
 
 
 def score_documents(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5, keep: list[Column] | None = None) -> DataFrame:

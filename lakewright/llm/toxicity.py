@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from statistics import median
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,26 +21,27 @@ from lakewright.llm import ordinal
 GRADES = 3
 
 
-def graded(rows: list[tuple[int, dict[int, float]]]) -> list[tuple[int, dict[int, float]]]:
+def graded(rows: list[ordinal.Row]) -> list[ordinal.Row]:
     """0/1 ratings to severity grades 0, 1, 2."""
-    if len({g for g, _ in rows}) < 2:
+    if len({row[0] for row in rows}) < 2:
         return rows
-    marks = set()
-    toxic = [set(values) for g, values in rows if g]
-    clean = [set(values) for g, values in rows if not g]
-    for i in ordinal.select_features(rows):
-        if sum(i in v for v in toxic) / len(toxic) > 4 * sum(i in v for v in clean) / len(clean):
-            marks.add(i)
-    hits = [len(v & marks) for v in toxic]
-    middle = max(1, median(hits))
-    return [(0 if not g else 2 if len(set(v) & marks) >= middle else 1, v) for g, v in rows]
+    in_toxic, in_clean = np.zeros(ordinal.BUCKETS), np.zeros(ordinal.BUCKETS)
+    for g, ids, _ in rows:
+        (in_toxic if g else in_clean)[ids] += 1
+    toxic = sum(1 for row in rows if row[0])
+    marks = np.zeros(ordinal.BUCKETS, bool)
+    marks[ordinal.select_features(rows)] = True
+    marks &= in_toxic / toxic > 4 * in_clean / (len(rows) - toxic)
+    hits = [int(marks[ids].sum()) for _, ids, _ in rows]
+    middle = max(1, median(h for h, row in zip(hits, rows, strict=True) if row[0]))
+    return [(0 if not g else 2 if h >= middle else 1, ids, values) for h, (g, ids, values) in zip(hits, rows, strict=True)]
 
 
 def score_documents(docs: DataFrame, ratings: DataFrame, *, rating: str = "toxic", key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Per row: key, toxic (P(severity >= 1) reaches the threshold), expected_severity, p_toxic, p_severe."""
     rows = ordinal.rated_sample(docs, ratings, F.col(rating), key=key, text=text, reading="presence")
     rows = graded(rows)
-    model = ordinal.fit(rows, "presence", max((g for g, _ in rows), default=0) + 1)
+    model = ordinal.fit(rows, "presence", max((row[0] for row in rows), default=0) + 1)
     scored = ordinal.score(docs, model, text=text, keep=[F.col(key)])
     first, second = (F.coalesce(F.get("tails", F.lit(k)), F.lit(0.0)) for k in (0, 1))
     return scored.select(
