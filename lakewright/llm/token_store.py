@@ -17,70 +17,63 @@ store; rows that repeat a doc_id are stored one after another, in the order of t
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import scratch_path, space_pieces
+from lakewright.llm.common import PieceEncoder, scratch_path
 
 #: Documents, in the order of a hash of their id, on whose ids the dictionary is trained.
 DICTIONARY_DOCS = 400
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 #: A block is closed at so many bytes of frames or documents.
-BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
+BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 1024
 #: Texts' bytes that a shard aims at.
 SHARD_BYTES = 64 << 20
-MEMORY_ENTRIES = 300_000
+#: Entries of each generation of a worker's memory of what it has encoded.
+MEMORY_ENTRIES = 100_000
 
 INDEX = "array<struct<doc_id:long,offset:long,length:int,n_tokens:long>>"
 
 
 class LibraryEncoder:
-    """Ids of the tokenizers library, little-endian; pieces between spaces are encoded once a worker.
+    """Ids of the tokenizers library, little-endian; a pre-token is encoded once a worker, and new ones together.
 
-    The library's byte-level splitting never crosses the start of such a piece (see space_pieces), so a
-    text's ids are its pieces' ids in a row. All pieces that are new in a batch go to the library together.
+    The library encodes each match of the splitting pattern separately, so a text's ids are its pre-tokens' ids in a row.
     """
 
-    def __init__(self, definition: str, width: int):
+    def __init__(self, definition: str, pattern: str, width: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; a thread pool only takes memory
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
-        self.kind = "<u2" if width == 2 else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str], lead: str, into: dict[str, bytes]) -> None:
-        for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
-            encoded = self.library.encode_batch_fast([lead + x for x in part], add_special_tokens=False)
-            into.update((x, np.array(e.ids, self.kind).tobytes()) for x, e in zip(part, encoded, strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) + len(self.first) > MEMORY_ENTRIES:
-            self.known.clear()
-            self.first.clear()
-        for at in range(0, len(texts), 500):
-            split = [space_pieces(x) for x in texts[at : at + 500]]
-            self._learn(list({p[0] for p in split} - self.first.keys()), "", self.first)
-            self._learn(list({x for p in split for x in p[1:]} - self.known.keys()), " ", self.known)
-            for pieces in split:
-                yield self.first[pieces[0]] + b"".join(map(self.known.__getitem__, pieces[1:]))
-
-
-def train_dictionary(docs: DataFrame, definition: str, width: int, *, key: str, text: str) -> bytes:
+        self.kind = {2: "H", 4: "I"}[width]
+        self.encode = PieceEncoder(regex.compile(pattern).findall, self._encode_new, MEMORY_ENTRIES).encode
+
+    def _encode_new(self, pretokens: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(pretokens), 20_000):
+            encoded = self.library.encode_batch_fast(pretokens[at : at + 20_000], add_special_tokens=False)
+            out += [pack(f"<{len(ids)}{self.kind}", *ids) for ids in (x.ids for x in encoded)]
+        return out
+
+
+def train_dictionary(docs: DataFrame, definition: str, pattern: str, width: int, *, key: str, text: str) -> bytes:
     """Trained on the ids of DICTIONARY_DOCS documents, those of the lowest hash; b'' if they are too few or short."""
     sample = docs.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t")).where("t <> ''")
     texts = [row.t for row in sample.orderBy("h", F.xxhash64("t")).limit(DICTIONARY_DOCS).collect()]
-    arrays = list(LibraryEncoder(definition, width).encode(texts))
+    arrays = list(LibraryEncoder(definition, pattern, width).encode(texts))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
     except zstandard.ZstdError:
@@ -96,24 +89,24 @@ def shard_bounds(docs: DataFrame, key: str, text: str) -> list[int]:
 
 
 def write_store(
-    docs: DataFrame, path: str, definition: str, *, end_id: int, id_width: int, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, path: str, definition: str, pattern: str, *, end_id: int, id_width: int, key: str = "doc_id", text: str = "text"
 ) -> None:
     """Encodes every document, appends end_id, and writes the store to `path` in ascending key order.
 
     Documents are encoded and compressed where they are read; only frames are shuffled, once, to their shard.
     """
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, definition, id_width, key=key, text=text)
+    dictionary = train_dictionary(docs, definition, pattern, id_width, key=key, text=text)
     digest = hashlib.sha256(dictionary).hexdigest()
     head = [(bytearray(dictionary), digest, id_width, end_id)]
     spark.createDataFrame(head, "dictionary binary, sha256 string, id_width int, end_id long").coalesce(1).write.parquet(f"{path}/dictionary")
     bounds = shard_bounds(docs, key, text)
-    shared = spark.sparkContext.broadcast((definition, dictionary, bounds))
+    shared = spark.sparkContext.broadcast((definition, dictionary, pattern))
     end = end_id.to_bytes(id_width, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = _encoder(shared, id_width), _packer(shared.value[1])
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             keys = batch.column(0).to_pylist()
             counts, frames = [], []
             for ids in encoder.encode([x or "" for x in batch.column(1).to_pylist()]):
@@ -123,7 +116,7 @@ def write_store(
             arrays = [pa.array(shards, pa.int32()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["shard", "doc_id", "n_tokens", "frame"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, size, frames, index = None, 0, 0, [], []
 
         def close() -> pa.RecordBatch:
@@ -144,7 +137,7 @@ def write_store(
 
     encoded = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(encode, "shard int, doc_id long, n_tokens long, frame binary")
     ordered = encoded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "frame")
-    blocks = ordered.mapInArrow(pack, f"shard int, block int, dictionary_sha256 string, data binary, index {INDEX}")
+    blocks = ordered.mapInArrow(gather, f"shard int, block int, dictionary_sha256 string, data binary, index {INDEX}")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
@@ -159,11 +152,12 @@ _BLOCK = pa.schema(
 )
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """One row a document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (binary, 32-bit)."""
+def read_store(spark: SparkSession, path: str, *, ids: bool = True) -> DataFrame:
+    """One row a document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked,
+    ids (binary, 32-bit). Blocks are unpacked one at a time."""
     head = spark.read.parquet(f"{path}/dictionary").head()
     dictionary, digest, width = bytes(head.dictionary), head.sha256, head.id_width
-    shared = spark.sparkContext.broadcast(("", dictionary, []))
+    shared = spark.sparkContext.broadcast(("", dictionary, ""))
     blocks = spark.read.parquet(f"{path}/blocks")
     sizes = blocks.select("shard", "block", F.aggregate("index.n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     starts, total = {}, 0
@@ -175,21 +169,25 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = _unpacker(shared.value[1])
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["dictionary_sha256"] != digest:
-                    raise ValueError("a block names another dictionary")
-                start, out = begun.value[row["shard"], row["block"]], []
-                for x in row["index"]:
-                    ids = unpacker.decompress(row["data"][x["offset"] : x["offset"] + x["length"]])
-                    wide = ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-                    out.append((x["doc_id"], start, len(wide) // 4, zlib.crc32(wide), wide))
-                    start += x["n_tokens"]
-                for at in range(0, len(out), 1000):
-                    part = list(zip(*out[at : at + 1000], strict=True))
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-
-    return blocks.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+            for at in range(batch.num_rows):
+                yield from unpack_block(batch.slice(at, 1).to_pylist()[0], unpacker)
+
+    def unpack_block(row: dict, unpacker) -> Iterator[pa.RecordBatch]:
+        if row["dictionary_sha256"] != digest:
+            raise ValueError("a block names another dictionary")
+        start, entries = begun.value[row["shard"], row["block"]], row["index"]
+        for at in range(0, len(entries), 512):
+            part, out = entries[at : at + 512], []
+            for x in part:
+                stored = unpacker.decompress(row["data"][x["offset"] : x["offset"] + x["length"]])
+                wide = stored if width == 4 else np.frombuffer(stored, "<u2").astype("<u4").tobytes()
+                out.append((x["doc_id"], start, len(wide) // 4, zlib.crc32(wide), wide))
+                start += x["n_tokens"]
+            arrays = [pa.array(c, pa.binary() if i == 4 else pa.int64()) for i, c in enumerate(zip(*out, strict=True)) if ids or i < 4]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + ids]
+    return blocks.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
@@ -203,13 +201,13 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | No
     return np.frombuffer(ids, "<u2" if head.id_width == 2 else "<u4").tolist()
 
 
-def store_and_read(docs: DataFrame, definition_path: str, *, end_id: int, id_width: int, path: str | None = None) -> DataFrame:
+def store_and_read(docs: DataFrame, definition_path: str, pattern: str, *, end_id: int, id_width: int, path: str | None = None, ids: bool = True) -> DataFrame:
     """Writes the store, under the shared folder unless told where, and reads it back."""
     with open(definition_path, encoding="utf-8") as file:
         definition = file.read()
     path = path or scratch_path(docs.sparkSession, "token-store")
-    write_store(docs, path, definition, end_id=end_id, id_width=id_width)
-    return read_store(docs.sparkSession, path)
+    write_store(docs, path, definition, pattern, end_id=end_id, id_width=id_width)
+    return read_store(docs.sparkSession, path, ids=ids)
 
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
@@ -220,7 +218,7 @@ def _encoder(shared, width: int) -> LibraryEncoder:
     value = shared.value
     if id(value) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[id(value)] = LibraryEncoder(value[0], width)
+        _ENCODERS[id(value)] = LibraryEncoder(value[0], value[2], width)
     return _ENCODERS[id(value)]
 
 
