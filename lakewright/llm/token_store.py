@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 from struct import pack
 
 import numpy as np
@@ -30,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import PieceEncoder, scratch_path
+from lakewright.llm.common import Recent, scratch_path
 
 #: Documents, in the order of a hash of their id, on whose ids the dictionary is trained.
 DICTIONARY_DOCS = 400
@@ -41,7 +43,13 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 1024
 #: Texts' bytes that a shard aims at.
 SHARD_BYTES = 64 << 20
 #: Entries of each generation of a worker's memory of what it has encoded.
-MEMORY_ENTRIES = 100_000
+MEMORY_ENTRIES = 250_000
+
+#: The byte-level splitting pattern, and what says the same in the standard library, which is faster, for texts of
+#: characters on whose classes the two surely agree: ASCII, the letters of Latin-1, dashes and quotation marks.
+_KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_UNUSUAL = re.compile("[^\\t\\n\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u2013\u2014\u2018-\u201f\u2026]")
 
 INDEX = "array<struct<doc_id:long,offset:long,length:int,n_tokens:long>>"
 
@@ -59,7 +67,9 @@ class LibraryEncoder:
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
         self.kind = {2: "H", 4: "I"}[width]
-        self.encode = PieceEncoder(regex.compile(pattern).findall, self._encode_new, MEMORY_ENTRIES).encode
+        self.split = regex.compile(pattern).findall
+        self.quick = _PLAIN_SPLIT.findall if pattern == _KNOWN_PATTERN else None
+        self.look = Recent(self._encode_new, MEMORY_ENTRIES)
 
     def _encode_new(self, pretokens: list[str]) -> list[bytes]:
         out = []
@@ -69,10 +79,20 @@ class LibraryEncoder:
         return out
 
 
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 50):
+            cut = [(self.quick if self.quick and not _UNUSUAL.search(x) else self.split)(x) for x in texts[at : at + 50]]
+            ids = iter(self.look([token for tokens in cut for token in tokens]))
+            for tokens in cut:
+                yield b"".join(islice(ids, len(tokens)))
+
+
 def train_dictionary(docs: DataFrame, definition: str, pattern: str, width: int, *, key: str, text: str) -> bytes:
     """Trained on the ids of DICTIONARY_DOCS documents, those of the lowest hash; b'' if they are too few or short."""
-    sample = docs.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t")).where("t <> ''")
-    texts = [row.t for row in sample.orderBy("h", F.xxhash64("t")).limit(DICTIONARY_DOCS).collect()]
+    named = docs.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"))
+    picked = named.where("t <> '' AND k IS NOT NULL").select("h", "k").distinct().orderBy("h", "k").limit(DICTIONARY_DOCS)
+    keys = [row.k for row in picked.collect()]
+    texts = [row.t for row in named.where(F.col("k").isin(keys) & (F.col("t") != "")).orderBy("h", F.xxhash64("t")).limit(DICTIONARY_DOCS).collect()] if keys else []
     arrays = list(LibraryEncoder(definition, pattern, width).encode(texts))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
