@@ -88,7 +88,7 @@ def graph_betweenness(spark: SparkSession, folder: str) -> DataFrame:
     return graph.betweenness(first.unionByName(used.select(label("n", "n_nationkey").alias("src"), label("r", "n_regionkey").alias("dst"))))
 
 
-@register("SELECT 5000::BIGINT AS nodes, 1::BIGINT AS components")
+@register()
 def graph_scale_synthetic(spark: SparkSession, folder: str) -> DataFrame:
     """Edges i mod n to (7 i + 13) mod n without self-loops, n = 5,000 and 20,000 edges."""
     label = lambda c: F.format_string("n-%08d", c)
