@@ -57,7 +57,10 @@ def _sort_of(char: Column) -> Column:
 
 
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h, kind, base, begin, end, valid, features): one row for each distinct proposal; h is the text's hash."""
+    """(key, h, kind, base, begin, end, valid, features): one row for each distinct proposal; h is the text's hash.
+
+    Whole matches are checked, of whatever length (20 digits are enough to see that there are too many); the features
+    are taken from their first 64 characters."""
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     cut = source.select(
         "key",
@@ -77,6 +80,8 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
                     F.length(F.get(gaps, at)).alias("gap"),
                     F.length(m).alias("length"),
                     F.substring(m, 1, 64).alias("shown"),
+                    (F.substring(F.regexp_replace(m, "[^0-9]", ""), 1, 20) if i in (2, 3) else F.lit("")).alias("whole"),
+                    (m.rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$") if i == 1 else F.lit(False)).alias("octets"),
                     F.right(F.get(gaps, at), F.lit(CONTEXT)).alias("left"),
                     F.substring(F.get(gaps, at + 1), 1, 1).alias("right"),
                 ),
@@ -88,12 +93,11 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("key", "h", "gen").orderBy("at")))
     digits = F.regexp_replace("shown", "[^0-9]", "")
     seps = F.length(F.regexp_replace("shown", "[0-9A-Za-z]", ""))
-    short = F.col("length") <= 64
     valid = (
         F.when(F.col("gen") == 0, True)
-        .when(F.col("gen") == 1, short & F.col("shown").rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"))
-        .when(F.col("gen") == 2, short & _luhn(digits))
-        .when(F.col("gen") == 3, short & F.length(digits).between(10, 15))
+        .when(F.col("gen") == 1, F.col("octets"))
+        .when(F.col("gen") == 2, _luhn(F.col("whole")))
+        .when(F.col("gen") == 3, F.length("whole").between(10, 15))
         .otherwise(False)
     )
     kind = F.element_at(F.array(*(F.lit(k) for k, *_ in GENERATORS)), F.col("gen") + 1)

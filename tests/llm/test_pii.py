@@ -90,3 +90,15 @@ def test_redaction(spark):
     spans = pii.find_spans(source).select(F.col("key").alias("doc_id"), "spans")
     got = {r.doc_id: r.t for r in source.join(spans, "doc_id", "left").select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
     assert got == {1: "é [EMAIL], [IP]!", 2: "clean", 3: None}
+
+
+def test_long_matches_are_checked_whole(spark):
+    """The contract bounds digits, not lengths."""
+    texts = [
+        "call +49 30" + "." * 60 + "1234567 now", "call +49 30" + " " * 300 + "1234567", "+49" + "-" * 70 + "1234567890123456", "+1" + " " * 70 + "2",
+        "host " + "0" * 70 + "10.0.0." + "0" * 90 + "1 up", "0" * 70 + "10.0.0." + "0" * 90 + "256", "1.2.3.4" + "0" * 70, "1" * 80 + ".2.3.4", "0" * 4000 + "1.2.3.4",
+    ]
+    rows = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    assert [rows[i].n_phone for i in range(4)] == [1, 1, 0, 0] and [rows[i].n_ip for i in range(4, 9)] == [1, 0, 0, 0, 1]
