@@ -58,6 +58,7 @@ class LibraryEncoder:
     """Ids of the tokenizers library, little-endian; a pre-token is encoded once a worker, and new ones together.
 
     The library encodes each match of the splitting pattern separately, so a text's ids are its pre-tokens' ids in a row.
+    Only added tokens are looked for before that; a text in which one occurs is given to the library whole.
     """
 
     def __init__(self, definition: str, pattern: str, width: int):
@@ -65,7 +66,7 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.kind = {2: "H", 4: "I"}[width]
         self.split = regex.compile(pattern).findall
         self.quick = _PLAIN_SPLIT.findall if pattern == _KNOWN_PATTERN else None
@@ -81,10 +82,12 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 50):
-            cut = [(self.quick if self.quick and not _UNUSUAL.search(x) else self.split)(x) for x in texts[at : at + 50]]
+            some = texts[at : at + 50]
+            whole = [any(token in x for token in self.added) for x in some]
+            cut = [[] if w else (self.quick if self.quick and not _UNUSUAL.search(x) else self.split)(x) for x, w in zip(some, whole, strict=True)]
             ids = iter(self.look([token for tokens in cut for token in tokens]))
-            for tokens in cut:
-                yield b"".join(islice(ids, len(tokens)))
+            for x, w, tokens in zip(some, whole, cut, strict=True):
+                yield self._encode_new([x])[0] if w else b"".join(islice(ids, len(tokens)))
 
 
 def train_dictionary(docs: DataFrame, definition: str, pattern: str, width: int, *, key: str, text: str) -> bytes:

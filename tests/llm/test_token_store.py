@@ -42,3 +42,15 @@ def test_edges_and_single_documents(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.store_and_read(docs, DEFINITION, PATTERN, end_id=2, id_width=2, path=str(tmp_path / "none")).count() == 0
+
+
+def test_added_tokens_as_the_library_takes_them(spark, tmp_path):
+    """Against a tokenizer on which nothing is set."""
+    plain = Tokenizer.from_file(DEFINITION)
+    added = [x.content for x in plain.get_added_tokens_decoder().values()]
+    texts = [t for a in added for t in (f"end {a} next", a, f"{a}{a} é", f"x{a}y 12", a[:-1])] + ["no such token"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = token_store.store_and_read(docs, DEFINITION, PATTERN, end_id=2, id_width=2, path=str(tmp_path / "added")).collect()
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in found}
+    assert added and got == {i: plain.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert [r.start for r in sorted(found)] == [0, *np.cumsum([r.n_tokens for r in sorted(found)])[:-1]]
