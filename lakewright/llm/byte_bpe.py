@@ -19,15 +19,11 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import PieceEncoder
-
-#: Entries of each generation of a worker's memory of what it has encoded.
-MEMORY_ENTRIES = 300_000
+from lakewright.llm.pretokens import MEMORY_BYTES, TextEncoder
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -89,18 +85,18 @@ class PerfectHash:
 def merge_bytes(piece: bytes, rank) -> list[int]:
     """Ids of one pre-token: always the lowest-ranked neighbouring pair first, leftmost among equals.
 
-    Parts are linked by where they end and by the part before them; a heap holds (rank, start, end) of pairs, and
-    an entry is stale if no pair of living parts spans it any more.
+    Parts are linked by where they end and by the part before them; a heap holds pairs as one number of (rank, start,
+    end), and an entry is stale if no pair of living parts spans it any more.
     """
     n = len(piece)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        if (r := rank(piece[i : i + 2])) is not None:
-            heap.append((r, i, i + 2))
+    bits = n.bit_length()
+    double, mask = 2 * bits, (1 << bits) - 1
+    heap = [(r << double) | (i << bits) | (i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
     heapify(heap)
     while heap:
-        _, left, stop = heappop(heap)
+        pair = heappop(heap)
+        left, stop = pair >> bits & mask, pair & mask
         middle = end[left]  # 0 if the part at left was merged away
         if not middle or middle >= n or end[middle] != stop:
             continue
@@ -108,9 +104,9 @@ def merge_bytes(piece: bytes, rank) -> list[int]:
         if stop < n:
             before[stop] = left
             if (r := rank(piece[left : end[stop]])) is not None:
-                heappush(heap, (r, left, end[stop]))
+                heappush(heap, (r << double) | (left << bits) | end[stop])
         if (lower := before[left]) >= 0 and (r := rank(piece[lower:stop])) is not None:
-            heappush(heap, (r, lower, stop))
+            heappush(heap, (r << double) | (lower << bits) | stop)
     ids, at = [], 0
     while at < n:
         ids.append(rank(piece[at : end[at]]))
@@ -121,19 +117,22 @@ def merge_bytes(piece: bytes, rank) -> list[int]:
 class Codec:
     """Encodes texts to little-endian unsigned 32-bit ids and back."""
 
-    def __init__(self, hashed: PerfectHash, pattern: str):
+    def __init__(self, hashed: PerfectHash, pattern: str, memory: int = MEMORY_BYTES):
         self.table = hashed
         self.token = dict(zip(hashed.values, hashed.keys, strict=True))
         self.rank = dict(zip(hashed.keys, hashed.values, strict=True)).get
-        self.encode = PieceEncoder(regex.compile(pattern).findall, self._encode_new, MEMORY_ENTRIES).encode
+        self.encoder = TextEncoder(pattern, self._encode_new, 4, memory=memory)
 
     def pretoken(self, piece: bytes) -> list[int]:
         """Tier one, or else tier two."""
         whole = self.table.get(piece)
         return [whole] if whole is not None else merge_bytes(piece, self.rank)
 
-    def _encode_new(self, pretokens: list[str]) -> list[bytes]:
-        return [pack(f"<{len(ids)}I", *ids) for ids in map(self.pretoken, map(str.encode, pretokens))]
+    def _encode_new(self, pretokens: list[bytes]) -> list[bytes]:
+        return [pack(f"<{len(ids)}I", *ids) for ids in map(self.pretoken, pretokens)]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
+        return self.encoder.encode(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -150,37 +149,22 @@ def encode_documents(
     """
     key_type = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((PerfectHash(read_ranks(ranks_path)), pattern))
-    columns = f"{key} {key_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    columns = f"`{key}` {key_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     columns += ", ids binary" * ids + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
-        for batch in batches:
-            encoded = list(codec.encode([x or "" for x in batch.column(1).to_pylist()]))
-            back = [codec.decode(x) for x in encoded]
-            out = [
-                batch.column(0),
-                pa.array([len(x) // 4 for x in encoded], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
-            ]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                out, names = [*out, pa.array(encoded, pa.binary())], [*names, "ids"]
-            if decoded:
-                out, names = [*out, pa.array([x.decode() for x in back], pa.string())], [*names, "decoded"]
-            yield pa.RecordBatch.from_arrays(out, names)
-
+        codec = Codec(*shared.value)
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+            rows = []
+            for x in codec.encode(batch.column(1)):
+                back = codec.decode(x)
+                rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(back).hexdigest(), x if ids else None, back.decode() if decoded else None))
+            out = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True))]
+            yield pa.RecordBatch.from_arrays(out, [key, *_NAMES]).select([key, *names])
+
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids, *["decoded"] * decoded]
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, columns)
 
 
-_CODECS: dict[int, Codec] = {}
-
-
-def _codec(shared) -> Codec:
-    """One codec for each worker process, kept between tasks as long as the broadcast value is the same object."""
-    value = shared.value
-    if id(value) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[id(value)] = Codec(*value)
-    return _CODECS[id(value)]
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+_NAMES = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]

@@ -45,7 +45,7 @@ END_ID = 2
 @register
 def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
-    return token_store.store_and_read(docs, TOKENIZER, public_tokenizers.PATTERN, end_id=END_ID, id_width=2, ids=False)
+    return token_store.store_and_read(docs, TOKENIZER, end_id=END_ID, id_width=2, ids=False)
 
 
 @register
