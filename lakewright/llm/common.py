@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import islice
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.session import ensure_checkpoint_dir
 
-#: A space that surely starts a new pre-token: a non-space follows it, whichever table of white space is asked.
-WORD_START = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
-#: A space for which that isn't so.
-LOOSE_SPACE = re.compile(r" (?![^\s\x1c-\x1f\x85])")
-
-
-def space_pieces(text: str) -> list[str]:
-    """Splits at spaces that start a pre-token. Each piece but the first had such a space in front.
-
-    The splitting pattern attaches one space to the letters, digits or signs after it, and a run of
-    white space never takes the last space before a non-space. So pieces can be tokenized separately.
-    """
-    if LOOSE_SPACE.search(text):
-        return WORD_START.split(text)
-    return text.split(" ")
-
-
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow over single batches."""
 
@@ -41,9 +23,32 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for paths in _SCOPES[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables made within it; what is to stay must have been written elsewhere by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        _remove(spark, _SCOPES.pop())
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
@@ -55,74 +60,42 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataF
 
 
 def discard(df: DataFrame) -> None:
-    """Removes the scratch folders that a materialised df reads; nothing may read it afterwards."""
-    context = df.sparkSession.sparkContext
-    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    """Removes the scratch tables that a materialised df reads; nothing may read it afterwards."""
+    _remove(df.sparkSession, sorted({file.rpartition("/")[0] for file in df.inputFiles()}))
 
 
-#: Rows of a few longs each up to which a side of a join is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of the columns that may have any length, up to which a side of a join is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
-def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count finds it small; else as it is, to be joined by shuffle. df should be materialised."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS, *, size: Column | None = None) -> DataFrame:
+    """df, marked for broadcast if it is found small; else as it is, to be joined by shuffle. df should be materialised;
+    size gives the bytes of a row's columns of any length."""
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0)).alias("bytes")).head()
+    return F.broadcast(df) if found.n <= rows and found.bytes <= BROADCAST_BYTES else df
 
 
 class Recent:
     """A bounded memory of computed values in two generations: when the younger is full it becomes the older, and
-    what is asked for again moves to the younger. Values are never None."""
+    what is asked for again moves to the younger. Keys longer than `longest` aren't kept, so its size in bytes is
+    bounded as well. Values are never None."""
 
-    def __init__(self, compute: Callable[[list], list], entries: int = 300_000):
-        self.compute, self.entries = compute, entries
+    def __init__(self, compute: Callable[[list[str]], list], entries: int = 100_000, longest: int = 64):
+        self.compute, self.entries, self.longest = compute, entries, longest
         self.young: dict = {}
         self.old: dict = {}
 
-    def __call__(self, keys: list) -> list:
+    def __call__(self, keys: list[str]) -> list:
         """The values of keys; those that aren't known are computed together, each once."""
-        young, old = self.young, self.old
-        found = list(map(young.get, keys))
+        found = list(map(self.young.get, keys))
         if None in found:
             gaps = [at for at, value in enumerate(found) if value is None]
-            fresh = []
-            for key in dict.fromkeys(keys[at] for at in gaps):
-                if (older := old.get(key)) is not None:
-                    young[key] = older
-                else:
-                    fresh.append(key)
-            if fresh:
-                young.update(zip(fresh, self.compute(fresh), strict=True))
+            now = {key: self.old.get(key) for key in dict.fromkeys(keys[at] for at in gaps)}
+            fresh = [key for key, value in now.items() if value is None]
+            now.update(zip(fresh, self.compute(fresh), strict=True))
             for at in gaps:
-                found[at] = young[keys[at]]
-            if len(young) > self.entries:
-                self.old, self.young = young, {}
+                found[at] = now[keys[at]]
+            self.young.update((key, value) for key, value in now.items() if len(key) <= self.longest)
+            if len(self.young) > self.entries:
+                self.old, self.young = self.young, {}
         return found
-
-
-class PieceEncoder:
-    """Encodes texts through two bounded memories: of pieces between spaces, and of the pre-tokens in pieces.
-
-    `split` cuts a piece into pre-tokens and `encode_new(list of pre-tokens)` gives each one's ids as bytes. What a
-    memory holds is what a fresh computation would give, so results don't depend on what was seen before.
-    """
-
-    def __init__(self, split: Callable[[str], list[str]], encode_new: Callable[[list[str]], list[bytes]], entries: int):
-        self.split = split
-        self.tokens = Recent(encode_new, entries)
-        self.first = Recent(lambda pieces: self._join(pieces, ""), entries // 8)
-        self.later = Recent(lambda pieces: self._join(pieces, " "), entries)
-
-    def _join(self, pieces: list[str], lead: str) -> list[bytes]:
-        cut = [self.split(lead + piece) for piece in pieces]
-        flat = iter(self.tokens([token for tokens in cut for token in tokens]))
-        return [b"".join(islice(flat, len(tokens))) for tokens in cut]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 200):
-            cut = [space_pieces(x) for x in texts[at : at + 200]]
-            heads = self.first([pieces[0] for pieces in cut])
-            rest = iter(self.later([x for pieces in cut for x in pieces[1:]]))
-            for head, pieces in zip(heads, cut, strict=True):
-                yield head + b"".join(islice(rest, len(pieces) - 1))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import materialise
+from lakewright.llm.common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     current = materialise(edges.where("u <> v").select("u", "v").distinct(), label)
     before = _state(current)
     while before[0]:
-        current = materialise(_small_star(_large_star(current)), label)
+        last, current = current, materialise(_small_star(_large_star(current)), label)
+        discard(last)
         after = _state(current)
         if after == before:
             break

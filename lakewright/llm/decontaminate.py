@@ -154,8 +154,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     runs = F.transform("begins", lambda b: F.struct(b.alias("begin"), (b + F.col("size")).alias("end")))
     gathered = hits.groupBy("key", "h", "n_words").agg(
         F.count_if(F.col("size").isNull()).alias("copies"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list(runs)))).alias("runs"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("hit_items"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set(runs)))).alias("runs"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items"),
     )
     empty = F.expr("named_struct('done', array_remove(array(named_struct('begin', 0, 'end', 0)), named_struct('begin', 0, 'end', 0)), 'begin', -1, 'end', -1)")
     folded = F.aggregate(

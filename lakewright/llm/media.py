@@ -3,29 +3,39 @@
 One Aho-Corasick automaton finds every known signature in a byte string in a single pass. At each find the
 format's validator reads the structure (chunk lengths, marker chains, checksums) and either gives the length
 of the medium that starts there or rejects the find. The first medium at offset 0 corrects the declared type,
-and valid media further in are carved.
+and valid media further in are carved, also those written in base 64 (data URIs).
 
-`store_payload` keeps a byte string as 8-bit mono PCM samples in a WAV container; `sniff` of that container
-finds its type, and `samples` reads the payload back out of its data chunk.
+`media_of_texts` keeps a byte string as 8-bit samples: short ones as mono PCM in a WAV file, ones of IMAGE_BYTES or more as a
+gray picture of 64 samples a row (PGM). All are declared audio; what the stored bytes are, and so how they are read back,
+is for `sniff` to find. Features are taken from the samples that are read back.
 
 Defined results: null bytes count as empty; an empty string, or one without a valid signature at 0, keeps its
-declared type (unknown if that is null); equal bytes give equal results; overlapping finds of the same kind
-that lie inside an accepted medium of that kind are not reported again; an empty table gives an empty result.
+declared type (unknown if that is null); equal bytes give equal results, so ties and repeated rows do; overlapping finds of
+the same kind that lie inside an accepted medium of that kind are not reported again, but for those in the samples of
+a RIFF file; byte strings of any length are read whole; an empty table gives an empty result; further input columns are
+ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cache, cached_property
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "application/octet-stream"
+#: Payloads of so many bytes are stored as pictures, of WIDTH samples a row.
+IMAGE_BYTES, WIDTH = 4096, 64
 #: Signature bytes and the media type that they announce; (bytes, type, offset of the signature in the medium).
 SIGNATURES = [
     (b"\x89PNG\r\n\x1a\n", "image/png", 0),
@@ -42,9 +52,52 @@ SIGNATURES = [
     (b"PK\x03\x04", "application/zip", 0),
     (b"\x1f\x8b\x08", "application/gzip", 0),
     (b"P5", "image/x-portable-graymap", 0),
+    (b";base64,", "base64", 0),
 ]
 
 
+class Bytes:
+    """A byte string, with the places of marks that validators look for, each found once."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def _places(self, pattern: bytes) -> list[int]:
+        return [m.start() for m in re.finditer(pattern, self.data, re.DOTALL)]
+
+    @cached_property
+    def jpeg_ends(self) -> list[int]:
+        return self._places(b"\xff\xd9")
+
+    @cached_property
+    def zeros(self) -> list[int]:
+        return self._places(b"\0")
+
+    @cached_property
+    def pdf_heads(self) -> list[int]:
+        return self._places(rb"%PDF-[0-9]\.")
+
+    @cached_property
+    def pdf_ends(self) -> list[int]:
+        return self._places(b"%%EOF")
+
+    @cached_property
+    def pdf_tables(self) -> list[int]:
+        return self._places(b"startxref")
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """Where an archive starts by its end record, and where it stops."""
+        found: dict[int, int] = {}
+        for stop in self._places(b"PK\x05\x06"):
+            if stop + 22 <= len(self.data):
+                size, offset, note = struct.unpack_from("<IIH", self.data, stop + 12)
+                start = stop - size - offset
+                if start >= 0 and self.data[start + offset : start + offset + 4] == b"PK\x01\x02" and stop + 22 + note <= len(self.data):
+                    found.setdefault(start, stop + 22 + note)
+        return found
+
+
 def automaton() -> ahocorasick.Automaton:
     """Over Latin-1 characters, one for each byte."""
     machine = ahocorasick.Automaton()
@@ -54,7 +107,7 @@ def automaton() -> ahocorasick.Automaton:
     return machine
 
 
-def _png(data: bytes, at: int) -> int | None:
+def _png(data: bytes, at: int, _: Bytes) -> int | None:
     """Chunks with right checksums from IHDR to IEND."""
     position, first = at + 8, True
     while position + 12 <= len(data):
@@ -70,7 +123,7 @@ def _png(data: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(data: bytes, at: int) -> int | None:
+def _jpeg(data: bytes, at: int, known: Bytes) -> int | None:
     """Marker segments up to the scan, then up to the end marker."""
     position, scan = at + 2, False
     while position + 4 <= len(data) and data[position] == 0xFF:
@@ -89,11 +142,11 @@ def _jpeg(data: bytes, at: int) -> int | None:
             break
     if not scan:
         return None
-    end = data.find(b"\xff\xd9", position)
-    return None if end < 0 else end + 2 - at
+    end = bisect_left(known.jpeg_ends, position)
+    return known.jpeg_ends[end] + 2 - at if end < len(known.jpeg_ends) else None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(data: bytes, at: int, _: Bytes) -> int | None:
     """Screen descriptor, then blocks up to the trailer."""
     if at + 13 > len(data):
         return None
@@ -116,7 +169,7 @@ def _gif(data: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(data: bytes, at: int) -> int | None:
+def _bmp(data: bytes, at: int, _: Bytes) -> int | None:
     """Size fields that agree with each other and with what is there."""
     if at + 30 > len(data):
         return None
@@ -126,7 +179,7 @@ def _bmp(data: bytes, at: int) -> int | None:
     return size if fits and reserved == 0 and planes == 1 and depth in (1, 4, 8, 16, 24, 32) else None
 
 
-def _riff(data: bytes, at: int) -> tuple[int, str] | None:
+def _riff(data: bytes, at: int, _: Bytes) -> tuple[int, str] | None:
     """A RIFF form whose chunks fill its length; WAVE needs fmt and data, WEBP an image chunk."""
     if at + 12 > len(data):
         return None
@@ -147,7 +200,7 @@ def _riff(data: bytes, at: int) -> tuple[int, str] | None:
     return None
 
 
-def _flac(data: bytes, at: int) -> int | None:
+def _flac(data: bytes, at: int, _: Bytes) -> int | None:
     """Metadata blocks from STREAMINFO on; frames run to the end of the data."""
     position, first = at + 4, True
     while position + 4 <= len(data):
@@ -161,7 +214,7 @@ def _flac(data: bytes, at: int) -> int | None:
     return None
 
 
-def _ogg(data: bytes, at: int) -> int | None:
+def _ogg(data: bytes, at: int, _: Bytes) -> int | None:
     """Pages one after another."""
     position = at
     while position + 27 <= len(data) and data[position : position + 5] == b"OggS\x00":
@@ -173,7 +226,7 @@ def _ogg(data: bytes, at: int) -> int | None:
     return position - at or None
 
 
-def _mp3(data: bytes, at: int) -> int | None:
+def _mp3(data: bytes, at: int, _: Bytes) -> int | None:
     """A tag with a syncsafe size, then a frame header."""
     if at + 10 > len(data) or data[at + 3] not in (2, 3, 4) or max(data[at + 6 : at + 10]) > 127:
         return None
@@ -182,42 +235,64 @@ def _mp3(data: bytes, at: int) -> int | None:
     return len(data) - at if frame + 2 <= len(data) and data[frame] == 0xFF and data[frame + 1] & 0xE0 == 0xE0 else None
 
 
-def _mp4(data: bytes, at: int) -> int | None:
-    """Boxes one after another, from ftyp to at least one more."""
+def _mp4(data: bytes, at: int, _: Bytes) -> int | None:
+    """Boxes one after another, from ftyp to at least one more; a box may have a long size, or none and run to the end."""
     position, boxes = at, 0
     while position + 8 <= len(data):
         (size,), name = struct.unpack_from(">I", data, position), data[position + 4 : position + 8]
+        if size == 1 and position + 16 <= len(data):
+            (size,) = struct.unpack_from(">Q", data, position + 8)
+            size = size if size >= 16 else 0
+        elif size == 0 and boxes:
+            size = len(data) - position
         if size < 8 or position + size > len(data) or not name.isalnum():
             break
         position, boxes = position + size, boxes + 1
     return position - at if boxes >= 2 else None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
-    """A version, a cross-reference and an end-of-file mark."""
+def _pdf(data: bytes, at: int, known: Bytes) -> int | None:
+    """A version, a cross-reference and an end mark: the last before another document begins, as updates append more."""
     if not data[at + 5 : at + 6].isdigit() or data[at + 6 : at + 7] != b".":
         return None
-    stop = data.find(b"%%EOF", at)
-    return stop + 5 - at if stop >= 0 and data.find(b"startxref", at, stop) >= 0 else None
+    first = bisect_left(known.pdf_ends, at)
+    if first == len(known.pdf_ends):
+        return None
+    head = bisect_right(known.pdf_heads, known.pdf_ends[first])
+    limit = known.pdf_heads[head] if head < len(known.pdf_heads) else len(data)
+    stop = known.pdf_ends[bisect_left(known.pdf_ends, limit) - 1]
+    table = bisect_left(known.pdf_tables, at)
+    return stop + 5 - at if table < len(known.pdf_tables) and known.pdf_tables[table] < stop else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
+def _zip(_: bytes, at: int, known: Bytes) -> int | None:
     """An end record whose central directory lies where it says."""
-    stop = data.find(b"PK\x05\x06", at)
-    while stop >= 0 and stop + 22 <= len(data):
-        size, offset, note = struct.unpack_from("<IIH", data, stop + 12)
-        if at + offset + size == stop and data[at + offset : at + offset + 4] == b"PK\x01\x02" and stop + 22 + note <= len(data):
-            return stop + 22 + note - at
-        stop = data.find(b"PK\x05\x06", stop + 4)
-    return None
+    return known.zip_ends[at] - at if at in known.zip_ends else None
 
 
-def _gzip(data: bytes, at: int) -> int | None:
-    """A member that inflates with the right checksum."""
+def _gzip(data: bytes, at: int, known: Bytes) -> int | None:
+    """A member whose header is whole and that inflates with the right checksum."""
+    if at + 18 > len(data) or data[at + 3] & 0xE0:
+        return None
+    flags, position = data[at + 3], at + 10
+    if flags & 4:
+        position += 2 + int.from_bytes(data[position : position + 2], "little")
+    for name in (8, 16):
+        if flags & name:
+            end = bisect_left(known.zeros, position)
+            if end == len(known.zeros):
+                return None
+            position = known.zeros[end] + 1
+    position += flags & 2
+    if position >= len(data) or data[position] & 6 == 6:  # no such kind of block
+        return None
     inflate = zlib.decompressobj(31)
     try:
         for start in range(at, len(data), 1 << 16):
-            inflate.decompress(data[start : start + (1 << 16)])
+            waiting = data[start : start + (1 << 16)]
+            while waiting and not inflate.eof:
+                inflate.decompress(waiting, 1 << 20)
+                waiting = inflate.unconsumed_tail
             if inflate.eof:
                 return min(start + (1 << 16), len(data)) - len(inflate.unused_data) - at
     except zlib.error:
@@ -225,7 +300,7 @@ def _gzip(data: bytes, at: int) -> int | None:
     return None
 
 
-def _pgm(data: bytes, at: int) -> int | None:
+def _pgm(data: bytes, at: int, _: Bytes) -> int | None:
     """Width, height, depth and as many samples."""
     parts = data[at + 2 : at + 42].split(None, 3)
     if len(parts) < 4 or not all(p.isdigit() for p in parts[:3]) or not data[at + 2 : at + 3].isspace():
@@ -238,24 +313,43 @@ def _pgm(data: bytes, at: int) -> int | None:
     return stop - at if 0 < most < 65536 and width and height and stop <= len(data) else None
 
 
+_CODED = re.compile(rb"[A-Za-z0-9+/]+={0,2}")
+
+
+def _base64(data: bytes, at: int, _: Bytes) -> tuple[int, str] | None:
+    """A data URI whose decoded bytes start with a valid medium."""
+    run = _CODED.match(data, at + 8)
+    if run is None:
+        return None
+    coded = run[0][: len(run[0]) // 4 * 4]
+    inner = sniff(base64.b64decode(coded), _machine())
+    return (8 + len(coded), f"{inner[0][0]};base64") if inner and inner[0][1] == 0 else None
+
+
 VALIDATORS = {
-    "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "riff": _riff, "audio/flac": _flac, "audio/ogg": _ogg,
-    "audio/mpeg": _mp3, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "image/x-portable-graymap": _pgm,
+    "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "riff": _riff, "audio/flac": _flac, "audio/ogg": _ogg, "audio/mpeg": _mp3, "base64": _base64,
+    "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "image/x-portable-graymap": _pgm,
 }
 
 
+@cache
+def _machine() -> ahocorasick.Automaton:
+    return automaton()
+
+
 def sniff(data: bytes, machine: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the valid media in data, by offset."""
     found: list[tuple[str, int, int]] = []
     past: dict[str, int] = {}
+    known = Bytes(data)
     for end, (size, kind, inset) in machine.iter(data.decode("latin-1")):
         at = end - size + 1 - inset
         if at < 0 or at < past.get(kind, 0):
             continue
-        valid = VALIDATORS[kind](data, at)
+        valid = VALIDATORS[kind](data, at, known)
         if valid is not None:
             length, name = valid if isinstance(valid, tuple) else (valid, kind)
-            past[kind] = at + length
+            past[kind] = at + (12 if kind == "riff" else length)
             found.append((name, at, length))
     return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
 
@@ -266,15 +360,32 @@ def store_payload(payload: bytes, rate: int = 8000) -> bytes:
     return header + payload
 
 
-def samples(wave: bytes) -> bytes:
-    """The data chunk of a WAV file that sniff has accepted."""
+def store_picture(payload: bytes) -> bytes:
+    """The payload as a gray picture of WIDTH samples a row."""
+    return b"P5\n%d %d\n255\n" % (WIDTH, len(payload) // WIDTH) + payload
+
+
+def samples(medium: bytes, kind: str) -> bytes:
+    """The samples of a medium that sniff has found to be of that kind."""
+    if kind == "image/x-portable-graymap":
+        return medium[re.match(rb"P5\s+\d+\s+\d+\s+\d+\s", medium).end() :]
     position = 12
-    while position + 8 <= len(wave):
-        name, size = struct.unpack_from("<4sI", wave, position)
+    while kind == "audio/wav" and position + 8 <= len(medium):
+        name, size = struct.unpack_from("<4sI", medium, position)
         if name == b"data":
-            return wave[position + 8 : position + 8 + size]
+            return medium[position + 8 : position + 8 + size]
         position += 8 + size + (size & 1)
-    raise ValueError("no data chunk")
+    raise ValueError(f"no samples in {kind}")
+
+
+def described(kind: str, declared: str, back: bytes) -> str:
+    """What the samples are like: their number, sum, spread, largest, different values, and how often neighbours cross the mean."""
+    values = np.frombuffer(back, np.uint8)
+    total, squares = int(values.sum(dtype=np.int64)), int((values.astype(np.int64) ** 2).sum())
+    spread = (squares / len(values) - (total / len(values)) ** 2) ** 0.5
+    above = values.astype(np.int64) * len(values) > total
+    crossings = int((above[1:] != above[:-1]).sum())
+    return f"{kind};declared={declared};corrected={int(kind != declared)};samples={len(values)};sum={total};sd={spread:.4f};peak={int(values.max())};values={len(np.unique(values))};crossings={crossings}"
 
 
 def sniff_column(rows: DataFrame, key: str, data: str, declared: str | None = None) -> DataFrame:
@@ -320,14 +431,19 @@ def media_of_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
 
+DECLARED = "audio/wav"
+
+
 def _described(text: str, machine: ahocorasick.Automaton, unit: int) -> tuple:
     raw = text.encode("utf-8")
-    medium = store_payload(raw + b"\0" * (unit if not raw else -len(raw) % unit))
+    payload = raw + b"\0" * (unit if not raw else -len(raw) % unit)
+    medium = store_picture(payload) if len(payload) >= IMAGE_BYTES and len(payload) % WIDTH == 0 else store_payload(payload)
     found = sniff(medium, machine)
-    if not found or found[0] != ("audio/wav", 0, len(medium)):
+    if not found or found[0][1:] != (0, len(medium)):
         raise ValueError("the stored form isn't what was written")
-    back = samples(medium[: found[0][2]])
-    inside = ",".join(f"{t}@{o}+{n}" for t, o, n in found[1:])
-    feature = f"{found[0][0]};carved={inside}"
+    back = samples(medium, found[0][0])
+    first = len(medium) - len(back)
+    inside = ",".join(f"{t}@{o - first}+{n}" for t, o, n in found[1:])
+    feature = f"{described(found[0][0], DECLARED, back)};carved={inside}"
     tail = zlib.crc32(back[-64:])
     return (len(raw), len(back), hashlib.sha256(back).hexdigest(), tail, len(medium), hashlib.sha256(medium).hexdigest(), feature, medium)

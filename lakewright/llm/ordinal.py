@@ -94,7 +94,9 @@ class Model:
 
     def tails(self, text: str) -> list[float]:
         """P(grade >= 1), P(grade >= 2), ..."""
-        return [1 / (1 + np.exp(np.clip(t - self.eta(text), -60, 60))) for t in self.thresholds] if len(self.thresholds) else []
+        if not len(self.thresholds):
+            return []
+        return (1 / (1 + np.exp(np.clip(self.thresholds - self.eta(text), -60, 60)))).tolist()
 
 
 def count_features(text: str, reading: str) -> dict[int, float]:
@@ -215,7 +217,7 @@ def score(docs: DataFrame, model: Model, *, text: str, keep: list[Column]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Model(*shared.value)
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             tails = [scorer.tails(x or "") for x in batch.column(batch.num_columns - 1).to_pylist()]
             arrays = [*batch.columns[:-1], pa.array([float(sum(t)) for t in tails], pa.float64()), pa.array([[float(p) for p in t] for t in tails], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "expected", "tails"])

@@ -1,19 +1,25 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
-1. Generators propose spans, which may overlap: the four base patterns (whether or not a match passes its check) and
-   looser ones (obfuscated addresses, IPv6, phone numbers without a plus).
-2. Base matches that pass their check are kept as they are. They are also the labels: boosted trees learn, from the
-   format and the context alone (never from the checksum or range that decided the label), which candidates
-   look like checked ones. All candidates of all documents count; they are added up to cells of equal binned
-   features in Spark, and the trees are grown from these sums (at most one a combination of bins).
-3. On the held-out fold a threshold for each kind is calibrated to PRECISION; candidates that reach it are added,
-   unless they overlap a base span. A kind that can't reach it adds nothing.
+1. Generators propose spans, which may overlap: the four base patterns; looser and tighter ones for what these miss (addresses
+   with "(at)", IPv6, phone numbers without a plus, numbers that a base match has run together with their neighbours);
+   and long mixed tokens, which may be secrets.
+2. Every candidate has a check of its own normal form (range of octets, checksum, number of digits; for a secret that it is
+   assigned to a name like "token"). Base matches that pass are kept as they are, and so are assigned secrets.
+3. Labels: a base match or a secret by its check; another candidate is positive if it overlaps a kept base span of its kind,
+   negative if it fails its check or overlaps one of another kind. What passes its check and overlaps nothing kept has no
+   label: it is open. Boosted trees learn the label from format and context alone, never from the check; kind, not
+   generator, is a feature, so what holds for labelled candidates carries over to the open ones of the same form.
+   All labelled candidates of all documents count; they are added up to cells of equal binned features in Spark, and
+   the trees are grown from these sums (at most one a combination of bins).
+4. On the held-out fold a threshold for each kind is calibrated to PRECISION. A kind's precision is smoothed by PRIOR
+   candidates of the precision of all kinds, so that few candidates count little and none are needed. Open candidates
+   (and secrets that nothing is assigned to) that reach it are added.
 
 Trees become CASE expressions, so scoring runs in the JVM like the rest.
 
-Defined results: a null text counts as empty; positions are code points, ends exclusive; whole texts are searched;
-rows that repeat a doc_id and text get the same result each; an empty table gives an empty result; further
-input columns are ignored. Patterns are written with possessive runs, so that no text makes them backtrack.
+Defined results: a null text counts as empty; positions are code points, ends exclusive; whole texts are searched and spans
+may have any length; rows that repeat a doc_id and text get the same result each; an empty table gives an empty result;
+further input columns are ignored. Patterns are written with possessive runs, so that no text makes them backtrack.
 """
 
 from __future__ import annotations
@@ -26,22 +32,29 @@ from pyspark.sql import functions as F
 from lakewright.llm.common import materialise
 
 KINDS = ["email", "ip", "card", "phone"]
+SECRET = "secret"
+_RUN = r"(?:\G|(?<![A-Za-z0-9._%+-]))"
 #: Kind, whether it is a base pattern, what a text must match to be searched at all, and the pattern. A run can only
 #: begin a leftmost match at its first character, or where the last match ended (\G); so the others are never tried.
 GENERATORS = [
-    ("email", True, "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    ("email", True, "@", _RUN + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     ("ip", True, r"[0-9]\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     ("card", True, r"[0-9][ -]?[0-9]", r"(?:\G|(?<![0-9]))[0-9](?=[ -]?[0-9])[0-9]*+(?:[ -][0-9]++)*+"),
     ("phone", True, r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"),
     ("email", False, r"(?i)[(\[{]at[)\]}]", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[(\[{]at[)\]}] ?[a-z0-9-]++(?: ?(?:\.|[(\[{]dot[)\]}]) ?[a-z0-9-]++)++"),
-    ("ip", False, r"[0-9A-Fa-f]:[0-9A-Fa-f]", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])"),
-    ("phone", False, r"[0-9][ .-][0-9]", r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{2,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"),
+    ("ip", False, r"[0-9A-Fa-f]:[0-9A-Fa-f:]", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])"),
+    ("phone", False, r"[0-9)][ .-][0-9]", r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{2,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"),
+    ("phone", False, r"\+[0-9]", r"\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{10,15})(?![0-9])"),
+    ("card", False, r"[0-9]{4}[ -]?[0-9]{4}", r"(?<![0-9])(?:[0-9]{14,19}+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])"),
+    (SECRET, True, r"[A-Za-z0-9+/_-]{20}", r"(?:\G|(?<![A-Za-z0-9+/_-]))(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+"),
 ]
+OBFUSCATED, COLONS = 4, 5
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 CUES = r"(?i)(?:e-?mail|mail|phone|tel|call|fax|mobile|card|visa|credit|account|ip|addr|host|server|contact)[^A-Za-z]*$"
+ASSIGNED = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|credentials?|auth)[a-z0-9_-]*[\"']?\s*(?::|=>?|:=)\s*[\"']?$"
 #: Binned features of a candidate; none of them is what decides a label.
-FEATURES = ["gen", "digits", "seps", "size", "before", "after", "cue", "lead", "uniform"]
-CONTEXT, ROUNDS, RATE, SMOOTH, PRECISION, LEAST = 24, 24, 0.3, 1.0, 0.9, 20
+FEATURES = ["sort", "digits", "seps", "size", "before", "after", "cue", "lead", "uniform"]
+CONTEXT, ROUNDS, DEPTH, RATE, SMOOTH, PRECISION, PRIOR = 24, 24, 3, 0.3, 1.0, 0.9, 4
 
 
 def _luhn(digits: Column) -> Column:
@@ -56,6 +69,10 @@ def _sort_of(char: Column) -> Column:
     return F.when(char == "", 0).when(char.rlike(r"^\s$"), 1).when(char.rlike(r"^\p{L}$"), 2).when(char.rlike("^[0-9]$"), 3).otherwise(4)
 
 
+def _number(names: list[str], i: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(x) for x in names)), i + 1)
+
+
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, h, kind, base, begin, end, valid, features): one row for each distinct proposal; h is the text's hash.
 
@@ -70,7 +87,7 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     ).where(" OR ".join(f"size(m{i}) > 0" for i in range(len(GENERATORS))))
 
     def proposals(i: int) -> Column:
-        gaps = F.col(f"g{i}")
+        gaps, kind = F.col(f"g{i}"), GENERATORS[i][0]
         return F.coalesce(
             F.transform(
                 f"m{i}",
@@ -79,9 +96,9 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
                     at.alias("at"),
                     F.length(F.get(gaps, at)).alias("gap"),
                     F.length(m).alias("length"),
-                    F.substring(m, 1, 64).alias("shown"),
-                    (F.substring(F.regexp_replace(m, "[^0-9]", ""), 1, 20) if i in (2, 3) else F.lit("")).alias("whole"),
-                    (m.rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$") if i == 1 else F.lit(False)).alias("octets"),
+                    F.substring(_normal(m, i), 1, 64).alias("shown"),
+                    (F.substring(F.regexp_replace(m, "[^0-9]", ""), 1, 20) if kind in ("card", "phone") else F.lit("")).alias("whole"),
+                    (m.rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$") if (kind, i) == ("ip", 1) else _six(m) if i == COLONS else F.lit(False)).alias("octets"),
                     F.right(F.get(gaps, at), F.lit(CONTEXT)).alias("left"),
                     F.substring(F.get(gaps, at + 1), 1, 1).alias("right"),
                 ),
@@ -91,45 +108,74 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     rows = cut.select("key", "h", F.explode(F.concat(*(proposals(i) for i in range(len(GENERATORS))))).alias("x")).select("key", "h", "x.*").distinct()
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("key", "h", "gen").orderBy("at")))
+    placed = placed.withColumns({"kind": _number([k for k, *_ in GENERATORS], F.col("gen")), "base": F.element_at(F.array(*(F.lit(b) for _, b, *_ in GENERATORS)), F.col("gen") + 1)})
     digits = F.regexp_replace("shown", "[^0-9]", "")
     seps = F.length(F.regexp_replace("shown", "[0-9A-Za-z]", ""))
     valid = (
-        F.when(F.col("gen") == 0, True)
-        .when(F.col("gen") == 1, F.col("octets"))
-        .when(F.col("gen") == 2, _luhn(F.col("whole")))
-        .when(F.col("gen") == 3, F.length("whole").between(10, 15))
-        .otherwise(False)
+        F.when(F.col("kind") == "email", True)
+        .when(F.col("kind") == "ip", F.col("octets"))
+        .when(F.col("kind") == "card", _luhn(F.col("whole")))
+        .when(F.col("kind") == "phone", F.length("whole").between(10, 15))
+        .otherwise(F.col("left").rlike(ASSIGNED))
     )
-    kind = F.element_at(F.array(*(F.lit(k) for k, *_ in GENERATORS)), F.col("gen") + 1)
-    base = F.element_at(F.array(*(F.lit(b) for _, b, *_ in GENERATORS)), F.col("gen") + 1)
     return placed.select(
         "key",
         "h",
-        kind.alias("kind"),
-        base.alias("base"),
+        "kind",
+        "base",
         (F.col("end") - F.col("length")).alias("begin"),
         "end",
         valid.alias("valid"),
-        "gen",
+        (F.array_position(F.array(*(F.lit(k) for k in [*KINDS, SECRET])), F.col("kind")).cast("int")).alias("sort"),
         F.least(F.length(digits), F.lit(20)).alias("digits"),
         F.least(seps, F.lit(6)).alias("seps"),
-        F.least(F.floor(F.col("length") / 4), F.lit(12)).cast("int").alias("size"),
+        F.least(F.floor(F.length("shown") / 4), F.lit(12)).cast("int").alias("size"),
         _sort_of(F.right("left", F.lit(1))).alias("before"),
         _sort_of(F.col("right")).alias("after"),
         F.col("left").rlike(CUES).cast("int").alias("cue"),
-        F.when(digits.rlike("^[3-6]"), 1).otherwise(0).alias("lead"),
+        F.when(digits == "", 10).otherwise(F.substring(digits, 1, 1).cast("int")).alias("lead"),
         F.when(digits.rlike(r"^([0-9])\1*$"), 1).otherwise(0).alias("uniform"),
     )
 
 
+def _normal(match: Column, i: int) -> Column:
+    """The form that features are taken from: an address with its signs put back."""
+    if i != OBFUSCATED:
+        return match
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(match, r"(?i) ?[(\[{]at[)\]}] ?", "@"), r"(?i) ?[(\[{]dot[)\]}] ?", "."), r" ?\. ?", ".")
+
+
+def _six(match: Column) -> Column:
+    """Eight groups, or fewer with one gap."""
+    groups = F.size(F.split(match, ":", -1))
+    gaps = F.size(F.split(match, "::", -1)) - 1
+    return (((groups == 8) & (gaps == 0)) | ((gaps == 1) & (groups <= 8))) & ~match.contains(":::") & match.rlike(":[0-9A-Fa-f]{1,4}$|::$")
+
+
 def labelled(found: DataFrame) -> DataFrame:
-    """Adds `label`: a base candidate that passed, or a loose one that overlaps such a one of its kind; and `clash`:
-    a candidate that overlaps a passed base span of any kind without being one."""
-    passed = found.where("base AND valid").select("key", "h", F.col("kind").alias("k"), F.col("begin").alias("b"), F.col("end").alias("e"))
-    rest = found.where("NOT (base AND valid)")
-    over = passed.key.eqNullSafe(rest.key) & (passed.h == rest.h) & (passed.b < rest.end) & (rest.begin < passed.e)
-    met = rest.join(passed, over, "left").groupBy(*(rest[c] for c in rest.columns)).agg(F.coalesce(F.max(~F.col("base") & (F.col("k") == F.col("kind"))), F.lit(False)).alias("label"), F.max("b").isNotNull().alias("clash"))
-    return found.where("base AND valid").withColumns({"label": F.lit(True), "clash": F.lit(False)}).unionByName(met)
+    """Adds `label` (null: open) and `fixed` (kept without a score).
+
+    Which kept base spans a candidate overlaps is read off running sums over its document's candidates: of each kind the
+    latest end so far, and the next begin. So no candidates are paired, however many a document has."""
+    kept = F.col("base") & F.col("valid") & (F.col("kind") != SECRET)
+    so_far = Window.partitionBy("key", "h").orderBy("begin").rangeBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("key", "h").orderBy(F.desc("begin")).rangeBetween(Window.unboundedPreceding, -1)
+    marks = found
+    for name, window in (("e", so_far), ("b", later)):
+        of = {k: F.when(kept & (F.col("kind") == k), F.col("end" if name == "e" else "begin")) for k in KINDS}
+        marks = marks.withColumns({f"_{name}_{k}": (F.max if name == "e" else F.min)(x).over(window) for k, x in of.items()})
+
+    def met(k: str) -> Column:
+        return F.coalesce(F.col(f"_e_{k}") > F.col("begin"), F.lit(False)) | F.coalesce(F.col(f"_b_{k}") < F.col("end"), F.lit(False))
+
+    own, other = F.lit(False), F.lit(False)
+    for k in KINDS:
+        own = F.when(F.col("kind") == k, met(k)).otherwise(own)
+        other = other | ((F.col("kind") != k) & met(k))
+    label = F.when(F.col("base"), F.col("valid")).when(own, True).when(other | ~F.col("valid"), False)
+    known = marks.withColumns({"label": label, "fixed": F.col("base") & F.col("valid")})
+    addable = F.col("label").isNull() | ((F.col("kind") == SECRET) & ~F.col("fixed") & ~other)
+    return known.withColumn("open", addable).drop(*(f"_{n}_{k}" for n in "eb" for k in KINDS))
 
 
 def _split(cells: list[tuple], grad: list[float], curve: list[float], members: list[int]) -> tuple | None:
@@ -157,7 +203,7 @@ def _leaf(grad: list[float], curve: list[float], members: list[int]) -> float:
 
 
 def boost(cells: list[tuple]) -> tuple[float, list]:
-    """Start value and trees of depth two from (features, positives, negatives); a tree is (feature, bin, left, right) or a value."""
+    """Start value and trees of DEPTH from (features, positives, negatives); a tree is (feature, bin, left, right) or a value."""
     positives, negatives = sum(c[1] for c in cells), sum(c[2] for c in cells)
     start = log((positives + SMOOTH) / (negatives + SMOOTH))
     scores, trees = [start] * len(cells), []
@@ -174,7 +220,7 @@ def boost(cells: list[tuple]) -> tuple[float, list]:
         chance = [1 / (1 + exp(-s)) for s in scores]
         grad = [c[1] - (c[1] + c[2]) * p for c, p in zip(cells, chance, strict=True)]
         curve = [(c[1] + c[2]) * p * (1 - p) for c, p in zip(cells, chance, strict=True)]
-        tree = grow(list(range(len(cells))), grad, curve, 2)
+        tree = grow(list(range(len(cells))), grad, curve, DEPTH)
         trees.append(tree)
         scores = [s + value_of(tree, c[0]) for s, c in zip(scores, cells, strict=True)]
     return start, trees
@@ -195,7 +241,7 @@ def _expression(tree) -> Column:
 def fit(found: DataFrame) -> tuple[float, list, dict[str, float]]:
     """Start value, trees and thresholds by kind, from all labelled candidates."""
     fold = F.coalesce(F.crc32(F.col("key").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
-    sums = found.groupBy(fold, "kind", *FEATURES).agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
+    sums = found.where("label IS NOT NULL").groupBy(fold, "kind", *FEATURES).agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
     rows = sorted(sums.collect(), key=lambda r: tuple(r))
     merged: dict[tuple, list[int]] = {}
     for row in rows:
@@ -204,46 +250,56 @@ def fit(found: DataFrame) -> tuple[float, list, dict[str, float]]:
             cell[0] += row.pos
             cell[1] += row.neg
     start, trees = boost([(features, pos, neg) for features, (pos, neg) in merged.items()])
-    thresholds = {}
-    for kind in KINDS:
-        by_score: dict[float, list[int]] = {}
-        for row in rows:
-            if row.held_out and row.kind == kind:
-                score = round(start + sum(value_of(t, tuple(row[f] for f in FEATURES)) for t in trees), 9)
-                cell = by_score.setdefault(score, [0, 0])
-                cell[0] += row.pos
-                cell[1] += row.neg
-        pos = neg = 0
-        for score in sorted(by_score, reverse=True):
-            pos, neg = pos + by_score[score][0], neg + by_score[score][1]
-            if pos + neg >= LEAST and pos >= PRECISION * (pos + neg):
+    held = [(round(start + sum(value_of(t, tuple(row[f] for f in FEATURES)) for t in trees), 9), row.kind, row.pos, row.neg) for row in rows if row.held_out]
+    return start, trees, calibrate(held)
+
+
+def calibrate(held: list[tuple[float, str, int, int]]) -> dict[str, float]:
+    """The lowest score of each kind from which on PRECISION is reached; held has score, kind, positives and negatives."""
+    thresholds: dict[str, float] = {}
+    counts = {kind: [0, 0] for kind in [*KINDS, SECRET]}
+    pooled = [0, 0]
+    by_score: dict[float, list] = {}
+    for score, kind, pos, neg in held:
+        by_score.setdefault(score, []).append((kind, pos, neg))
+    for score in sorted(by_score, reverse=True):
+        for kind, pos, neg in by_score[score]:
+            for sums in (counts[kind], pooled):
+                sums[0] += pos
+                sums[1] += neg
+        prior = PRIOR * pooled[0] / max(1, sum(pooled))
+        for kind, (pos, neg) in counts.items():
+            if pos + prior >= PRECISION * (pos + neg + PRIOR):
                 thresholds[kind] = score - 1e-6
-    return start, trees, thresholds
+    return thresholds
 
 
 def find_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, h, spans, base_spans): arrays of (begin, order, kind, end) by begin, then kind; documents with spans only."""
+    """(key, h, spans, base_spans, secrets): arrays of (begin, order, kind, end) by begin, then kind; documents with spans only.
+    Secrets aren't among spans."""
     found = materialise(labelled(materialise(candidates(docs, key, text), "pii-candidates")), "pii-labelled")
     start, trees, thresholds = fit(found)
     score = sum((_expression(tree) for tree in trees), F.lit(float(start)))
     reach = F.lit(None).cast("double")
     for kind, threshold in thresholds.items():
         reach = F.when(F.col("kind") == kind, F.lit(threshold)).otherwise(reach)
-    order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
+    order = F.array_position(F.array(*(F.lit(k) for k in [*KINDS, SECRET])), F.col("kind"))
     span = F.struct(F.col("begin"), order.alias("order"), F.col("kind"), F.col("end"))
-    known = found.withColumn("score", score)
-    kept = known.where("base AND valid").select("key", "h", span.alias("span"), F.lit(True).alias("is_base"))
-    added = known.where("NOT (base AND valid) AND NOT clash").where(F.col("score") >= reach).select("key", "h", span.alias("span"), F.lit(False).alias("is_base"))
-    return kept.unionByName(added).groupBy("key", "h").agg(
-        F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set(F.when(F.col("is_base"), F.col("span")))).alias("base_spans")
+    taken = found.where(F.col("fixed") | (F.col("open") & (score >= reach))).select("key", "h", span.alias("span"), F.col("fixed"), (F.col("kind") == SECRET).alias("secret"))
+    longest = Window.partitionBy("key", "h", "secret", "span.kind").orderBy("span.begin", F.desc("span.end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = taken.withColumn("reached", F.max("span.end").over(longest)).where("fixed OR reached IS NULL OR span.end > reached")  # not within another of its kind
+    return outer.groupBy("key", "h").agg(
+        F.sort_array(F.collect_set(F.when(~F.col("secret"), F.col("span")))).alias("spans"),
+        F.sort_array(F.collect_set(F.when(F.col("fixed") & ~F.col("secret"), F.col("span")))).alias("base_spans"),
+        F.sort_array(F.collect_set(F.when(F.col("secret"), F.col("span")))).alias("secrets"),
     )
 
 
 def attach(docs: DataFrame, spans: DataFrame, *, key: str, text: str, keep: list[str]) -> DataFrame:
-    """Every row of docs, the columns of `keep`, and its spans and base_spans (null if there are none)."""
+    """Every row of docs, the columns of `keep`, and its spans, base_spans and secrets (null if there are none)."""
     hashed = docs.select(*(F.col(c) for c in keep), F.col(key).alias("_key_"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h_"))
-    named = spans.select(F.col("key").alias("_k_"), F.col("h").alias("_hash_"), "spans", "base_spans")
-    return hashed.join(named, F.col("_key_").eqNullSafe(F.col("_k_")) & (F.col("_h_") == F.col("_hash_")), "left").select(*keep, "_key_", "spans", "base_spans")
+    named = spans.select(F.col("key").alias("_k_"), F.col("h").alias("_hash_"), "spans", "base_spans", "secrets")
+    return hashed.join(named, F.col("_key_").eqNullSafe(F.col("_k_")) & (F.col("_h_") == F.col("_hash_")), "left").select(*keep, "_key_", "spans", "base_spans", "secrets")
 
 
 def listed(spans: Column) -> Column:
@@ -252,12 +308,20 @@ def listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
+    """Per row: key, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added, n_secret, secrets, n_found (spans and secrets)."""
     rows = attach(docs, find_spans(docs, key=key, text=text), key=key, text=text, keep=[])
     kinds = F.transform(F.coalesce("base_spans", F.array()), lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    added = F.coalesce(F.size("spans"), F.lit(0)) - F.coalesce(F.size("base_spans"), F.lit(0))
-    return rows.select(F.col("_key_").alias(key), *counts, F.sha2(listed(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), added.cast("long").alias("n_added"))
+    n = {c: F.size(F.coalesce(c, F.array())) for c in ("spans", "base_spans", "secrets")}
+    more = {"n_added": n["spans"] - n["base_spans"], "n_secret": n["secrets"], "n_found": n["spans"] + n["secrets"]}
+    return rows.select(
+        F.col("_key_").alias(key),
+        *counts,
+        F.sha2(listed(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        *(x.cast("long").alias(c) for c, x in more.items()),
+        listed(F.col("secrets")).alias("secrets"),
+    )
 
 
 def redacted(text: Column, spans: Column) -> Column:

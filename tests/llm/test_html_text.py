@@ -1,12 +1,15 @@
-from lakewright.llm import html_text
+import time
+from collections import defaultdict
+
+from lakewright.llm import common, html_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T &am</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site-header">Top <a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li></ul></nav>
 <div class="cookie-notice">We use cookies and more cookies and yet more cookies.</div>
 <div class="content post-12"><h1>Head &amp; line</h1><p>One <b>two</b>three<br>four &copy; &#233;&nbsp;x
-<p>unclosed   par &lt;tag&gt;<ul><li>item<li>other</ul><div class="ad">Buy now</div><form>name <input></form><!-- hidden --><p hidden>no</p></div>
+<p>unclosed   par &lt;tag&gt;<ul><li>item<li>other</ul><div class="ad">Buy now</div><form>name <input></form><!-- hidden --><p hidden>kept</p></div>
 <aside>side bar words</aside><section id="comments"><p>A reader says a very long thing that is no part of it at all.</p></section><footer>foot</footer></body></html>"""
-TEXT = "Head & line One twothree four © é x unclosed par <tag> item other"
+TEXT = "Head & line One twothree four © é x unclosed par <tag> item other kept"
 
 
 def test_article_of_a_page():
@@ -36,5 +39,69 @@ def test_the_host_decides(spark):
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     first = sorted(html_text.extract_pages(pages).collect())
-    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert sorted(html_text.extract_pages(pages).collect()) == first
+
+
+def test_tags_end_as_the_standard_says():
+    for html, text in (
+        ("<p>a<b title=it's>c</b> d</p>", "ac d"),
+        ('<div class="x><p>hello and more</p></div><p>z</p>', "hello and more"),
+        ("<article><p>costs <span class='share-price'>10 EUR</span> now</p></article>", "costs 10 EUR now"),
+        ("<article><div class='search-results-analysis'>found much</div></article>", "found much"),
+        ('<p>a<a href=x?y="b>c</a></p>', "ac"), ("<p title='>'>q</p>", "q"), ("<style-guide>kept</style-guide>", "kept"), ("<p>1<br/>2</p>", "1 2"),
+    ):
+        assert html_text.extract(html, None)[0] == text
+
+
+def test_what_is_aside():
+    for name in ("nav", "side-bar", "cookieBanner", "related-posts", "ad-slot", "newsletter_signup", "comment-list", "site-footer", "shareButtons"):
+        html = f"<body><article><p>{'story ' * 9}</p><div class='{name}'>noise</div></article></body>"
+        assert html_text.extract(html, None)[0] == ("story " * 9).strip(), name
+    for name in ("share-price", "adventure", "commentary", "menu-engineering", "noticeable", "post-body", "main-text"):
+        html = f"<body><article><p>story</p><div class='{name}'>kept</div></article></body>"
+        assert html_text.extract(html, None)[0] == "story kept", name
+
+
+def test_an_article_keeps_its_heading_and_lead():
+    html = "<body><div class='nav'>x</div><article><h1>Title</h1><p>Lead</p><div class='body'>{}</div><section>{}</section></article><footer>f</footer></body>"
+    long = "word " * 500
+    assert html_text.extract(html.format(long, "end"), None)[0] == f"Title Lead {long}end"
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.process_time()
+    k = 20_000
+    for html in (
+        "<p>x " + "<b>" * k + "</i>" * k, "<b>" + "<article>" + "<i>" * k + "</b>" * k, "<div>" + "<b>" * k + "<li>x</li>" * k, "<div>" * k + "<p>x</p>" * k,
+        "<a b='" * k, '<p c="' * k, "<a " * k, "<p " + "a=" * k, "<!--" * k, "<script" * k, "&#" * k, "<table><td>" * k, "<div class='" + "c " * k + "'>" + "<div>" * k + "x",
+    ):
+        html_text.extract(html, None)
+    assert time.process_time() - began < 60
+
+
+def test_votes_against_brute_force(spark):
+    """Pages without article elements, whose hosts decide between containers."""
+    rows = []
+    for i in range(120):
+        host = f"h{i % 5}.org"
+        body, other = "tale " * (20 + 7 * (i % 3)), "noise " * (30 if i % 4 == 0 else 3)
+        rows.append((i, f"https://{host}/{i}", f"<body><div class='lot{i}'><p>{other}</p></div><div class='col'><div class='tale{i % 5}'><p>{body}</p></div></div></body>"))
+    totals: dict = defaultdict(lambda: defaultdict(int))
+    for _, url, html in rows:
+        for key, (score, _) in html_text.containers(html).items():
+            totals[url.split("/")[2]][key] += round(score * 100)
+    want = {}
+    for host, by in totals.items():
+        want[host] = [k for k, n in sorted(by.items(), key=lambda x: (-x[1], x[0])) if n >= html_text.HOST_SHARE * max(by.values())]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert {r.host: r.paths for r in html_text.host_votes(pages.repartition(4)).collect()} == want
+    found = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    changed = 0
+    for i, url, html in rows:
+        scores = {k: n for k, (n, _) in html_text.containers(html).items()}
+        own = max(scores, key=scores.get)
+        key = next((k for k in want[url.split("/")[2]] if scores.get(k, 0) >= html_text.FAIR_SHARE * scores[own]), own)
+        assert found[i] == html_text.text_at(html, key) and found[i].startswith("tale")
+        changed += key != own
+    assert changed

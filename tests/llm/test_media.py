@@ -1,6 +1,9 @@
+import base64
 import gzip
+import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -50,9 +53,48 @@ def test_columns(spark):
 def test_texts(spark):
     rows = [(1, "a" * 64, "x"), (2, "é" * 33, "x"), (3, None, None), (4, "", None), (2, "é" * 33, "x"), (5, "word " * 100_000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, media string")
+    seen = set()
     for r in media.media_of_texts(docs, stored=True).collect():
         raw = {1: "a" * 64, 2: "é" * 33, 3: "", 4: "", 5: "word " * 100_000}[r.doc_id].encode()
         padded = raw + b"\0" * (64 if not raw else -len(raw) % 64)
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(padded), zlib.crc32(padded[-64:]))
-        assert media.samples(bytes(r.media)) == padded and len(r.media) == r.media_bytes
+        kind = "image/x-portable-graymap" if len(padded) >= media.IMAGE_BYTES else "audio/wav"
+        head = b"P5\n64 %d\n255\n" % (len(padded) // 64) if kind.startswith("image") else media.store_payload(padded)[:44]
+        assert bytes(r.media) == head + padded and media.samples(bytes(r.media), kind) == padded and len(r.media) == r.media_bytes
+        assert (r.payload_sha256, r.media_sha256) == (hashlib.sha256(padded).hexdigest(), hashlib.sha256(head + padded).hexdigest())
+        mean = sum(padded) / len(padded)
+        sd = (sum((x - mean) ** 2 for x in padded) / len(padded)) ** 0.5
+        crossings = sum((x > mean) != (y > mean) for x, y in zip(padded, padded[1:]))
+        want = f"{kind};declared=audio/wav;corrected={int(kind != 'audio/wav')};samples={len(padded)};sum={sum(padded)};sd={sd:.4f};peak={max(padded)};values={len(set(padded))};crossings={crossings};carved="
+        assert r.feature == want
+        seen.add((raw, r.feature))
+    assert len(seen) == len({f for _, f in seen}) == 4
     assert media.media_of_texts(docs.limit(0)).count() == 0
+
+
+def test_media_in_texts_are_carved(spark):
+    coded = base64.b64encode(png()).decode()
+    text = f"see <img src='data:image/jpeg;base64,{coded}'> and data:image/png;base64,AAAA%%%"
+    (row,) = media.media_of_texts(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.feature.endswith(f";carved=image/png;base64@{text.index(';base64')}+{8 + len(coded)}")
+
+
+def test_structures_within_structures():
+    machine = media.automaton()
+    inner = media.store_payload(b"\1\2" * 8)
+    outer = media.store_payload(b"...." + inner + b"....")
+    assert media.sniff(outer, machine) == [("audio/wav", 0, len(outer)), ("audio/wav", 48, len(inner))]
+    pdf = b"%PDF-1.4 a startxref 1 %%EOF more startxref 2 %%EOF"
+    assert media.sniff(pdf + b" " + pdf, machine) == [("application/pdf", 0, len(pdf)), ("application/pdf", len(pdf) + 1, len(pdf))]
+    box = lambda name, body: struct.pack(">I", 8 + len(body)) + name + body
+    long = struct.pack(">I4sQ", 1, b"mdat", 16 + 5) + b"12345"
+    open_ended = struct.pack(">I4s", 0, b"mdat") + b"678"
+    for tail in (long, open_ended):
+        assert media.sniff(box(b"ftyp", b"isom") + tail, machine) == [("video/mp4", 0, 12 + len(tail))]
+
+
+def test_hostile_bytes_take_linear_time():
+    machine, began = media.automaton(), time.process_time()
+    for unit in (b"%PDF-1.", b"PK\x03\x04", b"PK\x05\x06", b"\xff\xd8\xff\xe0\0\2\xff\xda\0\2", b"P5 9 9 255\n", b"OggS\0", b"ID3", b"BM", b";base64,", b"RIFF", b"\x1f\x8b\x08"):
+        media.sniff(unit * (500_000 // len(unit)), machine)
+    assert time.process_time() - began < 60

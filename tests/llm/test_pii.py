@@ -76,13 +76,44 @@ def test_trees_are_the_same_in_sql(spark):
     assert got == [round(start + sum(pii.value_of(t, c[0]) for t in trees), 9) for c in cells]
 
 
-def test_added_spans_come_from_the_model(spark):
-    """Card-like numbers that stand where checked ones stand are added though their checksum fails."""
-    good, bad = "4111111111111111", "4111111111111112"
-    rows = [(i, f"credit card {good} paid") for i in range(400)] + [(1000 + i, f"credit card {bad} paid") for i in range(10)] + [(2000 + i, f"part 12-34-56-78-90-12-34-56 x {i}") for i in range(300)]
+def test_open_candidates_are_added_by_form_and_context(spark):
+    """Numbers that a base match has run together with a neighbour are open: they are added where numbers of their form
+    mostly pass, and not where these mostly fail."""
+    good, bad, often = "4111111111111111", "7111111111111111", "7111111111111114"
+    assert luhn(good) and luhn(often) and not luhn(bad)
+    rows = [(i, f"credit card {good} paid") for i in range(100)] + [(1000 + i, f"credit card {good} {good} paid") for i in range(5)]
+    rows += [(2000 + i, f"part {bad} of {i % 10}") for i in range(100)] + [(3000 + i, f"part {often} {often} x") for i in range(5)]
+    rows += [(4000 + i, f"ring +1 (826) 555-40{10 + i} now") for i in range(40)] + [(5000, "ring +1 (826) 555-4081 190.137.223.204 now")]
     found = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found[1000].spans == "card:12:28" and found[1000].n_card == 0 and found[1000].n_added == 1
-    assert found[2000].spans == "" and found[0].n_card == 1
+    assert found[0].spans == "card:12:28" and found[0].n_card == 1 and found[0].n_added == 0
+    assert found[1000].spans == "card:12:28,card:29:45" and found[1000].n_card == 0 and found[1000].n_added == 2
+    assert found[2000].spans == "" and found[3000].spans == ""
+    assert found[5000].spans == "phone:5:22,ip:23:38" and found[5000].n_phone == 0 and found[5000].n_found == 2
+
+
+def test_secrets_are_apart(spark):
+    value = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    rows = [(1, f'so token = "{value}" there'), (2, f"API_KEY: {value} a@b.co"), (3, "an_ordinary_word_of_length and aaaaaaaaaaaaaaaaaaaaaaaaaaa"), (4, None)]
+    found = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i].secrets for i in (1, 2, 3, 4)] == ["secret:12:52", "secret:9:49", "", ""]
+    assert [found[i].n_found for i in (1, 2, 3, 4)] == [1, 2, 0, 0] and found[2].spans == "email:50:56"
+
+
+def test_labels_against_all_pairs(spark):
+    found = pii.labelled(pii.candidates(docs(spark).where("length(coalesce(text, '')) < 2000"), "doc_id", "text")).collect()
+    spans = [(r.key, r.h, r.kind, r.begin, r.end) for r in found if r.base and r.valid and r.kind != pii.SECRET]
+    assert len(found) > 30 and any(r.open for r in found)
+    for r in found:
+        met = {k for key, h, k, b, e in spans if (key, h) == (r.key, r.h) and b < r.end and r.begin < e}
+        want = r.valid if r.base else True if r.kind in met else False if met - {r.kind} or not r.valid else None
+        assert r.label == want and r.fixed == (r.base and r.valid)
+        assert r.open == (want is None or (r.kind == pii.SECRET and not r.fixed and not met))
+
+
+def test_thresholds_smooth_and_need_no_least_number():
+    held = [(3.0, "card", 40, 0), (2.0, "ip", 1, 0), (1.0, "card", 0, 40), (0.0, "phone", 0, 5)]
+    found = pii.calibrate(held)
+    assert found["card"] == 2.0 - 1e-6 and found["ip"] < 2.0 and 0.0 < found["phone"] and pii.calibrate([]) == {}
 
 
 def test_redaction(spark):
