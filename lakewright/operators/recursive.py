@@ -1,8 +1,9 @@
 """Budgeted recursive queries over files and symbols.
 
-The budget is a sequential fold whose exits differ: chunk and byte budgets end the query, a symbol over the chunk size
-ends only its file. So candidates are ranked in Spark, at most as many as the chunk budget can take from each file are
-brought over, in order, and the fold runs over that bounded list.
+The budget is a sequential fold over symbols in the order of their files. A symbol costs the bytes of its doc comment (or
+else signature), cut to the chunk size. Spent chunk and byte budgets end the query; a symbol that doesn't fit into
+what is left ends only its file. Candidates are ranked in Spark and brought over in blocks of at most the chunk
+budget's rows; a block holds only files whose first candidate still fits, so every block adds a hit and none is lost.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ class Result:
 
     def frames(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         return (
-            spark.createDataFrame(self.hits, "ref_id string, path string, name string, kind string, line_start int, bytes long"),
-            spark.createDataFrame(self.edges, "source string, target string, category string"),
+            spark.createDataFrame(self.hits, "ref_id string, path string, name string, kind string, line_start int, signature string, doc string, bytes long"),
+            spark.createDataFrame(self.edges, "source string, target string, category string, evidence string"),
         )
 
 
@@ -73,30 +74,50 @@ def matching(symbols: DataFrame, kinds: list[str], keywords: list[str]) -> DataF
 def recursive_query(symbols: DataFrame, kinds: list[str], keywords: list[str], budget: Budget = Budget(), *, external: bool = False) -> Result:
     """Hits in (path, line) order under the budget; each hit has an edge from the hit before it, the first from itself.
 
-    symbols: path, kind, name, signature, doc_comment, line_start, bytes.
+    symbols: path, kind, name, signature, doc_comment, line_start. A chunk budget of zero is an error.
     """
+    if budget.max_chunks <= 0:
+        raise ValueError("max_chunks must be greater than zero")
     order = Window.partitionBy("path").orderBy("line_start", "name")
-    ranked = matching(symbols, kinds, keywords).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= budget.max_chunks + 1)
-    rows = ranked.orderBy("path", "nth").limit(budget.max_chunks * (budget.max_chunks + 1))
-    result, skipped, seen = Result(), None, set()
-    for row in rows.toLocalIterator():
-        if len(result.hits) >= budget.max_chunks or result.bytes_used >= budget.max_total_bytes:
+    cost = F.least(F.octet_length(F.coalesce("doc_comment", "signature", F.lit(""))), F.lit(budget.max_bytes_per_chunk)).cast("long")
+    ranked = matching(symbols, kinds, keywords).withColumn("cost", cost).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= budget.max_chunks)
+    ranked = ranked.withColumn("first_cost", F.first("cost").over(order))
+    result, seen, after = Result(), set(), F.lit(True)
+    while len(result.hits) < budget.max_chunks and result.bytes_used < budget.max_total_bytes:
+        left = budget.max_total_bytes - result.bytes_used
+        block = ranked.where(after & (F.col("first_cost") <= left)).orderBy("path", "nth").limit(budget.max_chunks).collect()
+        ended = None
+        for row in block:
+            if len(result.hits) >= budget.max_chunks or result.bytes_used >= budget.max_total_bytes:
+                break
+            if row.path == ended:
+                continue
+            if result.bytes_used + row.cost > budget.max_total_bytes:
+                ended = row.path
+                continue
+            _add(result, row, external)
+            seen.add(row.path)
+        if len(block) < budget.max_chunks:
             break
-        if row.path == skipped:
-            continue
-        if row.bytes > budget.max_bytes_per_chunk or result.bytes_used + row.bytes > budget.max_total_bytes:
-            skipped = row.path
-            continue
-        hit = {"ref_id": f"{row.path}::{row.name}::{row.line_start}", "path": row.path, "name": row.name, "kind": row.kind, "line_start": row.line_start, "bytes": row.bytes}
-        result.hits.append(hit)
-        before = result.hits[max(len(result.hits) - 2, 0)]
-        result.edges.append({"source": before["ref_id"], "target": hit["ref_id"], "category": category(before, hit, external)})
-        result.bytes_used += row.bytes
-        seen.add(row.path)
+        last = block[-1]
+        after = F.col("path") > last.path
+        if ended != last.path:
+            after = after | ((F.col("path") == last.path) & (F.col("nth") > last.nth))
     result.files = len(seen)
     return result
 
 
+def _add(result: Result, row, external: bool) -> None:
+    hit = {
+        "ref_id": f"{row.path}::{row.kind}::{row.name}::{row.line_start}", "path": row.path, "name": row.name, "kind": row.kind, "line_start": row.line_start,
+        "signature": row.signature, "doc": row.doc_comment or "", "bytes": row.cost,
+    }
+    result.hits.append(hit)
+    before = result.hits[max(len(result.hits) - 2, 0)]
+    result.edges.append({"source": before["ref_id"], "target": hit["ref_id"], "category": category(before, hit, external), "evidence": "adjacent_hit"})
+    result.bytes_used += row.cost
+
+
 def plan_totals(files: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: files, bytes, symbols, doc_spans that a query would read."""
     read = files.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"))

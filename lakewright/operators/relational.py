@@ -59,10 +59,14 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Dat
     return ranked.where("_rank_ = 1").drop("_rank_")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows replace stored rows of the same key; within incoming the last by its columns wins."""
-    both = stored.withColumn("_turn_", F.lit(0)).unionByName(incoming.withColumn("_turn_", F.lit(1)))
-    return latest_per_key(both, keys, [F.desc("_turn_")]).drop("_turn_")
+def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Incoming rows replace stored rows of the same key. Of incoming rows of one key the last in `order` wins; without an
+    order, the greatest by the other columns from left to right, so the result never depends on how rows are dealt."""
+    rest = [F.struct(*(F.to_json(F.struct(c)) for c in incoming.columns if c not in keys)).alias("rest")] if len(incoming.columns) > len(keys) else []
+    place = F.struct(*order) if order else F.struct(F.lit(0).alias("none"))
+    last = incoming.select("*", F.struct(place.alias("place"), *rest).alias("_place_"))
+    newest = latest_per_key(last, keys, [F.desc("_place_")]).drop("_place_")
+    return stored.join(newest.select(*keys), keys, "left_anti").select(stored.columns).unionByName(newest, allowMissingColumns=True)
 
 
 def append_new(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,13 +100,29 @@ def lower_rank_percentile(values: str, share: float) -> Column:
     return F.when(F.size(ordered) > 0, F.element_at(ordered, (F.floor((F.size(ordered) - 1) * F.lit(share)) + 1).cast("int")))
 
 
-def ranked_percentiles(rows: DataFrame, keys: list[str], values: str, shares: dict[str, float]) -> DataFrame:
-    """Lower nearest ranks by running counts over distinct values, so equal values cost one row and no array grows."""
-    counted = rows.where(F.col(values).isNotNull()).groupBy(*keys, values).agg(F.count("*").alias("_n_"))
-    order = Window.partitionBy(*keys).orderBy(values).rowsBetween(Window.unboundedPreceding, 0)
-    upto = counted.withColumn("_upto_", F.sum("_n_").over(order)).withColumn("_all_", F.sum("_n_").over(Window.partitionBy(*keys)))
-    picks = [F.min(F.when(F.col("_upto_") > F.floor((F.col("_all_") - 1) * F.lit(share)), F.col(values))).alias(name) for name, share in shares.items()]
-    return upto.groupBy(*keys).agg(*picks)
+def ranked_percentiles(rows: DataFrame, keys: list[str], values: str, shares: dict[str, float], *, bins: int = 1024) -> DataFrame:
+    """Lower nearest ranks of groups of any size. A group's range is cut into bins of equal width and counted; the running
+    count over its bins tells which bin holds each rank, and only that bin's distinct values are ranked. So no task
+    sorts a group, however few groups there are."""
+    known = rows.where(F.col(values).isNotNull()).select(*keys, F.col(values).alias("_v_"))
+    ends = known.groupBy(*keys).agg(F.min("_v_").cast("double").alias("_low_"), F.max("_v_").cast("double").alias("_high_"), F.count("*").alias("_all_"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    met = lambda left, right, how="inner": left.alias("a").join(right.alias("b"), same, how) if keys else left.alias("a").crossJoin(F.broadcast(right).alias("b"))
+    width = F.col("b._high_") - F.col("b._low_")
+    cell = F.when(width > 0, F.least(F.floor((F.col("a._v_").cast("double") - F.col("b._low_")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    placed = met(known, ends).select(*(F.col(f"a.{k}").alias(k) for k in keys), "a._v_", "b._all_", cell.alias("_bin_"))
+    counted = placed.groupBy(*keys, "_all_", "_bin_").agg(F.count("*").alias("_n_"))
+    order = Window.partitionBy(*keys).orderBy("_bin_").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("_upto_", F.sum("_n_").over(order))
+    rank = {name: F.floor((F.col("_all_") - 1) * F.lit(share)) for name, share in shares.items()}
+    wanted = F.array_compact(F.array(*(F.when((r >= F.col("_upto_") - F.col("_n_")) & (r < F.col("_upto_")), F.struct(F.lit(name).alias("name"), (r - F.col("_upto_") + F.col("_n_")).alias("rest"))) for name, r in rank.items())))
+    picked = upto.withColumn("_wanted_", wanted).where(F.size("_wanted_") > 0).select(*keys, "_bin_", "_wanted_")
+    both = [*same, F.col("a._bin_") == F.col("b._bin_")]
+    inside = placed.alias("a").join(picked.alias("b"), both).select(*(F.col(f"a.{k}").alias(k) for k in keys), "a._bin_", "_v_", "_wanted_")
+    distinct = inside.groupBy(*keys, "_bin_", "_v_", "_wanted_").agg(F.count("*").alias("_n_"))
+    running = distinct.withColumn("_upto_", F.sum("_n_").over(Window.partitionBy(*keys, "_bin_").orderBy("_v_").rowsBetween(Window.unboundedPreceding, 0)))
+    found = running.select(*keys, "_v_", "_upto_", F.explode("_wanted_").alias("w")).where("_upto_ > w.rest")
+    return found.groupBy(*keys).agg(*(F.min(F.when(F.col("w.name") == name, F.col("_v_"))).alias(name) for name in shares))
 
 
 def period_start(now: Column, period: str) -> Column:

@@ -42,58 +42,82 @@ def vector_search(
 
     The query vector is a literal, so the scan, the filter and the score stay in one stage and
     `orderBy().limit()` plans as TakeOrderedAndProject: k rows leave each task. Rows whose vector is
-    null or of another length are skipped. A min_score filter commutes with the limit, since both
+    null are skipped; one of another length is an error. A min_score filter commutes with the limit, since both
     follow the score, and so runs first.
     """
     q = F.array(*[F.lit(float(x)) for x in query])
-    usable = rows.where(F.col(vector).isNotNull() & (F.size(vector) == len(query)))
+    wrong = F.raise_error(F.concat(F.lit(f"a vector of {len(query)} numbers was wanted, not of "), F.size(vector).cast("string")))
+    usable = rows.where(F.col(vector).isNotNull())
     if where is not None:
         usable = usable.where(where)
-    score = cosine_similarity(F.col(vector), q) if metric == "cosine" else -l2_distance(F.col(vector), q)
+    fits = F.when(F.size(vector) == len(query), F.col(vector)).otherwise(wrong.cast(rows.schema[vector].dataType))
+    score = cosine_similarity(fits, q) if metric == "cosine" else -l2_distance(fits, q)
     scored = usable.withColumn("score", score)
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
     return scored.orderBy(F.desc_nulls_last("score"), F.asc(key)).limit(limit)
 
 
-def batch_knn(queries: DataFrame, rows: DataFrame, *, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 1024, digits: int = 6) -> DataFrame:
-    """Exact nearest rows of every query by cosine: (query_id, key, score, place).
+#: Bytes of queries up to which they are broadcast.
+QUERY_BYTES = 64 << 20
 
-    Queries are cut into blocks of `block` vectors; every block meets every row batch in one matrix product, and
-    each batch passes on k rows a query only, which a window then ranks. Blocks, not all queries, are in memory.
+
+def batch_knn(
+    queries: DataFrame, rows: DataFrame, *, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 1024, digits: int = 6, exclude_self: bool = True
+) -> DataFrame:
+    """Exact nearest rows of every query by cosine: (query_id, key, score, place), ties by key.
+
+    Queries are handled in blocks of as many vectors as QUERY_BYTES hold. A block is broadcast, rows are streamed past it
+    where they are, in matrix products of `block` rows, and each task passes on k rows a query only, which a window
+    then ranks; rows aren't shuffled. `exclude_self` leaves out the row of the query's own key, for queries out of the same
+    table. A vector without length has no neighbours and is none; a null vector is skipped; another length is an error.
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("q"))
-    numbered = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-q.count() // block)))))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("members"))
+    size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(4 * F.size("q") + 16), F.lit(0)).alias("bytes")).head()
+    blocks = max(1, -(-size.bytes // QUERY_BYTES))
     parts = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("row_id"), F.col(vector).cast("array<float>").alias("v"))
-    batches = (
-        parts.withColumn("batch", F.pmod(F.xxhash64("row_id"), F.lit(max(1, -(-parts.count() // 4096)))))
-        .groupBy("batch")
-        .agg(F.collect_list(F.struct("row_id", "v")).alias("rows"))
-    )
-
-    def run(frames):
-        for frame in frames:
-            for members, found in zip(frame.members, frame.rows, strict=True):
-                yield _nearest(members, found, k, digits)
-
-    met = blocks.select("members").crossJoin(batches.select("rows"))
-    near = met.mapInPandas(run, "query_id long, row_id long, score double")
+    near = None
+    for number in range(blocks):
+        members = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).orderBy("query_id").toPandas()
+        shared = rows.sparkSession.sparkContext.broadcast((members.query_id.to_numpy(), [list(map(float, x)) for x in members.q]))
+        found = parts.mapInPandas(_scan(shared, k, block, digits, exclude_self), "query_id long, row_id long, score double")
+        near = found if near is None else near.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     ranked = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     return ranked.select("query_id", F.col("row_id").alias(key), "score", "place")
 
 
-def _nearest(members, found, k: int, digits: int):
-    import numpy as np
-    import pandas as pd
-
-    a = np.array([np.asarray(m["q"], float) for m in members])
-    b = np.array([np.asarray(r["v"], float) for r in found])
-    query_ids, row_ids = np.array([m["query_id"] for m in members]), np.array([r["row_id"] for r in found])
-    scores = np.round((a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T, digits)
-    scores[query_ids[:, None] == row_ids[None, :]] = -np.inf
-    order = np.lexsort((np.broadcast_to(row_ids, scores.shape), -scores), axis=1)[:, :k]
-    rows = np.arange(len(members))[:, None]
-    out = pd.DataFrame({"query_id": np.repeat(query_ids, order.shape[1]), "row_id": row_ids[order].ravel(), "score": scores[rows, order].ravel()})
-    return out[np.isfinite(out.score)]
+def _scan(shared, k: int, block: int, digits: int, exclude_self: bool):
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        ids, vectors = shared.value
+        if not len(ids):
+            return
+        a = np.array(vectors, float)
+        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+        alive = np.abs(a).sum(1) > 0
+        scores = np.full((len(ids), 0), -np.inf)
+        rows = np.zeros((len(ids), 0), np.int64)
+        for frame in frames:
+            for at in range(0, len(frame), block):
+                part = frame.iloc[at : at + block]
+                b = np.array([np.asarray(x, float) for x in part.v])
+                if b.shape[1:] != a.shape[1:]:
+                    raise ValueError(f"vectors of {a.shape[1]} numbers were wanted")
+                length = np.linalg.norm(b, axis=1)
+                found = np.round(a @ (b / np.maximum(length, 1e-300)[:, None]).T, digits)
+                found[:, length == 0] = -np.inf
+                found[~alive] = -np.inf
+                names = part.row_id.to_numpy()
+                if exclude_self:
+                    found[ids[:, None] == names[None, :]] = -np.inf
+                scores = np.concatenate([scores, found], axis=1)
+                rows = np.concatenate([rows, np.broadcast_to(names, found.shape)], axis=1)
+                order = np.lexsort((rows, -scores), axis=1)[:, :k]
+                scores, rows = np.take_along_axis(scores, order, 1), np.take_along_axis(rows, order, 1)
+        out = pd.DataFrame({"query_id": np.repeat(ids, scores.shape[1]), "row_id": rows.ravel(), "score": scores.ravel()})
+        yield out[np.isfinite(out.score)]
+
+    return run

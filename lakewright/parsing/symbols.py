@@ -245,10 +245,23 @@ def is_document(path: Column) -> Column:
     return name.rlike(r"\.(md|markdown|mdx|rst|txt|adoc)$") | name.rlike(r"^(readme|changelog|license|contributing)(\.|$)") | F.lower(path).rlike(r"(^|/)docs?/")
 
 
+#: Names of folders that hold tests (case counts), and endings and names of test files (in lower case).
+TEST_FOLDERS = [
+    "test", "tests", "spec", "specs", "__tests__", "__mocks__", "__snapshots__", "testdata", "test_data", "fixtures", "e2e", "integration_tests", "unit_tests", "benches", "benchmarks", "examples",
+]
+TEST_ENDINGS = [
+    "_test.go", "_test.rs", ".test.js", ".test.ts", ".test.tsx", ".test.jsx", ".test.mjs", ".test.cjs", ".spec.js", ".spec.ts", ".spec.tsx", ".spec.jsx", ".spec.mjs", ".spec.cjs", "_test.py", "_test.exs",
+]
+TEST_NAMES = ["conftest.py", "setup_test.go"]
+
+
 def is_test(path: Column) -> Column:
     """Test files by folder or name."""
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
-    return F.lower(path).rlike(r"(^|/)(tests?|__tests__|specs?|testing|fixtures|testdata|e2e)/") | name.rlike(r"(^test_|_test\.|\.test\.|\.spec\.|_spec\.|tests?\.(java|cs|php|swift|kt)$)")
+    parts = F.split(path, "/")
+    name = F.lower(F.element_at(parts, -1))
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    ending = F.exists(F.array(*map(F.lit, TEST_ENDINGS)), lambda e: name.endswith(e))
+    return F.arrays_overlap(folders, F.array(*map(F.lit, TEST_FOLDERS))) | ending | name.isin(*TEST_NAMES) | name.rlike(r"^test_.*\.py$")
 
 
 __all__ = ["extract_api", "extract_symbols", "is_document", "is_test", "kind_of", "language_column", "language_of"]

@@ -34,7 +34,8 @@ def local_session(cores: int = 8, app: str = "lakewright", **conf: str) -> Spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one is made only where the session names none."""
+    """The shared folder named by spark.checkpoint.dir. Where the session names none, a local session gets a private one; on a
+    cluster that is an error, since executors don't see each other's folders."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -43,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lakewright-checkpoint-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewright.functions import stemming
-from lakewright.operators import graph, recursive, relational, replay
+from lakewright.operators import graph, recursive, relational, replay, vector
 from lakewright.operators import text as T
 from lakewright.parsing import chunks, symbols
 
@@ -116,13 +116,82 @@ def test_replay(spark):
     assert values(replay.invalid_lines(bad), "line", "problem") == [(1, "conflict marker"), (2, "not JSON"), (3, "missing field")]
 
 
+def plain_recursion(rows, budget):
+    """The fold itself, over rows in order."""
+    hits, used, ended = [], 0, None
+    for path, _, name, signature, doc, line in sorted(rows, key=lambda r: (r[0], r[5], r[2])):
+        if len(hits) >= budget.max_chunks or used >= budget.max_total_bytes:
+            break
+        cost = min(len((doc if doc is not None else signature).encode()), budget.max_bytes_per_chunk)
+        if path == ended:
+            continue
+        if used + cost > budget.max_total_bytes:
+            ended = path
+            continue
+        hits.append((path, name, line))
+        used += cost
+    return hits, used
+
+
 def test_recursive_budget(spark):
-    rows = [("a/x.rs", "function", f"f{i}", "fn spawn()", None, i, n) for i, n in enumerate([10, 10, 9000, 10])] + [("a/y.rs", "function", "g", "fn spawn()", None, 1, 10), ("b/z.rs", "struct", "S", "spawn", None, 1, 10)]
-    frame = spark.createDataFrame(rows, "path string, kind string, name string, signature string, doc_comment string, line_start int, bytes long")
+    rows = [("a/x.rs", "function", f"f{i}", "fn spawn()", "spawn " * n if n else None, i) for i, n in enumerate([0, 0, 1500, 0])] + [("a/y.rs", "function", "g", "fn spawn()", None, 1), ("b/z.rs", "struct", "S", "spawn", None, 1)]
+    schema = "path string, kind string, name string, signature string, doc_comment string, line_start int"
+    frame = spark.createDataFrame(rows, schema)
     found = recursive.recursive_query(frame, ["function"], ["SPAWN"])
-    assert [h["name"] for h in found.hits] == ["f0", "f1", "g"] and found.bytes_used == 30
-    assert [(e["source"] == e["target"], e["category"]) for e in found.edges] == [(True, "same_module"), (False, "same_module"), (False, "same_crate")]
+    assert [h["name"] for h in found.hits] == ["f0", "f1", "f2", "f3", "g"] and found.bytes_used == 6040
+    assert found.hits[0]["ref_id"] == "a/x.rs::function::f0::0" and found.files == 2
+    assert [(e["source"] == e["target"], e["category"]) for e in found.edges] == [(True, "same_module")] + [(False, "same_module")] * 3 + [(False, "same_crate")]
     assert len(recursive.recursive_query(frame, [], [], recursive.Budget(max_chunks=2)).hits) == 2
+    with pytest.raises(ValueError, match="max_chunks"):
+        recursive.recursive_query(frame, [], [], recursive.Budget(max_chunks=0))
+
+
+def test_recursive_budgets_against_the_fold(spark):
+    dice = random.Random(4)
+    rows = [(f"f{i:02d}", "function", f"n{j}", "s" * dice.choice([1, 5, 40, 90]), None, j) for i in range(25) for j in range(dice.randint(1, 5))]
+    frame = spark.createDataFrame(rows, "path string, kind string, name string, signature string, doc_comment string, line_start int")
+    for budget in (recursive.Budget(2, 3, 50, 120), recursive.Budget(2, 7, 60, 130), recursive.Budget(2, 4, 90, 90), recursive.Budget(2, 200, 30, 400)):
+        found = recursive.recursive_query(frame, [], [], budget)
+        assert ([(h["path"], h["name"], h["line_start"]) for h in found.hits], found.bytes_used) == plain_recursion(rows, budget)
+
+
+def test_upsert_knows_the_last_row(spark):
+    stored = spark.createDataFrame([(1, "old", 0), (9, "kept", 0)], "id int, v string, at int")
+    for rows in ([(1, "a", 1), (1, "b", 2)], [(1, "b", 2), (1, "a", 1)]):
+        incoming = spark.createDataFrame(rows, "id int, v string, at int")
+        assert values(relational.upsert(stored, incoming, ["id"], [F.col("at")]), "id", "v") == [(1, "b"), (9, "kept")]
+        assert values(relational.upsert(stored, incoming, ["id"]), "id", "v") == [(1, "b"), (9, "kept")]
+
+
+def test_ranks_of_skewed_groups_against_sorting(spark):
+    dice = random.Random(8)
+    rows = [("hot", float(dice.choice([1, 1, 2, 1e6, dice.random()]))) for _ in range(3000)] + [("one", 5.0), ("same", 2.0), ("same", 2.0), ("none", None), (None, 4.0), (None, 8.0)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    for bins in (3, 1024):
+        found = {r.k: (r.p50, r.p95, r.p99) for r in relational.ranked_percentiles(frame, ["k"], "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, bins=bins).collect()}
+        for k in {k for k, v in rows if v is not None}:
+            own = sorted(v for n, v in rows if n == k and v is not None)
+            assert found.pop(k) == tuple(own[int((len(own) - 1) * p)] for p in (0.5, 0.95, 0.99))
+        assert not found
+    whole = relational.ranked_percentiles(frame, [], "v", {"p95": 0.95}).head().p95
+    own = sorted(v for _, v in rows if v is not None)
+    assert whole == own[int((len(own) - 1) * 0.95)]
+
+
+def test_nearest_rows_of_another_table(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [2.0, 0.1])], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    near = vector.batch_knn(queries, rows, k=2, exclude_self=False, block=1)
+    assert values(near, "query_id", "vec_id", "place") == [(1, 1, 1), (1, 5, 2)]
+    assert values(vector.batch_knn(queries, rows, k=2), "query_id", "vec_id", "place") == [(1, 2, 2), (1, 5, 1)]
+    with pytest.raises(Exception, match="3 numbers"):
+        vector.vector_search(rows, [1.0, 2.0, 3.0]).collect()
+
+
+def test_test_files(spark):
+    paths = ["src/conftest.py", "test_notes.md", "test_a.py", "a/tests/x.rs", "a/Tests/x.rs", "b_test.go", "App.Spec.TSX", "main.rs", "tests", "benches/b.rs", "contest.py"]
+    found = spark.createDataFrame([(p,) for p in paths], "p string").select("p", symbols.is_test(F.col("p")).alias("t")).collect()
+    assert [r.p for r in found if r.t] == ["src/conftest.py", "test_a.py", "a/tests/x.rs", "b_test.go", "App.Spec.TSX", "benches/b.rs"]
 
 
 def test_chunks_keep_their_bounds():
