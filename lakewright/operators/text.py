@@ -224,14 +224,21 @@ def positional_relevance(ranked: DataFrame, group: list[str], order: list[Column
 
 
 def snippet(text: Column, terms: list[str], *, width: int = 64, opening: str = "[", closing: str = "]") -> Column:
-    """The words around the first hit, at most `width` of them, with hits marked."""
+    """The `width` words that hold the most different terms, then the most hits, then come first, with hits marked; null
+    without a hit. Windows are tried from each hit on."""
     words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    is_hit = lambda w: F.array_contains(F.array(*map(F.lit, terms)), F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
-    flags = F.transform(words, is_hit)
-    first = F.greatest(F.array_position(flags, F.lit(True)).cast("int") - width // 4, F.lit(1))
-    window = F.slice(words, first, F.lit(width))
-    marked = F.transform(window, lambda w: F.when(is_hit(w), F.concat(F.lit(opening), w, F.lit(closing))).otherwise(w))
-    return F.when(F.array_contains(flags, True), F.array_join(marked, " "))
+    bare = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")
+    wanted = F.array(*map(F.lit, terms))
+    hits = F.filter(F.transform(words, lambda w, at: F.struct(at.alias("at"), bare(w).alias("word"))), lambda h: F.array_contains(wanted, h["word"]))
+
+    def worth(h: Column) -> Column:
+        inside = F.filter(hits, lambda o: (o["at"] >= h["at"]) & (o["at"] < h["at"] + width))
+        return F.struct(F.size(F.array_distinct(F.transform(inside, lambda o: o["word"]))).alias("terms"), F.size(inside).alias("hits"), (-h["at"]).alias("order"))
+
+    best = -F.array_max(F.transform(hits, worth))["order"]
+    window = F.slice(words, best.cast("int") + 1, F.lit(width))
+    marked = F.transform(window, lambda w: F.when(F.array_contains(wanted, bare(w)), F.concat(F.lit(opening), w, F.lit(closing))).otherwise(w))
+    return F.when(F.size(hits) > 0, F.array_join(marked, " "))
 
 
 # --- blending ---------------------------------------------------------------------------------------------------------

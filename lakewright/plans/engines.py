@@ -145,13 +145,20 @@ def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("path", (F.col("most") <= chunks.MOST_CHARS).alias("bounded"), (F.col("chars") >= F.col("bare")).alias("whole"))
 
 
-@register()
+@register(
+    """
+    WITH p AS (SELECT source || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS signature, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_start FROM documents)
+    SELECT path || '::function::p' || (line_start - 1) || '::' || line_start AS ref_id, path, least(octet_length(encode(signature)), 3000)::BIGINT AS bytes
+    FROM p WHERE contains(lower(signature), 'thble') ORDER BY path, line_start LIMIT 200
+    """
+)
 def recursive_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Paragraphs as symbols of their document."""
+    """Paragraphs as symbols of their document. 200 chunks of 3,000 bytes can't spend the byte budget, so SQL can say it."""
     docs = table(spark, folder, "documents", "doc_id", "source", "text")
     parts = docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "signature"))
-    symbols = parts.select("path", F.lit("function").alias("kind"), F.concat(F.lit("p"), F.col("at")).alias("name"), "signature", F.lit(None).cast("string").alias("doc_comment"), (F.col("at") + 1).alias("line_start"), F.octet_length("signature").cast("long").alias("bytes"))
-    return recursive.recursive_query(symbols, ["function"], ["thble"]).frames(spark)[0]
+    symbols = parts.select("path", F.lit("function").alias("kind"), F.concat(F.lit("p"), F.col("at")).alias("name"), "signature", F.lit(None).cast("string").alias("doc_comment"), (F.col("at") + 1).alias("line_start"))
+    found = recursive.recursive_query(symbols, ["function"], ["thble"], recursive.Budget(max_bytes_per_chunk=3000))
+    return found.frames(spark)[0].select("ref_id", "path", "bytes")
 
 
 @register(

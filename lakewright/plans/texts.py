@@ -117,25 +117,6 @@ def fts_match_grammar(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "text").where(T.matches(F.col("text"), query)).select("doc_id")
 
 
-@register(
-    """
-    WITH a AS (SELECT 'document' AS kind, doc_id AS id, length(text) AS size FROM documents WHERE contains(lower(text), 'thble')
-      UNION ALL SELECT 'item', item_id, length(text) FROM benchmark WHERE contains(lower(text), 'thble')
-      UNION ALL SELECT 'page', page_id, length(html) FROM pages WHERE contains(lower(html), 'thble')),
-    r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY size DESC, id) AS i FROM a), k AS (SELECT * FROM r WHERE i <= 20)
-    SELECT kind, id, round((count(*) OVER (PARTITION BY kind) - i + 1) / count(*) OVER (PARTITION BY kind), 6) AS relevance FROM k
-    """
-)
-def fts_multi_entity(spark: SparkSession, folder: str) -> DataFrame:
-    """Each entity kind gives its best 20 and is ranked by place, whatever its raw scores."""
-    parts = []
-    for kind, name, key, body in (("document", "documents", "doc_id", "text"), ("item", "benchmark", "item_id", "text"), ("page", "pages", "page_id", "html")):
-        rows = table(spark, folder, name, key, body).where(F.lower(body).contains("thble"))
-        parts.append(rows.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.length(body).alias("size")).orderBy(F.desc("size"), "id").limit(20))
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return T.positional_relevance(both, ["kind"], [F.desc("size"), F.asc("id")]).select("kind", "id", F.round("relevance", 6).alias("relevance"))
-
-
 @register(
     f"""
     WITH {TOKENS}, {BM25}, v AS (SELECT e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
@@ -171,12 +152,6 @@ def precision_mrr(spark: SparkSession, folder: str) -> DataFrame:
     return T.retrieval_metrics(judged, query="query_id", place="place", relevant="good", k=5)
 
 
-@register()
-def fts_snippet(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents", "doc_id", "text")
-    return docs.select("doc_id", T.snippet(F.col("text"), ["thble"]).alias("snippet")).where("snippet IS NOT NULL")
-
-
 @register("SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages")
 def url_parts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages", "page_id", "url").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"))
