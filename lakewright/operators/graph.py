@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakewright.session import ensure_checkpoint_dir
 
-#: Betweenness is skipped in graphs of more nodes, as its adjacency goes to every task.
+#: The default bound of nodes for betweenness, as its adjacency goes to every task.
 CENTRALITY_NODES = 1000
 
 
@@ -44,17 +44,17 @@ def ready_set(edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """(node, depth): what is reached from the start nodes within max_depth steps, at its smallest depth."""
+    """(node, depth): what is reached from the start nodes within max_depth steps, at its smallest depth. A step writes its
+    frontier only; what was reached before is read from the frontiers so far."""
     links = edges.select("src", "dst").distinct()
-    reached = cut(start.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
+    frontier = cut(start.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
+    reached = frontier
     for depth in range(1, max_depth + 1):
-        frontier = reached.where(F.col("depth") == depth - 1)
         found = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        new = found.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth))
-        grown = cut(reached.unionByName(new), "bfs")
-        if grown.where(F.col("depth") == depth).isEmpty():
-            return grown
-        reached = grown
+        frontier = cut(found.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)), "bfs")
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
     return reached
 
 
@@ -114,16 +114,34 @@ def weak_components(edges: DataFrame) -> DataFrame:
         labels = labels_next
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
+def analyse(edges: DataFrame, max_nodes: int = CENTRALITY_NODES) -> tuple[DataFrame, DataFrame | None]:
+    """One row (nodes, edges, components, cyclic, centrality_skipped), and the betweenness, or None where it was skipped
+    because the graph has more than max_nodes nodes."""
+    sizes = edges.agg(F.count("*").alias("edges")).crossJoin(nodes(edges).agg(F.count("*").alias("nodes")))
+    parts = weak_components(edges).agg(F.count_distinct("component").alias("components"))
+    skipped = nodes(edges).limit(max_nodes + 1).count() > max_nodes
+    row = sizes.crossJoin(parts).select("nodes", "edges", "components", F.lit(has_cycle(edges)).alias("cyclic"), F.lit(skipped).alias("centrality_skipped"))
+    return row, None if skipped else betweenness(edges, max_nodes)
+
+
+def dependency_tree(edges: DataFrame, root: str, max_depth: int = 50) -> DataFrame:
+    """(node, parent, depth): what root depends on, each node once, below its smallest parent among those one step nearer."""
+    found = bfs(edges, edges.sparkSession.range(1).select(F.lit(root).alias("node")), max_depth)
+    nearer = found.select(F.col("node").alias("src"), (F.col("depth") + 1).alias("depth"))
+    parents = edges.select("src", F.col("dst").alias("node")).distinct().join(nearer, "src")
+    return found.join(parents, ["node", "depth"], "left").groupBy("node", "depth").agg(F.min("src").alias("parent"))
+
+
+def betweenness(edges: DataFrame, max_nodes: int = CENTRALITY_NODES) -> DataFrame:
     """(node, score): directed, unnormalised, without end points, parallel edges once; best first, ties by label.
 
     Brandes' accumulation from each source is independent, so sources are spread over tasks; each task holds the
-    adjacency, which CENTRALITY_NODES bounds. Larger graphs give no rows.
+    adjacency, which max_nodes bounds. A larger graph is an error; `analyse` tells beforehand.
     """
     spark = edges.sparkSession
     every = nodes(edges)
-    if every.limit(CENTRALITY_NODES + 1).count() > CENTRALITY_NODES:
-        return spark.createDataFrame([], "node string, score double")
+    if every.limit(max_nodes + 1).count() > max_nodes:
+        raise ValueError(f"betweenness was asked of more than {max_nodes} nodes")
     adjacency = {r.src: sorted(r.out) for r in edges.groupBy("src").agg(F.collect_set("dst").alias("out")).collect()}
     shared = spark.sparkContext.broadcast(adjacency)
 

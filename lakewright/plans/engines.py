@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewright.operators import graph, recursive, replay
-from lakewright.parsing import chunks
+from lakewright.parsing import chunks, symbols
 from lakewright.plans.registry import register
 from lakewright.sources.tables import table
 
@@ -43,16 +43,58 @@ def graph_ready_set(spark: SparkSession, folder: str) -> DataFrame:
     return graph.ready_set(edges(spark, folder))
 
 
+TREES = """
+n AS (SELECT 'nation:' || n_nationkey AS node, n_regionkey AS r FROM nation UNION ALL SELECT DISTINCT 'region:' || n_regionkey, n_regionkey FROM nation
+  UNION ALL SELECT 'customer:' || c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+"""
+
+
+@register(f"WITH {TREES} SELECT node, min(node) OVER (PARTITION BY r) AS component FROM n")
+def graph_components(spark: SparkSession, folder: str) -> DataFrame:
+    """All customers, suppliers, nations and regions; the links make a tree of each region, which SQL can name."""
+    return graph.weak_components(edges(spark, folder))
+
+
+@register(f"WITH {EDGES}, {TREES} SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT r) FROM n) AS components, false AS cyclic, (SELECT count(*) FROM n) > 100 AS centrality_skipped")
+def graph_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.analyse(edges(spark, folder), 100)[0]
+
+
+@register(f"WITH {EDGES} SELECT src, dst FROM e WHERE src IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_acctbal > 0) AND dst IN (SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey < 3)")
+def graph_visible(spark: SparkSession, folder: str) -> DataFrame:
+    """Only edges both of whose ends are visible."""
+    rich = table(spark, folder, "customer", "c_custkey", "c_acctbal").where("c_acctbal > 0").select(graph.node(F.lit("customer"), F.col("c_custkey")).alias("node"))
+    near = table(spark, folder, "nation", "n_nationkey", "n_regionkey").where("n_regionkey < 3").select(graph.node(F.lit("nation"), F.col("n_nationkey")).alias("node"))
+    return graph.visible_subgraph(edges(spark, folder), rich.unionByName(near))
+
+
 @register(
+    f"""
+    WITH {EDGES}, k AS (SELECT node FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) ORDER BY node LIMIT 60)
+    SELECT src, dst FROM e WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k) ORDER BY src, dst LIMIT 40
     """
-    WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation),
-    b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, other) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.other)
-    SELECT node, min(other) AS component FROM r GROUP BY ALL
+)
+def graph_budgeted(spark: SparkSession, folder: str) -> DataFrame:
+    links = edges(spark, folder)
+    return graph.budgeted(links, graph.nodes(links), 60, 40)[0].select("src", "dst")
+
+
+@register("SELECT 'customer:1' AS node, 0::INT AS depth, NULL AS parent UNION ALL SELECT 'nation:' || c_nationkey, 1, 'customer:1' FROM customer WHERE c_custkey = 1 UNION ALL SELECT 'region:' || n_regionkey, 2, 'nation:' || n_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 1")
+def graph_dependency_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.dependency_tree(edges(spark, folder), "customer:1")
+
+
+@register(
+    """
+    SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_orderkey = orders.o_orderkey // 2 AND b.o_orderstatus = 'O' AND orders.o_orderkey > 0)
     """
 )
-def graph_components(spark: SparkSession, folder: str) -> DataFrame:
-    links = table(spark, folder, "nation", "n_nationkey", "n_regionkey").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dst"))
-    return graph.weak_components(links)
+def ready_work(spark: SparkSession, folder: str) -> DataFrame:
+    """Open orders that no open order blocks; an order is blocked by that of half its key."""
+    orders = table(spark, folder, "orders", "o_orderkey", "o_orderstatus")
+    issues = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"))
+    blockers = orders.where("o_orderkey > 0").select(F.col("o_orderkey").alias("id"), F.expr("o_orderkey div 2").alias("blocked_by"))
+    return graph.ready_work(issues, blockers).select("id")
 
 
 @register(
@@ -130,6 +172,70 @@ def replay_state(spark: SparkSession, folder: str) -> DataFrame:
     return state.join(counts, "id").select("id", F.col("value").cast("double").alias("value"), "n")
 
 
+TAG_OPS = "CASE event_type WHEN 'error' THEN 'untag' WHEN 'signup' THEN 'delete' ELSE 'tag' END"
+
+
+def event_log(spark: SparkSession, folder: str, op: str, data) -> DataFrame:
+    """Events as a log of operations on users."""
+    events = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type")
+    return events.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.lit("events").alias("file"), F.col("event_id").alias("line"), F.expr(op).alias("op"),
+        F.lit("user").alias("entity"), F.col("user_id").cast("string").alias("id"), data.alias("data"), F.lit("s").alias("ses"),
+    )
+
+
+@register(
+    f"""
+    WITH o AS (SELECT user_id::VARCHAR AS id, 't' || event_id % 3 AS tag, ts, event_id, {TAG_OPS} AS op FROM events),
+    d AS (SELECT *, max(CASE WHEN op = 'delete' THEN (ts, event_id) END) OVER (PARTITION BY id) AS gone FROM o)
+    SELECT id, tag FROM d WHERE op <> 'delete' AND (gone IS NULL OR (ts, event_id) > gone) GROUP BY ALL HAVING arg_max(op, (ts, event_id)) = 'tag'
+    """
+)
+def replay_tags(spark: SparkSession, folder: str) -> DataFrame:
+    log = event_log(spark, folder, TAG_OPS, F.to_json(F.struct(F.concat(F.lit("t"), F.col("event_id") % 3).alias("tag"))))
+    return replay.tags(log).select("id", "tag")
+
+
+@register("SELECT user_id::VARCHAR AS id, arg_max(event_id, (ts, event_id))::VARCHAR AS target FROM events WHERE event_type IN ('click', 'error') GROUP BY ALL HAVING arg_max(event_type, (ts, event_id)) = 'click'")
+def replay_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Clicks link a user to an event, errors undo it."""
+    body = F.to_json(F.struct(F.lit("user").alias("source_type"), F.lit("event").alias("target_type"), F.col("event_id").cast("string").alias("target_id"), F.lit("saw").alias("relation")))
+    log = event_log(spark, folder, "CASE event_type WHEN 'click' THEN 'link' WHEN 'error' THEN 'unlink' ELSE 'update' END", body)
+    return replay.links(log).select("id", F.regexp_replace("target", "^event:", "").alias("target"))
+
+
+@register("SELECT event_id::INT AS line, CASE event_id % 4 WHEN 0 THEN 'conflict marker' WHEN 1 THEN 'not JSON' ELSE 'missing field' END AS problem FROM events WHERE event_id % 4 < 3 AND NOT (event_id % 4 = 2 AND event_type = 'click')")
+def replay_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Log lines with a conflict marker, broken JSON, or (but for clicks) no id."""
+    events = table(spark, folder, "events", "event_id", "event_type")
+    whole = F.to_json(F.struct(F.lit("1").alias("ts"), F.lit("create").alias("op"), F.lit("user").alias("entity"), F.when((F.col("event_id") % 4 == 3) | (F.col("event_type") == "click"), "x").alias("id")))
+    value = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("<<<<<<< HEAD "), whole)).when(F.col("event_id") % 4 == 1, F.concat(F.lit("{"), whole)).otherwise(whole)
+    raw = events.select(F.lit("log").alias("file"), F.col("event_id").cast("int").alias("line"), value.alias("value"))
+    return replay.invalid_lines(raw).select("line", "problem")
+
+
+SOURCES = {
+    "py": ('def f{n}(a):\n    """Doc {n}."""\n    return a\n', "function", "f{n}", "Doc {n}.", 1, 3), "rs": ("/// Doc {n}\npub fn f{n}() {{\n}}\n", "function", "f{n}", "Doc {n}", 2, 3), "go": ("// Doc {n}\nfunc F{n}() {{\n}}\n", "function", "F{n}", "Doc {n}", 2, 3),
+    "java": ("public class C{n} {{\n}}\n", "class", "C{n}", "", 1, 2), "ts": ("export function f{n}() {{\n}}\n", "function", "f{n}", "", 1, 2), "json": ('{{"k{n}": 1}}', "property", "k{n}", "", 1, 1), "md": ("# T{n}\ntext\n", "module", "T{n}", "", 1, 3),
+}
+
+
+@register(
+    " UNION ALL ".join(
+        f"SELECT p_partkey || '.{end}' AS path, '{kind}' AS kind, '{name[0]}' || p_partkey AS name, replace('{doc}', '{{n}}', p_partkey::VARCHAR) AS doc, {a}::INT AS line_start, {b}::INT AS line_end FROM part"
+        for end, (_, kind, name, doc, a, b) in SOURCES.items()
+    )
+)
+def symbols_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A small source file in each of several languages for every part, and the symbol that each declares."""
+    keys = table(spark, folder, "part", "p_partkey").select(F.col("p_partkey").cast("string").alias("n"))
+    made = [keys.select(F.concat("n", F.lit(f".{end}")).alias("path"), F.replace(F.lit(body.replace("{{", "{").replace("}}", "}")), F.lit("{n}"), F.col("n")).alias("content")) for end, (body, *_) in SOURCES.items()]
+    files = made[0]
+    for more in made[1:]:
+        files = files.unionByName(more)
+    return symbols.extract_symbols(files).select("path", "kind", "name", F.coalesce("doc_comment", F.lit("")).alias("doc"), "line_start", "line_end")
+
+
 @register()
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.chunk_documents(table(spark, folder, "documents", "doc_id", "text"), path="doc_id", content="text").drop("section_path")
