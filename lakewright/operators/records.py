@@ -160,3 +160,36 @@ def merged_top(parts: list[DataFrame], *, distance: str, key: str, k: int) -> Da
 def discover(packages: DataFrame, dependencies: DataFrame, scope: Column, ecosystem: str) -> DataFrame:
     """Visible packages of an ecosystem that are among the user's dependencies."""
     return packages.where(scope & (F.col("ecosystem") == ecosystem)).join(dependencies.select("package").distinct(), "package", "left_semi")
+
+
+# --- entities ----------------------------------------------------------------------------------------------------------
+
+
+def create(stored: DataFrame, incoming: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
+    """Adds entities whose key isn't stored, with defaults where a field is null."""
+    filled = incoming.select(*(F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in incoming.columns))
+    return store_refs(stored, filled, keys)
+
+
+def update(stored: DataFrame, changes: DataFrame, key: str, *, data: str = "data", fields: list[str]) -> DataFrame:
+    """Partial updates: changes has one JSON object for each key; a field that it lacks is kept, null sets null, a value is set
+    in the column's own type."""
+    body = F.from_json(F.col(data), "map<string,string>")
+    named = changes.select(F.col(key).alias("_key_"), body.alias("_body_"))
+    joined = stored.join(named, F.col(key) == F.col("_key_"), "left")
+
+    def new(c: str) -> Column:
+        given = F.coalesce(F.map_contains_key("_body_", F.lit(c)), F.lit(False))
+        return F.when(given, F.col("_body_").getItem(c).cast(stored.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+
+    return joined.select(*(new(c) if c in fields else F.col(c) for c in stored.columns))
+
+
+def schema_problems(json: Column, required: dict[str, str]) -> Column:
+    """What is wrong with a JSON object, as an array: "name: missing", or "name: not integer|number|boolean|string"."""
+    forms = {"integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$", "boolean": "^(true|false)$", "string": r"(?s)^.*$"}
+    found = []
+    for name, kind in required.items():
+        value = F.get_json_object(json, f"$.{name}")
+        found.append(F.when(value.isNull(), F.lit(f"{name}: missing")).when(~value.rlike(forms[kind]), F.lit(f"{name}: not {kind}")))
+    return F.array_compact(F.array(*found))

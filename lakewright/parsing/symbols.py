@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.parsing.chunks import _markdown, _rst, kind_of
+from lakewright.parsing.chunks import _markdown, _rst, _text, kind_of
 
 #: File name endings and the languages that they stand for.
 LANGUAGES = {
@@ -201,7 +201,7 @@ def _declared(language: str) -> Callable[[str], Iterator[Symbol]]:
 
 
 READERS: dict[str, Callable[[str], Iterator[Symbol]]] = {language: _declared(language) for language in DECLARATIONS} | {
-    "python": _python, "json": _json, "toml": _toml, "html": _html, "markdown": _headings(_markdown), "rst": _headings(_rst), "text": _headings(lambda lines: []),
+    "python": _python, "json": _json, "toml": _toml, "html": _html, "markdown": _headings(_markdown), "rst": _headings(_rst), "text": _headings(_text),
 }
 
 

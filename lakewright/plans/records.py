@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lakewright.operators import records as K
 from lakewright.operators import relational as R
-from lakewright.parsing import symbols
+from lakewright.parsing import chunks, symbols
 from lakewright.plans.registry import register
-from lakewright.sources.tables import table
+from lakewright.sources.tables import memory_lake, table
 
 # --- predicates --------------------------------------------------------------------------------------------------------
 
@@ -346,3 +346,100 @@ def reference_store(spark: SparkSession, folder: str) -> DataFrame:
     """Edges stored twice are there once."""
     links = table(spark, folder, "lineitem", "l_orderkey", "l_partkey").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
     return K.store_refs(K.store_refs(links.limit(0), links, ["source", "target"]), links, ["source", "target"])
+
+
+# --- entities, views, chunks ---------------------------------------------------------------------------------------------
+
+
+@register("SELECT p_partkey, CASE p_partkey % 3 WHEN 1 THEN NULL WHEN 2 THEN 'new' ELSE p_type END AS p_type, (CASE WHEN p_partkey % 3 = 2 THEN 1 ELSE p_size END)::BIGINT AS p_size FROM part")
+def partial_update(spark: SparkSession, folder: str) -> DataFrame:
+    """A missing field is kept, null sets null, a value is set."""
+    parts = table(spark, folder, "part", "p_partkey", "p_type", F.col("p_size").cast("long").alias("p_size"))
+    said = F.when(F.col("p_partkey") % 3 == 0, "{}").when(F.col("p_partkey") % 3 == 1, '{"p_type": null}').otherwise('{"p_type": "new", "p_size": 1}')
+    return K.update(parts, parts.select("p_partkey", said.alias("data")), "p_partkey", fields=["p_type", "p_size"])
+
+
+@register("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 0 THEN 'open' ELSE n_name END AS status FROM nation UNION ALL SELECT 1000 + r_regionkey, 'open' FROM region")
+def entity_create(spark: SparkSession, folder: str) -> DataFrame:
+    """New keys are added with defaults, known ones are ignored."""
+    stored = table(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_regionkey") == 0, "open").otherwise(F.col("n_name")).alias("status"))
+    fresh = table(spark, folder, "region").select((F.col("r_regionkey") + 1000).alias("id"), F.lit(None).cast("string").alias("status"))
+    return K.create(stored, fresh.unionByName(stored.select("id", F.lit("late").alias("status"))), ["id"], {"status": "open"})
+
+
+@register(
+    """
+    WITH l AS (SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, l_linenumber AS n, l_orderkey AS o, l_returnflag AS s FROM lineitem WHERE l_linenumber <= 2),
+    k AS (SELECT a, b, arg_max(s, (o, s)) FILTER (n = 1) AS first, arg_max(s, (o, s)) FILTER (n = 2) AS second FROM l GROUP BY ALL) SELECT a, b, coalesce(second, first) AS status FROM k
+    """
+)
+def compat_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Checks of pairs under a symmetric key: the later of those that come in replaces what is stored."""
+    lines = table(spark, folder, "lineitem", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag")
+    named = lines.select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"), "l_linenumber", "l_orderkey", F.col("l_returnflag").alias("status"))
+    order = [F.col("l_orderkey"), F.col("status")]
+    first = R.upsert(named.limit(0), named.where("l_linenumber = 1"), ["a", "b"], order)
+    return R.upsert(first, named.where("l_linenumber = 2"), ["a", "b"], order).select("a", "b", "status")
+
+
+@register(
+    """
+    WITH d AS (SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL)
+    SELECT day, event_type, CASE WHEN event_type = 'click' THEN n + 1 ELSE n END AS n FROM d
+    """
+)
+def daily_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily counts by kind; counts that come in again replace those of their day and kind."""
+    days = table(spark, folder, "events", "ts", "event_type").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    return R.upsert(days, days.where("event_type = 'click'").withColumn("n", F.col("n") + 1), ["day", "event_type"])
+
+
+@register("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'k: missing' WHEN event_id % 3 = 1 THEN 'k: not integer' ELSE '' END AS problems FROM events")
+def schema_check(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events", "event_id", "props")
+    broken = F.when(F.col("event_id") % 3 == 0, "{}").when(F.col("event_id") % 3 == 1, '{"k": "x"}').otherwise(F.col("props"))
+    return events.select("event_id", F.array_join(K.schema_problems(broken, {"k": "integer"}), ",").alias("problems"))
+
+
+@register("SELECT n_name, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
+def memory_views(spark: SparkSession, folder: str) -> DataFrame:
+    """SQL over temporary views."""
+    memory_lake(spark, {"lake_customer": table(spark, folder, "customer"), "lake_nation": table(spark, folder, "nation")})
+    return spark.sql("SELECT n_name, count(*) AS customers FROM lake_customer JOIN lake_nation ON n_nationkey = c_nationkey GROUP BY n_name")
+
+
+@register("SELECT k AS nation, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY ALL")
+def two_file_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of two files as one table."""
+    names = [("customer", "c_nationkey"), ("supplier", "s_nationkey")]
+    first, second = (table(spark, folder, name, F.col(key).alias("nation")) for name, key in names)
+    return first.unionByName(second).groupBy("nation").agg(F.count("*").alias("n"))
+
+
+@register("SELECT event_id, event_type AS tool, (props->>'k')::INT AS k FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest calls, flattened from JSON."""
+    newest = table(spark, folder, "events", "event_id", "ts", "event_type", "props").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+    return newest.select("event_id", F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@register(
+    """
+    SELECT p_partkey || '.md' AS path, 0::INT AS chunk_index, 'T' || p_partkey AS title, 'T' || p_partkey AS trail, 0::BIGINT AS byte_offset, (length('' || p_partkey) + 10)::INT AS char_len FROM part
+    UNION ALL SELECT p_partkey || '.md', 1, 'S' || p_partkey, 'T' || p_partkey || '/S' || p_partkey, length('' || p_partkey) + 10, length('' || p_partkey) + 10 FROM part
+    """
+)
+def chunk_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """A Markdown file with a section and one within it for every part."""
+    keys = table(spark, folder, "part", "p_partkey").select(F.col("p_partkey").cast("string").alias("n"))
+    made = keys.select(F.concat("n", F.lit(".md")).alias("path"), F.concat(F.lit("# T"), "n", F.lit("\nalpha\n"), F.lit("## S"), "n", F.lit("\nbeta\n")).alias("content"))
+    found = chunks.chunk_documents(made, path="path", content="content")
+    return found.select("path", "chunk_index", "title", F.array_join("section_path", "/").alias("trail"), "byte_offset", "char_len")
+
+
+@register("SELECT p_partkey::VARCHAR || '.txt' AS path, CASE WHEN n <= 2048 THEN 1 ELSE 1 + ceil((n - 2048) / 1848)::BIGINT END AS pieces, n + 200 * (CASE WHEN n <= 2048 THEN 0 ELSE ceil((n - 2048) / 1848)::BIGINT END) AS chars FROM (SELECT p_partkey, (p_size * 173 + 1)::BIGINT AS n FROM part)")
+def chunk_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without a line end are cut hard, at 2,048 characters with 200 of overlap."""
+    made = table(spark, folder, "part", "p_partkey", "p_size").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"), F.repeat(F.lit("x"), F.col("p_size").cast("int") * 173 + 1).alias("content"))
+    found = chunks.chunk_documents(made, path="path", content="content")
+    return found.groupBy("path").agg(F.count("*").alias("pieces"), F.sum("char_len").alias("chars"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,12 +40,26 @@ class Store:
         version = f"v-{uuid.uuid4().hex}"
         writer = rows.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.folder}/{version}")
-        n = current[0] + 1 if current else 1
-        self.spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(version).alias("version")).coalesce(1).write.mode("append").json(f"{self.folder}/pointer")
+        self._claim(current[0] + 1 if current else 1, version)
+
+    def _claim(self, n: int, version: str) -> None:
+        """Makes `version` the n-th by creating its pointer, which only one writer can; the other gets an error and its
+        version is removed."""
+        context = self.spark.sparkContext
+        paths = context._jvm.org.apache.hadoop.fs.Path
+        pointer = paths(f"{self.folder}/pointer/{n:012d}.json")
+        system = pointer.getFileSystem(context._jsc.hadoopConfiguration())
+        try:
+            out = system.create(pointer, False)
+        except Exception as taken:
+            system.delete(paths(f"{self.folder}/{version}"), True)
+            raise RuntimeError("another writer has changed the table meanwhile") from taken
+        out.write(bytearray(json.dumps({"n": n, "version": version}).encode() + b"\n"))
+        out.close()
 
     def upsert(self, rows: DataFrame, keys: list[str]) -> None:
         stored = self.read()
-        self.replace(rows.dropDuplicates(keys) if stored is None else R.upsert(stored, rows, keys))
+        self.replace(R.upsert(rows.limit(0) if stored is None else stored, rows, keys))
 
     def append(self, rows: DataFrame, keys: list[str], *, strict: bool = False) -> None:
         """Adds rows of new keys; with strict, a key that is stored already is an error."""

@@ -9,3 +9,9 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """Table `name` of `folder`; naming columns narrows the scan's read schema."""
     frame = spark.read.parquet(f"{folder}/{name}.parquet")
     return frame.select(*columns) if columns else frame
+
+
+def memory_lake(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
+    """Names frames as temporary views, so that SQL can ask them without anything being written."""
+    for name, frame in frames.items():
+        frame.createOrReplaceTempView(name)

@@ -74,3 +74,15 @@ def test_active_counts_never_go_below_zero(spark, tmp_path):
     query = events.active_counts(events.read_stream(spark, folder, rows.schema), "start", "stop").writeStream.outputMode("update").format("memory").queryName("active").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("active").head().active == 1
+
+
+def test_two_writers_cannot_take_one_version(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    first, second = sinks.Store(spark, folder), sinks.Store(spark, folder)
+    first.replace(spark.createDataFrame([(1, "a")], "id int, v string"))
+    known = second._current()
+    first.upsert(spark.createDataFrame([(2, "b")], "id int, v string"), ["id"])
+    second._current = lambda: known
+    with pytest.raises(RuntimeError, match="another writer"):
+        second.replace(spark.createDataFrame([(3, "c")], "id int, v string"))
+    assert sorted(map(tuple, first.read().collect())) == [(1, "a"), (2, "b")]
