@@ -269,8 +269,8 @@ def recursive_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     """
-    WITH t AS (SELECT item_id AS id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: x IN ('the', 'of', 'with'))) AS shared FROM benchmark)
-    SELECT id, round(10 * shared + 2 * (1 + id % 3) - 0.2 * (id % 30) - 50, 6) AS score FROM t WHERE shared > 0 ORDER BY score DESC, id LIMIT 10
+    WITH t AS (SELECT item_id AS id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: x IN ('the', 'of', 'with'))) AS shared, CASE WHEN contains(lower(text), 'thble') THEN length(text) / 10 END AS rank FROM benchmark)
+    SELECT id, round(10 * shared + 2 * (1 + id % 3) - 0.2 * (id % 30) - coalesce(rank, 50), 6) AS score FROM t WHERE shared > 0 OR rank IS NOT NULL ORDER BY score DESC, id LIMIT 10
     """
 )
 def precedent_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -280,7 +280,7 @@ def precedent_score(spark: SparkSession, folder: str) -> DataFrame:
     now = F.expr("TIMESTAMP '2024-02-01 00:00:00'")
     grade = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.col("item_id") % 3 + 1).cast("int"))
     decisions = items.select(F.col("item_id").alias("id"), grade.alias("confidence"), (now - F.make_dt_interval((F.col("item_id") % 30).cast("int"))).alias("created_at"))
-    ranked = spark.createDataFrame([], "id long, rank double")
+    ranked = items.where(F.lower("text").contains("thble")).select(F.col("item_id").alias("id"), (F.length("text") / 10).alias("rank"))
     return recursive.precedents(shared, ranked, decisions, now)
 
 

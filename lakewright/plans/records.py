@@ -269,7 +269,7 @@ def snapshot_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("SELECT p_partkey, substr(md5(concat_ws(':', p_brand, p_name, p_type, p_size::VARCHAR, '')), 1, 16) AS id FROM part")
-def stable_ids(spark: SparkSession, folder: str) -> DataFrame:
+def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Five fields; a null counts as empty."""
     parts = table(spark, folder, "part", "p_partkey", "p_brand", "p_name", "p_type", "p_size")
     return parts.select("p_partkey", R.stable_id("p_brand", "p_name", "p_type", F.col("p_size").cast("string"), F.lit(None)).alias("id"))
