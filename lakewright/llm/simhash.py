@@ -6,8 +6,8 @@ Fingerprints that differ in at most DISTANCE bits are linked, and documents are
 * Every fingerprint carries its pivot table: its Hamming distances to PIVOTS fixed reference fingerprints, seven to
   a long. By the triangle inequality two fingerprints whose tables differ by more than DISTANCE in any coordinate
   can't be linked; only survivors of that test are compared bit by bit.
-* Which pairs are tested: 64 bits are cut into BLOCKS blocks; fingerprints at most DISTANCE bits apart agree on
-  BLOCKS - DISTANCE whole blocks, so they share one of the keys made of that many blocks. (Distances to random
+* Which pairs are tested: 64 bits are cut into BLOCKS blocks, or more if there are very many fingerprints; fingerprints at most DISTANCE bits apart agree on
+  all but DISTANCE whole blocks, so they share one of the keys made of that many blocks. (Distances to random
   references alone don't cut a set of fingerprints up: they concentrate around 32, and cells of them would hold
   nearly everything.)
 * A key's fingerprints aren't compared pair by pair. All are tested against the key's heaviest fingerprint (the one of
@@ -34,6 +34,8 @@ from lakewright.llm.common import map_batches, materialise
 from lakewright.llm.components import components
 
 DISTANCE, BLOCKS, PIVOTS, SEED = 4, 7, 21, 42
+#: Distinct fingerprints from which on a key takes one more block, so that strangers seldom share one by chance.
+MORE_BLOCKS = [1 << 26, 1 << 31]
 #: Words of a shingle.
 WIDTH = 4
 
@@ -105,12 +107,18 @@ def linked(a: str, b: str) -> Column:
     return test & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= DISTANCE)
 
 
-def block_keys(fp: Column) -> Column:
-    """Array of hashes of the fingerprint's bits in every choice of BLOCKS - DISTANCE blocks."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(BLOCKS)]
+def blocks_for(fingerprints: int) -> int:
+    """More blocks make longer keys and more of them. Whatever the number, no link is lost; 7, 8 and 9 blocks give keys of
+    27, 32 and 35 bits."""
+    return BLOCKS + sum(fingerprints >= n for n in MORE_BLOCKS)
+
+
+def block_keys(fp: Column, blocks: int = BLOCKS) -> Column:
+    """Array of hashes of the fingerprint's bits in every choice of blocks - DISTANCE blocks."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
     keys = []
-    for number, chosen in enumerate(combinations(masks, BLOCKS - DISTANCE)):
+    for number, chosen in enumerate(combinations(masks, blocks - DISTANCE)):
         keys.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(_signed(sum(chosen))))))
     return F.array(*keys)
 
@@ -119,7 +127,7 @@ def fingerprint_groups(classes: DataFrame) -> DataFrame:
     """(node, root) over distinct fingerprints; classes has fp and n (its documents). Roots themselves are left out."""
     tables = [f"t{k}" for k in range(PIVOTS // 7)]
     known = classes.select("fp", "n", *(t.alias(name) for t, name in zip(pivot_table(F.col("fp")), tables, strict=True)))
-    spread = known.select(F.explode(block_keys(F.col("fp"))).alias("key"), "fp", "n", *tables)
+    spread = known.select(F.explode(block_keys(F.col("fp"), blocks_for(classes.count()))).alias("key"), "fp", "n", *tables)
     heaviest = spread.groupBy("key").agg(F.max(F.struct("n", "fp", *tables)).alias("c"), F.count("*").alias("members")).where("members > 1")
     members = materialise(
         spread.drop("n").join(heaviest.select("key", "c"), "key").where("fp <> c.fp").select("key", F.struct("fp", *tables).alias("x"), "c"), "simhash-keys"

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -39,8 +40,10 @@ def test_fingerprints_against_a_plain_version():
     assert [simhash.fingerprint(t) for t in texts] == [plain(t) for t in texts]
 
 
-def test_groups_of_hard_fingerprints(spark):
-    """Chains, dense clouds around centres, and strangers."""
+@pytest.mark.parametrize("more", [[], [1], [1, 1]])
+def test_groups_of_hard_fingerprints(spark, monkeypatch, more):
+    """Chains, dense clouds around centres, and strangers, by keys of three, four and five blocks."""
+    monkeypatch.setattr(simhash, "MORE_BLOCKS", more)
     dice = random.Random(7)
     values = [dice.getrandbits(64) for _ in range(40)] + [0, 1]
     for _ in range(3):
