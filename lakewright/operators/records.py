@@ -193,3 +193,26 @@ def schema_problems(json: Column, required: dict[str, str]) -> Column:
         value = F.get_json_object(json, f"$.{name}")
         found.append(F.when(value.isNull(), F.lit(f"{name}: missing")).when(~value.rlike(forms[kind]), F.lit(f"{name}: not {kind}")))
     return F.array_compact(F.array(*found))
+
+
+def random_id(prefix: str, *, digits: int = 8) -> Column:
+    """prefix- and random hex digits; another one for each row and each run."""
+    return F.concat(F.lit(f"{prefix}-"), F.substring(F.md5(F.uuid()), 1, digits))
+
+
+def cache_action(state: Column, results: Column) -> Column:
+    """What a lookup does: use a fresh entry (and refresh it if it is empty), use and refresh a stale one, fetch a missing one."""
+    return F.when(state == "miss", "fetch").when((state == "stale") | (results == 0), "use and refresh").otherwise("use")
+
+
+def step_metrics(events: DataFrame, *, workflow: str, step: str, ok: Column) -> DataFrame:
+    """(workflow, step, succeeded, failed, success_rate)."""
+    sums = events.groupBy(workflow, step).agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"))
+    return sums.withColumn("success_rate", F.round(F.col("succeeded") * 100.0 / (F.col("succeeded") + F.col("failed")), 6))
+
+
+def fallback_spans(lines: DataFrame) -> DataFrame:
+    """(path, line_no, kind, line): declarations and doc lines by how a line begins, for files that no extractor reads."""
+    bare = F.ltrim("line")
+    kind = F.when(bare.rlike(r"^(pub )?fn "), "function").when(bare.rlike(r"^(pub )?struct "), "struct").when(bare.startswith("///") | bare.startswith("//!"), "doc")
+    return lines.withColumn("kind", kind).where("kind IS NOT NULL").select("path", "line_no", "kind", "line")

@@ -77,6 +77,20 @@ class Index:
         made.read(F.lit(True)).select("*", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
         made.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
+    @staticmethod
+    def refresh(spark: SparkSession, path: str, changed: list[tuple[DataFrame, str, str, list[str]]], gone: DataFrame, target: str) -> None:
+        """Writes the index anew to `target` without the rows of `gone` (entity, id) and with the changed rows in place of
+        what was stored of them; what has not changed isn't cut into tokens again."""
+        fresh = Index.of(changed)
+        sizes = reduce(DataFrame.unionByName, (lengths(r, entity=e, key=k, fields=f) for r, e, k, f in changed)) if changed else None
+        out = gone.select("entity", F.col("id").cast("string").alias("id"))
+        out = (out.unionByName(sizes.select("entity", "id")) if sizes is not None else out).distinct()
+        kept = spark.read.parquet(f"{path}/postings").join(out, ["entity", "id"], "left_anti")
+        if sizes is not None:
+            kept = kept.unionByName(fresh.read(F.lit(True)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast(kept.schema["bucket"].dataType)))
+        kept.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term").write.partitionBy("bucket").mode("overwrite").parquet(f"{target}/postings")
+        totals(spark.read.parquet(f"{target}/postings").select("entity", "id", "length").distinct()).coalesce(1).write.mode("overwrite").parquet(f"{target}/totals")
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
         """A stored index; terms prune its folders and, sorted, its row groups."""

@@ -103,6 +103,32 @@ def grep(files: DataFrame, pattern: str, options: GrepOptions = GrepOptions(), *
     return found.orderBy("path", "line_no").limit(options.limit) if options.limit else found
 
 
+def grep_multiline(files: DataFrame, pattern: str, options: GrepOptions = GrepOptions(), *, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, line_no, line_end, match): matches that may span lines, by the lines on which they begin and end. A dot
+    doesn't match a line end unless the pattern says (?s)."""
+    regex = f"(?m){pattern_of(pattern, options)}"
+    named = files.where(path_filter(F.col(path).cast("string"), options) & F.col(content).rlike(regex))
+    found = named.select(F.col(path).alias("path"), F.regexp_extract_all(content, F.lit(regex), F.lit(0)).alias("found"), F.split(content, regex, -1).alias("gaps"))
+    ends = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    each = F.transform("found", lambda m, at: F.struct(at.alias("at"), m.alias("match"), ends(m).alias("inner"), ends(F.get("gaps", at)).alias("gap")))
+    rows = found.select("path", F.explode(each).alias("x")).select("path", "x.*")
+    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum(F.col("gap") + F.col("inner")).over(before)
+    numbered = rows.select("path", (upto - F.col("inner") + 1).alias("line_no"), (upto + 1).alias("line_end"), "match", "at")
+    if options.max_count is not None:
+        numbered = numbered.where(F.col("at") < options.max_count)
+    return numbered.drop("at")
+
+
+def grep_target(paths: list[str] | None = None, packages: list[str] | None = None, everything: bool = False) -> tuple[str, list[str]]:
+    """What a grep reads: exactly one of paths, packages and all cached packages must be asked for."""
+    given = [("paths", paths or []), ("packages", packages or []), ("all", ["*"] if everything else [])]
+    asked = [(kind, names) for kind, names in given if names]
+    if len(asked) != 1:
+        raise ValueError("exactly one of paths, packages and all must be given")
+    return asked[0]
+
+
 def grep_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("path").agg(F.count("*").alias("n"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,9 +91,6 @@ def batch_knn(
 
 def _scan(shared, k: int, block: int, digits: int, exclude_self: bool):
     def run(frames):
-        import numpy as np
-        import pandas as pd
-
         ids, vectors = shared.value
         if not len(ids):
             return
@@ -121,3 +120,46 @@ def _scan(shared, k: int, block: int, digits: int, exclude_self: bool):
         yield out[np.isfinite(out.score)]
 
     return run
+
+
+# --- inverted-file index -----------------------------------------------------------------------------------------------
+
+#: Vectors that centres are fitted on, those of the lowest hash of their key, and the steps of the fit.
+SAMPLE, STEPS = 10_000, 8
+
+
+def fit_centres(rows: DataFrame, *, cells: int, vector: str = "embedding", key: str = "vec_id") -> list[list[float]]:
+    """Unit centres by k-means over a bounded sample."""
+    some = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(key).cast("string"))).limit(SAMPLE).select(vector).collect()
+    x = np.array([r[0] for r in some], float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    centres = x[:: max(1, len(x) // cells)][:cells].copy()
+    for _ in range(STEPS):
+        own = (x @ centres.T).argmax(1)
+        for c in range(len(centres)):
+            if (own == c).any():
+                centres[c] = x[own == c].mean(0)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+    return centres.tolist()
+
+
+def build_ivf(rows: DataFrame, path: str, *, cells: int = 16, vector: str = "embedding", key: str = "vec_id") -> None:
+    """Writes every row to the folder of its nearest centre, and the centres beside them."""
+    centres = fit_centres(rows, cells=cells, vector=vector, key=key)
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(centres))
+
+    @F.pandas_udf("int")
+    def nearest(found: pd.Series) -> pd.Series:
+        return pd.Series([int((shared.value @ np.asarray(x, float)).argmax()) for x in found])
+
+    placed = rows.where(F.col(vector).isNotNull()).withColumn("cell", nearest(vector))
+    placed.write.partitionBy("cell").mode("overwrite").parquet(f"{path}/cells")
+    rows.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def search_ivf(spark, path: str, query: list[float], *, probes: int = 12, vector: str = "embedding", key: str = "vec_id", limit: int = 20) -> DataFrame:
+    """Top-k of the cells nearest to the query; with as many probes as cells it is exact. Only those folders are read."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    near = spark.read.parquet(f"{path}/centres").orderBy(F.desc(dot(F.col("centre"), q)), "cell").limit(probes)
+    cells = [r.cell for r in near.select("cell").collect()]
+    return vector_search(spark.read.parquet(f"{path}/cells").where(F.col("cell").isin(*cells)), query, vector=vector, key=key, limit=limit).drop("cell")

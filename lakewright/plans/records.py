@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakewright.operators import records as K
 from lakewright.operators import relational as R
+from lakewright.operators import text as T
 from lakewright.parsing import chunks, symbols
 from lakewright.plans.registry import register
 from lakewright.sources.tables import memory_lake, table
@@ -443,3 +444,35 @@ def chunk_splits(spark: SparkSession, folder: str) -> DataFrame:
     made = table(spark, folder, "part", "p_partkey", "p_size").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"), F.repeat(F.lit("x"), F.col("p_size").cast("int") * 173 + 1).alias("content"))
     found = chunks.chunk_documents(made, path="path", content="content")
     return found.groupBy("path").agg(F.count("*").alias("pieces"), F.sum("char_len").alias("chars"))
+
+
+@register("SELECT doc_id AS path, len(regexp_extract_all(text, '[.]\\n[A-Z]')) AS n FROM documents WHERE regexp_matches(text, '[.]\\n[A-Z]')")
+def grep_multiline_count(spark: SparkSession, folder: str) -> DataFrame:
+    """Matches that span a line end."""
+    found = T.grep_multiline(table(spark, folder, "documents", "doc_id", "text"), r"[.]\n[A-Z]", T.GrepOptions(case="sensitive"), path="doc_id", content="text")
+    return found.groupBy("path").agg(F.count("*").alias("n"))
+
+
+@register("SELECT count(*) AS n, count(*) AS different, true AS formed FROM orders")
+def random_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen random digits for every order: all different, all of the one form."""
+    made = table(spark, folder, "orders", "o_orderkey").select(K.random_id("tsk", digits=16).alias("id"))
+    return made.agg(F.count("*").alias("n"), F.count_distinct("id").alias("different"), F.every(F.col("id").rlike("^tsk-[0-9a-f]{16}$")).alias("formed"))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'fetch' WHEN ts <= TIMESTAMP '2024-01-10 00:00:00' OR (event_id % 5) = 0 THEN 'use and refresh' ELSE 'use' END AS action FROM events")
+def cache_actions(spark: SparkSession, folder: str) -> DataFrame:
+    states = cache_states(spark, folder)
+    return states.select("event_id", K.cache_action(F.col("state"), F.col("event_id") % 5).alias("action"))
+
+
+@register("SELECT user_id, event_type AS step, count(*) FILTER (value > 50) AS succeeded, count(*) FILTER (NOT value > 50) AS failed, round(count(*) FILTER (value > 50) * 100.0 / count(*), 6)::DOUBLE AS success_rate FROM events GROUP BY ALL")
+def step_table(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events", "user_id", "event_type", "value").withColumnRenamed("event_type", "step")
+    return K.step_metrics(events, workflow="user_id", step="step", ok=F.col("value") > 50)
+
+
+@register("SELECT p_partkey::VARCHAR AS path, unnest([1, 2]) AS line_no, unnest(['doc', 'function']) AS kind FROM part UNION ALL SELECT p_partkey::VARCHAR, 4, 'struct' FROM part")
+def span_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    made = table(spark, folder, "part", "p_partkey").select(F.col("p_partkey").cast("string").alias("path"), F.lit("/// Doc\n  pub fn f() {\n}\nstruct S;\nlet x = 1;\n").alias("content"))
+    return K.fallback_spans(T.lines(made, path="path", content="content")).select("path", "line_no", "kind")

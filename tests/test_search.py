@@ -76,3 +76,43 @@ def test_merged_json_and_recovery(spark):
     work = spark.createDataFrame([(1, "active"), (2, "done"), (3, "paused")], "workflow_id int, status string")
     given = spark.createDataFrame([(10, 1, "started", "x"), (11, 2, "started", "x"), (12, 3, "done", "x"), (13, 3, "started", "y"), (14, 9, "started", "z")], "id int, workflow_id int, status string, agent string")
     assert sorted((r.id, r.status, r.agent) for r in records.recover(given, work).collect()) == [(10, "pending", None), (11, "started", "x"), (12, "done", "x"), (13, "pending", None), (14, "started", "z")]
+
+
+def test_an_index_is_refreshed(spark, sources, tmp_path):
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    search.Index.write(sources[:1], old)
+    changed = spark.createDataFrame([(2, "Zebra", "stripes"), (7, "Late", "a fox came late")], "id int, title string, body string")
+    gone = spark.createDataFrame([("note", 3)], "entity string, id int")
+    search.Index.refresh(spark, old, [(changed, "note", "id", ["title", "body"])], gone, new)
+    index = search.Index.open(spark, new)
+    rows = [r for r in ROWS if r[0] in (1, 4)] + [(2, "Zebra", "stripes"), (7, "Late", "a fox came late")]
+    plain = search.Index.of([(spark.createDataFrame(rows, "id int, title string, body string"), "note", "id", ["title", "body"])])
+    for query in ("fox", "connect", "zebra OR red"):
+        assert sorted(search.search(index, query).collect()) == sorted(search.search(plain, query).collect())
+
+
+def test_cells_of_vectors(spark, tmp_path):
+    from lakewright.operators import vector
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    path = str(tmp_path / "ivf")
+    vector.build_ivf(rows, path, cells=8)
+    assert spark.read.parquet(f"{path}/cells").count() == rows.count()
+    met = 0
+    for probe in rows.where("vec_id % 50 = 0").collect():
+        want = [r.vec_id for r in vector.vector_search(rows, list(probe.embedding), limit=10).collect()]
+        assert [r.vec_id for r in vector.search_ivf(spark, path, list(probe.embedding), probes=8, limit=10).collect()] == want
+        met += len(set(want) & {r.vec_id for r in vector.search_ivf(spark, path, list(probe.embedding), probes=6, limit=10).collect()})
+    assert met >= 0.9 * 10 * rows.where("vec_id % 50 = 0").count()
+
+
+def test_multiline_matches_and_targets(spark):
+    from lakewright.operators import text
+
+    files = spark.createDataFrame([("a", "one\ntwo end\nstart three\nend\nstart"), ("b", "none")], "path string, content string")
+    found = text.grep_multiline(files, r"end\nstart")
+    assert sorted((r.path, r.line_no, r.line_end) for r in found.collect()) == [("a", 2, 3), ("a", 4, 5)]
+    assert text.grep_target(packages=["x"]) == ("packages", ["x"]) and text.grep_target(everything=True)[0] == "all"
+    for more in ({}, {"paths": ["x"], "everything": True}):
+        with pytest.raises(ValueError):
+            text.grep_target(**more)
