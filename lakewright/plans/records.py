@@ -67,7 +67,7 @@ def transition_guard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    "SELECT url, regexp_matches(lower(split_part(url, '/', -1)), '^(test_.*\\.py|conftest\\.py)$') OR regexp_matches(url, '/(tests|examples|fixtures)/') AS test FROM (SELECT DISTINCT regexp_replace(url, '/([0-9]+)', '/examples/\\1') AS url FROM pages)"
+    "SELECT url, regexp_matches(lower(split_part(url, '/', -1)), '^(test_.*\\.py|conftest\\.py)$') OR regexp_matches(url, '/(tests|examples|fixtures)/') AS test FROM (SELECT DISTINCT regexp_replace(url, '/([0-9]+)', '/examples/\\1', 'g') AS url FROM pages)"
 )
 def test_paths(spark: SparkSession, folder: str) -> DataFrame:
     urls = table(spark, folder, "pages", "url").select(F.regexp_replace("url", "/([0-9]+)", "/examples/$1").alias("url")).distinct()
@@ -178,7 +178,7 @@ OUTCOME = "CASE event_type WHEN 'signup' THEN 'failed' WHEN 'purchase' THEN 'com
 
 @register(
     f"""
-    WITH e AS (SELECT 'type' || user_id % 5 AS kind, {OUTCOME} AS outcome, (value * 10)::BIGINT AS ms FROM events),
+    WITH e AS (SELECT 'type' || user_id % 5 AS kind, {OUTCOME} AS outcome, floor(value * 10)::BIGINT AS ms FROM events),
     s AS (SELECT kind, count(*) FILTER (outcome = 'started') AS started, count(*) FILTER (outcome = 'completed') AS completed, count(*) FILTER (outcome = 'failed') AS failed,
       coalesce(sum(ms) FILTER (outcome = 'completed'), 0)::BIGINT AS total FROM e WHERE kind IN ('type0', 'type1', 'type2', 'type9') GROUP BY ALL)
     SELECT kind, started, completed, failed, CASE WHEN completed + failed > 0 THEN round(completed * 100.0 / (completed + failed), 6)::DOUBLE ELSE 0 END AS success_rate,
@@ -188,7 +188,7 @@ OUTCOME = "CASE event_type WHEN 'signup' THEN 'failed' WHEN 'purchase' THEN 'com
 def metric_table(spark: SparkSession, folder: str) -> DataFrame:
     """Four fixed types; one of them never starts and is left out."""
     events = table(spark, folder, "events", "user_id", "event_type", "value")
-    named = events.select(F.concat(F.lit("type"), F.col("user_id") % 5).alias("kind"), F.expr(OUTCOME).alias("outcome"), F.round(F.col("value") * 10).cast("long").alias("ms"))
+    named = events.select(F.concat(F.lit("type"), F.col("user_id") % 5).alias("kind"), F.expr(OUTCOME).alias("outcome"), F.floor(F.col("value") * 10).alias("ms"))
     return K.type_metrics(named, ["type0", "type1", "type2", "type9"])
 
 
@@ -427,7 +427,7 @@ def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
 @register(
     """
     SELECT p_partkey || '.md' AS path, 0::INT AS chunk_index, 'T' || p_partkey AS title, 'T' || p_partkey AS trail, 0::BIGINT AS byte_offset, (length('' || p_partkey) + 10)::INT AS char_len FROM part
-    UNION ALL SELECT p_partkey || '.md', 1, 'S' || p_partkey, 'T' || p_partkey || '/S' || p_partkey, length('' || p_partkey) + 10, length('' || p_partkey) + 10 FROM part
+    UNION ALL SELECT p_partkey || '.md', 1, 'S' || p_partkey, 'T' || p_partkey || '/S' || p_partkey, (length('' || p_partkey) + 10)::BIGINT, (length('' || p_partkey) + 10)::INT FROM part
     """
 )
 def chunk_sections(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,7 +21,7 @@ KINDS = [
 _SQL_WORDS = "a AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS entity, {key}::VARCHAR AS id, {body} AS body FROM {name}{' WHERE turn = 0' if name == 'conversations' else ''}" for name, kind, key, body in KINDS) + ")"
 _SCORES = """
 t AS (SELECT entity, id, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') AS w FROM a),
-f AS (SELECT entity, id, w, len(w) AS length, len(list_filter(w, lambda x: x IN ('thble', 'thbles'))) AS t0, len(list_filter(w, lambda x: x IN ('widget', 'widgets'))) AS t1, len(list_filter(w, lambda x: x = 'asia')) AS t2 FROM t),
+f AS (SELECT entity, id, w, len(w) AS length, len(list_filter(w, lambda x: x IN ('thble', 'thbles', 'thbleing', 'thbleings'))) AS t0, len(list_filter(w, lambda x: x IN ('widget', 'widgets', 'widgeted', 'widgeting', 'widgetings'))) AS t1, len(list_filter(w, lambda x: x = 'asia')) AS t2 FROM t),
 g AS (SELECT entity, count(*) AS n, avg(length) AS mean, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1, count(*) FILTER (t2 > 0) AS d2 FROM f GROUP BY ALL),
 s AS (SELECT entity, id, w, t0, t1, t2, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * length / mean))
   + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * length / mean))
