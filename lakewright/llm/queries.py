@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import byte_bpe, decontaminate, filter_audit, html_text, language_id, media, pii, prefix_trie, quality, simhash, token_store, toxicity
+from lakewright.llm import byte_bpe, decontaminate, filter_audit, html_text, language_id, local_parse, media, pii, prefix_trie, quality, simhash, token_store, toxicity
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,8 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "source")
     return filter_audit.audit(docs, table(spark, folder, "labels", "doc_id", "quality", "toxic"))
+
+
+@register
+def op11_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return local_parse.fingerprints(table(spark, folder, "documents", "doc_id", "text"))
