@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from lakewright.llm.common import materialise
 
 LEVELS, KEPT, ROUNDS = 3, 32, 3
-#: Bytes of text that a block is meant to have, sampled rows for each block, and code points that are parsed at once.
-BLOCK_BYTES, SAMPLED, PARSED = 16 << 20, 40, 1 << 18
+#: Bytes of text that a block is meant to have, the number of blocks beyond which they grow instead, sampled rows for each block, and
+#: code points that are parsed at once.
+BLOCK_BYTES, MOST_BLOCKS, SAMPLED, PARSED = 4 << 20, 50_000, 20, 1 << 18
 
 _draw = np.random.default_rng(11)
 _PLACES = _draw.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,7 +156,7 @@ def _placed(docs: DataFrame, *, key: str, text: str) -> DataFrame:
     size = keys.agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).head()
     if not size.rows:
         return rows.select(F.lit(0).alias("block"), F.lit(False).alias("last"), "id", "h", "text")
-    blocks = int(size.bytes // BLOCK_BYTES) + 1
+    blocks = min(int(size.bytes // BLOCK_BYTES) + 1, MOST_BLOCKS)
     step = max(1, size.rows // (blocks * SAMPLED))
     sample = sorted(keys.where(F.pmod(F.xxhash64("id", "h"), F.lit(step)) == 0).select("id", "h").distinct().collect(), key=_order)
     splits = [_order(sample[len(sample) * k // blocks]) for k in range(1, blocks)] if sample else []
