@@ -33,11 +33,14 @@ from lakewright.llm.common import broadcast_if_few, materialise
 #: The share of a host's strongest path that its other winners have, and the share of a page's best score that a winner must have there.
 HOST_SHARE, FAIR_SHARE = 0.1, 0.3
 
+#: The share of links beyond which text beside a container isn't the article's.
+LINKED = 0.5
+
 #: What follows a tag's name: names, and values that are quoted or run to white space.
 _REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|math|xmp|noembed|noframes)(?=[\s/>]|\Z){_REST}(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    rf"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|xmp|noembed|noframes)(?=[\s/>]|\Z){_REST}(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     rf"|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>{_REST})(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -45,7 +48,7 @@ ATTRIBUTE = re.compile(r"([^\s/>=\"']++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never part of the text.
-DROPPED = frozenset("head nav footer aside form button select option dialog menu object audio video canvas".split())
+DROPPED = frozenset("head nav footer aside form button select option dialog menu audio video canvas".split())
 #: Containers that a path is made of.
 STRUCTURE = frozenset("html body main article section div table tbody tr td center".split())
 #: Elements that begin and end a block.
@@ -59,7 +62,11 @@ BARRIERS = frozenset("article main body td table".split())
 ASIDE = frozenset(
     "nav navbar navigation menu sidebar footer masthead banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices gdpr newsletter"
     " subscribe subscription share sharing social comment comments disqus respond reply replies related recommended recommendations breadcrumb breadcrumbs popup modal login signup search widget widgets pagination"
-    " pager toolbar toc skip complementary contentinfo alert".split()
+    " pager toolbar toc skip complementary contentinfo alert adsbygoogle".split()
+)
+#: Those of them that mark an inline element which isn't the article's either.
+ADVERTS = frozenset(
+    "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices gdpr newsletter".split()
 )
 NEUTRAL = frozenset(
     "site page main top bottom left right side global primary secondary section block area box wrap wrapper container content inner outer list item items link links button buttons bar panel row col"
@@ -104,8 +111,11 @@ def _dropped(tag: str, marks: dict[str, str], inside: bool) -> bool:
     """inside: within an article or main element, where a header is the article's own."""
     if tag in DROPPED or (tag == "header" and not inside):
         return True
-    if not marks or tag in ("body", "html", "main") or tag not in BLOCKS:
+    if not marks or tag in ("body", "html", "main"):
         return False
+    if tag not in BLOCKS:
+        names = marks.get("class", "").split()
+        return bool(names) and all(_named(x, ADVERTS) for x in names)
     names = [x for kind in ("class", "id", "role") for x in marks.get(kind, "").split()]
     return any(_named(x, ASIDE) for x in names) or (not inside and any(_named(x, HEADER) for x in names))
 
@@ -209,7 +219,13 @@ def _shares(inner: list[Element]) -> Iterator[tuple[Element, float]]:
 
 def containers(html: str) -> dict[int, tuple[float, Element]]:
     """Path hash to the score and the first element of the page's containers, in page order."""
+    return survey(html)[0]
+
+
+def survey(html: str) -> tuple[dict[int, tuple[float, Element]], dict[int, list]]:
+    """The containers, and path hash to [characters, those of links, first element] of the blocks that lie right in an element."""
     scores: dict[int, tuple[float, Element]] = {}
+    direct: dict[int, list] = {}
     length = links = 0
     holder: list[Element] = []
 
@@ -221,6 +237,9 @@ def containers(html: str) -> dict[int, tuple[float, Element]]:
                 lift = (1.5 if element.tag in ("article", "main") else 1.0) * (1.25 if ARTICLE.search(element.label) else 1.0)
                 before, first = scores.get(element.key, (0.0, element))
                 scores[element.key] = before + worth * lift * share, first
+            own = direct.setdefault(holder[0].key, [0, 0, holder[0]])
+            own[0] += length
+            own[1] += links
         length = links = 0
 
     for stack, text, block in walk(html):
@@ -233,7 +252,38 @@ def containers(html: str) -> dict[int, tuple[float, Element]]:
             if stack.places.get("a"):
                 links += size
     flush()
-    return scores
+    return scores, direct
+
+
+def climb(key: int, element: Element, direct: dict[int, list]) -> int:
+    """The outermost path, from that of a container without article elements up to below body, that has blocks of its own beside it, or is
+    named like an article and has more containers: headings and leads stand there. What is mostly links ends the climb."""
+    parents: dict[int, Element | None] = {}
+    below: list[Element] = []
+    for *_, at in direct.values():
+        chain = []
+        while at is not None and not (at.label and at.key in parents):
+            if at.label:
+                chain.append(at)
+            at = at.parent
+        for inner, outer in zip(chain, [*chain[1:], at], strict=True):
+            parents[inner.key] = outer
+        below += chain[::-1]
+    totals = {e.key: direct.get(e.key, (0, 0))[:2] for e in below}
+    for e in reversed(below):  # what is inside comes after what is around it
+        outer = parents[e.key]
+        if outer is not None:
+            totals[outer.key] = [a + b for a, b in zip(totals[outer.key], totals[e.key], strict=True)]
+    best, at = key, parents.get(key)
+    while at is not None and at.tag not in ("html", "body"):
+        own = direct.get(at.key, (0, 0))
+        others, links = (totals[at.key][k] - totals[key][k] - own[k] for k in (0, 1))
+        if links > LINKED * others or own[1] > LINKED * own[0] or (others and not own[0] and not ARTICLE.search(at.label)):
+            break
+        if own[0] or others:
+            best = at.key
+        key, at = at.key, parents[at.key]
+    return best
 
 
 def text_at(html: str, key: int | None) -> str:
@@ -249,12 +299,15 @@ def text_at(html: str, key: int | None) -> str:
 
 def extract(html: str, host_paths: list[int] | None) -> tuple[str, str]:
     """(text, path) by the host's paths or else the page's own."""
-    scores = containers(html)
+    scores, direct = survey(html)
     if not scores:
         return text_at(html, None), ""
     own = max(scores, key=lambda key: scores[key][0])
     key = next((k for k in host_paths or [] if k in scores and scores[k][0] >= FAIR_SHARE * scores[own][0]), own)
-    return text_at(html, key), scores[key][1].path()
+    winner = scores[key][1]
+    if winner.article is None:
+        key = climb(key, winner, direct)
+    return text_at(html, key), winner.path()
 
 
 def host_of(url: str) -> Column:

@@ -5,9 +5,9 @@ format's validator reads the structure (chunk lengths, marker chains, checksums)
 of the medium that starts there or rejects the find. The first medium at offset 0 corrects the declared type,
 and valid media further in are carved, also those written in base 64 (data URIs).
 
-`media_of_texts` keeps a byte string as 8-bit samples: short ones as mono PCM in a WAV file, ones of IMAGE_BYTES or more as a
-gray picture of 64 samples a row (PGM). All are declared audio; what the stored bytes are, and so how they are read back,
-is for `sniff` to find. Features are taken from the samples that are read back.
+`media_of_texts` keeps a text's bytes as 8-bit samples, mono PCM in a WAV file, whatever their length. What is stored is sniffed and read
+back by its own structure; the payload is declared plain text, and is corrected if it begins with a valid medium. Features are taken
+from the samples that are read back.
 
 Defined results: null bytes count as empty; an empty string, or one without a valid signature at 0, keeps its
 declared type (unknown if that is null); equal bytes give equal results, so ties and repeated rows do; overlapping finds of
@@ -34,8 +34,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "application/octet-stream"
-#: Payloads of so many bytes are stored as pictures, of WIDTH samples a row.
-IMAGE_BYTES, WIDTH = 4096, 64
 #: Signature bytes and the media type that they announce; (bytes, type, offset of the signature in the medium).
 SIGNATURES = [
     (b"\x89PNG\r\n\x1a\n", "image/png", 0),
@@ -302,17 +300,16 @@ def _gzip(data: bytes, at: int, known: Bytes) -> int | None:
 
 def _pgm(data: bytes, at: int, _: Bytes) -> int | None:
     """Width, height, depth and as many samples."""
-    parts = data[at + 2 : at + 42].split(None, 3)
-    if len(parts) < 4 or not all(p.isdigit() for p in parts[:3]) or not data[at + 2 : at + 3].isspace():
+    head = _GRAYMAP.match(data, at)
+    if head is None:
         return None
-    width, height, most = map(int, parts[:3])
-    position = at + 2
-    for part in parts[:3]:
-        position = data.index(part, position) + len(part)
-    stop = position + 1 + width * height * (2 if most > 255 else 1)
+    width, height, most = (int(x) for x in head.groups())
+    stop = head.end() + width * height * (2 if most > 255 else 1)
     return stop - at if 0 < most < 65536 and width and height and stop <= len(data) else None
 
 
+#: Up to the one white-space byte after the depth; samples may begin with white space too.
+_GRAYMAP = re.compile(rb"P5\s+(\d{1,9})\s+(\d{1,9})\s+(\d{1,5})\s")
 _CODED = re.compile(rb"[A-Za-z0-9+/]+={0,2}")
 
 
@@ -360,15 +357,10 @@ def store_payload(payload: bytes, rate: int = 8000) -> bytes:
     return header + payload
 
 
-def store_picture(payload: bytes) -> bytes:
-    """The payload as a gray picture of WIDTH samples a row."""
-    return b"P5\n%d %d\n255\n" % (WIDTH, len(payload) // WIDTH) + payload
-
-
 def samples(medium: bytes, kind: str) -> bytes:
     """The samples of a medium that sniff has found to be of that kind."""
     if kind == "image/x-portable-graymap":
-        return medium[re.match(rb"P5\s+\d+\s+\d+\s+\d+\s", medium).end() :]
+        return medium[_GRAYMAP.match(medium).end() :]
     position = 12
     while kind == "audio/wav" and position + 8 <= len(medium):
         name, size = struct.unpack_from("<4sI", medium, position)
@@ -431,19 +423,20 @@ def media_of_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
 
-DECLARED = "audio/wav"
+#: What a text's payload is declared to be, and the form that it is stored in.
+DECLARED, STORED = "text/plain", "audio/wav"
 
 
 def _described(text: str, machine: ahocorasick.Automaton, unit: int) -> tuple:
     raw = text.encode("utf-8")
-    payload = raw + b"\0" * (unit if not raw else -len(raw) % unit)
-    medium = store_picture(payload) if len(payload) >= IMAGE_BYTES and len(payload) % WIDTH == 0 else store_payload(payload)
-    found = sniff(medium, machine)
-    if not found or found[0][1:] != (0, len(medium)):
-        raise ValueError("the stored form isn't what was written")
-    back = samples(medium, found[0][0])
+    medium = store_payload(raw + b"\0" * (unit if not raw else -len(raw) % unit))
+    back = samples(medium, STORED)
     first = len(medium) - len(back)
-    inside = ",".join(f"{t}@{o - first}+{n}" for t, o, n in found[1:])
-    feature = f"{described(found[0][0], DECLARED, back)};carved={inside}"
+    found = sniff(medium, machine)
+    held = [(t, o - first, n) for t, o, n in found if o >= first]
+    kind = next((t for t, o, _ in held if o == 0), DECLARED)
+    stored = next((t for t, o, _ in found if o == 0), UNKNOWN)
+    inside = ",".join(f"{t}@{o}+{n}" for t, o, n in held)
+    feature = f"{stored};{described(kind, DECLARED, back)};carved={inside}"
     tail = zlib.crc32(back[-64:])
     return (len(raw), len(back), hashlib.sha256(back).hexdigest(), tail, len(medium), hashlib.sha256(medium).hexdigest(), feature, medium)
