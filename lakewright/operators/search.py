@@ -1,11 +1,14 @@
-"""Full-text search over an index of stemmed postings, per entity kind, and a router over the kinds of search.
+"""Full-text search over stemmed postings, a stored index of segments, and a router over the kinds of search.
 
-Texts are folded (case, Latin diacritics), cut into runs of letters and digits and stemmed (Porter). The index holds a row for
-each (entity, id, field, term) with the term's positions, partitioned by a hash of the term, so that a query reads the
-folders of its own terms. BM25 is that of the common embedded full-text engines: an inverse document frequency of
-ln((N - n + 0.5) / (n + 0.5)), at least 1e-6, summed over phrases.
+Texts are folded (case, diacritics), cut into runs of letters and digits and stemmed (Porter); only distinct tokens are stemmed. The index
+has a row for each (entity, id, field, term) with the term's positions. BM25 is that of the common embedded full-text engines: an inverse
+document frequency of ln((N - n + 0.5) / (n + 0.5)), at least 1e-6, summed over phrases.
 
-Query grammar: terms are joined by AND; AND, OR, NOT, parentheses, "phrases", prefix*, field:term and NEAR(a b, n).
+Query grammar: terms are joined by AND; AND, OR, NOT, parentheses, "phrases", prefix*, field:term, field:(...) and NEAR(a b, n).
+
+A stored index (`StoredIndex`) never rewrites what it has: a change adds a segment with the postings of the changed rows and a list of the rows
+that it replaces or removes, and a posting counts if no later segment lists its row. Postings lie in buckets by a hash of their term, so a
+query reads the folders of its own terms; `compact` writes single buckets anew and leaves the others' files where they are.
 """
 
 from __future__ import annotations
@@ -15,41 +18,48 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
-import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakewright.functions.stemming import stem
+from lakewright.functions.stemming import stem, stem_terms
 from lakewright.operators import text as T
 from lakewright.operators.relational import limit_or_default
+from lakewright.sources.versions import Versions, broadcast_few
 
 BUCKETS = 64
 #: How many tokens may lie between the terms of NEAR without a number.
 NEAR = 10
 _stem = lru_cache(100_000)(stem)
 
-
-def stems(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda words: [_stem(w) for w in words])
+#: (rows, entity, key, fields) of one kind of row.
+Source = tuple[DataFrame, str, str | Column, list[str]]
 
 
-def spread(rows: DataFrame, *, entity: str, key: str, fields: list[str]) -> DataFrame:
-    """(entity, id, field, term, at): every token of every field; ids as strings."""
-    stemmed = F.pandas_udf(stems, "array<string>")
-    parts = [rows.select(F.lit(entity).alias("entity"), F.col(key).cast("string").alias("id"), F.lit(f).alias("field"), stemmed(T.tokens(T.folded(F.col(f).cast("string")))).alias("all")) for f in fields]
-    return reduce(DataFrame.unionByName, parts).select("entity", "id", "field", F.posexplode("all").alias("at", "term"))
+def _rows(sources: list[Source]) -> DataFrame:
+    """(entity, id, field, tokens) of every field; ids as strings."""
+    parts = []
+    for rows, entity, key, fields in sources:
+        named = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields)))
+        key = F.col(key) if isinstance(key, str) else key
+        parts.append(rows.select(F.lit(entity).alias("entity"), key.cast("string").alias("id"), named.alias("x")))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.select("entity", "id", "x.field", T.tokens(T.folded(F.col("x.text"))).alias("tokens"))
 
 
-def lengths(rows: DataFrame, *, entity: str, key: str, fields: list[str]) -> DataFrame:
-    """(entity, id, length): the tokens of all fields."""
-    size = sum((F.size(T.tokens(F.col(f).cast("string"))) for f in fields), F.lit(0))
-    return rows.select(F.lit(entity).alias("entity"), F.col(key).cast("string").alias("id"), size.alias("length"))
+def _postings(rows: DataFrame) -> DataFrame:
+    """(entity, id, field, term, positions). A row's tokens are gathered by term where the row is, so that what is shuffled is a row for each
+    distinct token; distinct tokens are stemmed, and of two that have one stem the positions are put together."""
+    spread = rows.select("entity", "id", "field", F.posexplode("tokens").alias("at", "token"))
+    places = spread.groupBy("entity", "id", "field", "token").agg(F.collect_list("at").alias("positions"))
+    stems = stem_terms(places.select(F.col("token").alias("term")).distinct())
+    stemmed = places.join(stems.select(F.col("term").alias("token"), F.col("stem").alias("term")), "token")
+    return stemmed.groupBy("entity", "id", "field", "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
-def postings(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(entity, id, field, term, positions, length); two postings of one row are never paired."""
-    places = tokens.groupBy("entity", "id", "field", "term").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    return places.join(sizes, ["entity", "id"])
+def _lengths(rows: DataFrame) -> DataFrame:
+    """(entity, id, length): the tokens of all fields."""
+    return rows.groupBy("entity", "id").agg(F.sum(F.size("tokens")).cast("int").alias("length"))
 
 
 def totals(sizes: DataFrame) -> DataFrame:
@@ -57,45 +67,151 @@ def totals(sizes: DataFrame) -> DataFrame:
     return sizes.groupBy("entity").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
 
 
+def bucket_of(term: str) -> int:
+    """That of Spark's xxhash64, without asking Spark."""
+    x = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (x - (1 << 64) if x >> 63 else x) % BUCKETS
+
+
 class Index:
-    """Postings and totals, either of stored tables or made from rows; `sources` are (rows, entity, key, fields)."""
+    """Postings (entity, id, field, term, positions, length) by wanted terms, and totals."""
 
-    def __init__(self, read: Callable[[Column], DataFrame], stats: DataFrame):
+    def __init__(self, read: Callable[[list[str], list[str]], DataFrame], stats: DataFrame):
         self.read, self.stats = read, stats
 
     @classmethod
-    def of(cls, sources: list[tuple[DataFrame, str, str, list[str]]]) -> Index:
-        """Without storing anything: a query's terms are picked out before anything is shuffled."""
-        tokens = reduce(DataFrame.unionByName, (spread(r, entity=e, key=k, fields=f) for r, e, k, f in sources))
-        sizes = reduce(DataFrame.unionByName, (lengths(r, entity=e, key=k, fields=f) for r, e, k, f in sources))
-        return cls(lambda wanted: postings(tokens.where(wanted), sizes), totals(sizes))
-
-    @staticmethod
-    def write(sources: list[tuple[DataFrame, str, str, list[str]]], path: str) -> None:
-        made = Index.of(sources)
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")
-        made.read(F.lit(True)).select("*", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-        made.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-
-    @staticmethod
-    def refresh(spark: SparkSession, path: str, changed: list[tuple[DataFrame, str, str, list[str]]], gone: DataFrame, target: str) -> None:
-        """Writes the index anew to `target` without the rows of `gone` (entity, id) and with the changed rows in place of
-        what was stored of them; what has not changed isn't cut into tokens again."""
-        fresh = Index.of(changed)
-        sizes = reduce(DataFrame.unionByName, (lengths(r, entity=e, key=k, fields=f) for r, e, k, f in changed)) if changed else None
-        out = gone.select("entity", F.col("id").cast("string").alias("id"))
-        out = (out.unionByName(sizes.select("entity", "id")) if sizes is not None else out).distinct()
-        kept = spark.read.parquet(f"{path}/postings").join(out, ["entity", "id"], "left_anti")
-        if sizes is not None:
-            kept = kept.unionByName(fresh.read(F.lit(True)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast(kept.schema["bucket"].dataType)))
-        kept.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term").write.partitionBy("bucket").mode("overwrite").parquet(f"{target}/postings")
-        totals(spark.read.parquet(f"{target}/postings").select("entity", "id", "length").distinct()).coalesce(1).write.mode("overwrite").parquet(f"{target}/totals")
-
-    @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Index:
-        """A stored index; terms prune its folders and, sorted, its row groups."""
-        stored = spark.read.parquet(f"{path}/postings")
-        return cls(lambda wanted: stored.where(wanted), spark.read.parquet(f"{path}/totals"))
+    def of(cls, sources: list[Source]) -> Index:
+        """Without storing anything, for a query or two over little: the tokens whose stems are asked for are picked out first."""
+        rows = _rows(sources)
+        sizes = _lengths(rows)
+
+        def read(exact: list[str], begin: list[str]) -> DataFrame:
+            spread = rows.select("entity", "id", "field", F.posexplode("tokens").alias("at", "token"))
+            known = stem_terms(rows.select(F.explode("tokens").alias("term")).distinct()).where(_wanted(F.col("stem"), exact, begin))
+            met = spread.join(known.select(F.col("term").alias("token"), F.col("stem").alias("term")), "token")
+            places = met.groupBy("entity", "id", "field", "term").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+            return places.join(sizes, ["entity", "id"])
+
+        return cls(read, totals(sizes))
+
+
+def _wanted(term: Column, exact: list[str], begin: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [term.isin(*exact)] * bool(exact) + [term.startswith(b) for b in begin])
+
+
+class StoredIndex(Index):
+    """An index in a folder. Its versions list, for each bucket, the folders of postings and up to which version each is clean of dead ones, and
+    for each change the rows that it set or removed."""
+
+    def __init__(self, spark: SparkSession, folder: str, version: int | None = None):
+        self.spark, self.versions = spark, Versions(spark, folder)
+        self.version, self.state = self.versions.read(version)
+
+    def read(self, exact: list[str], begin: list[str]) -> DataFrame:
+        chosen = range(BUCKETS) if begin else sorted({bucket_of(t) for t in exact})
+        return self._live(chosen).where(_wanted(F.col("term"), exact, begin))
+
+    @property
+    def stats(self) -> DataFrame:
+        rows = [(entity, docs, tokens / docs) for entity, (docs, tokens) in (self.state or {"totals": {}})["totals"].items() if docs]
+        return self.spark.createDataFrame(rows, "entity string, docs long, mean double")
+
+    def _live(self, buckets) -> DataFrame:
+        """The postings of some buckets whose row no later change has set or removed."""
+        parts: dict[int, list[str]] = {}
+        for bucket in buckets:
+            for path, clean in (self.state or {"buckets": {}})["buckets"].get(str(bucket), []):
+                parts.setdefault(clean, []).append(path)
+        found = self.spark.createDataFrame([], "entity string, id string, field string, term string, positions array<int>, length int")
+        for clean, paths in sorted(parts.items()):
+            stored = self.spark.read.schema(found.schema).parquet(*paths)
+            later = [c for c in self.state["changes"] if c["version"] > clean]
+            if later:
+                dead = self.spark.read.parquet(*(c["path"] for c in later)).select("entity", "id").distinct()
+                stored = stored.join(broadcast_few(dead, sum(c["rows"] for c in later)), ["entity", "id"], "left_anti").select(*found.columns)
+            found = found.unionByName(stored)
+        return found
+
+    def change(self, changed: list[Source], gone: DataFrame | None = None) -> StoredIndex:
+        """The index after some rows have been set, in place of what it had of them, and those of gone (entity, id) removed. What hasn't
+        changed is neither read nor written."""
+        path = self.versions.fresh("segment")
+        if changed:
+            rows = _rows(changed)
+            sizes = _lengths(rows)
+            out = _postings(rows).join(sizes, ["entity", "id"]).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+            out.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+            # a row that is both set and gone is set
+            listed = sizes if gone is None else sizes.unionByName(_removed(gone).join(sizes, ["entity", "id"], "left_anti"))
+        else:
+            listed = _removed(gone) if gone is not None else self.spark.createDataFrame([], "entity string, id string, length int")
+        known = self._lengths_of(listed.select("entity", "id"))
+        listed.join(known, ["entity", "id"], "left").write.parquet(f"{path}/rows")
+        written = self.spark.read.schema("entity string, id string, length int, before int").parquet(f"{path}/rows")
+        sums = written.groupBy("entity").agg(*(F.count(c).alias(f"n_{c}") for c in ("length", "before")), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("length", "before")), F.count("*").alias("rows"))
+        state = self.state or {"buckets": {}, "changes": [], "totals": {}}
+        totals, count, number = dict(state["totals"]), 0, self.version + 1
+        for r in sums.collect():
+            docs, tokens = totals.get(r.entity, (0, 0))
+            totals[r.entity] = (docs + r.n_length - r.n_before, tokens + r.length - r.before)
+            count += r.rows
+        buckets = {b: list(parts) for b, parts in state["buckets"].items()}
+        for b in self._buckets(f"{path}/postings") if changed else ():
+            buckets.setdefault(str(b), []).append([f"{path}/postings/bucket={b}", number])
+        self.versions.commit(number, {"buckets": buckets, "changes": [*state["changes"], {"path": f"{path}/rows", "version": number, "rows": count}], "totals": totals})
+        return StoredIndex(self.spark, self.versions.folder, number)
+
+    def _lengths_of(self, wanted: DataFrame) -> DataFrame:
+        """(entity, id, before): what the index has of the wanted rows; a row's last change counts."""
+        changes = (self.state or {"changes": []})["changes"]
+        if not changes:
+            return self.spark.createDataFrame([], "entity string, id string, before int")
+        parts = [self.spark.read.parquet(c["path"]).select("entity", "id", "length", F.lit(c["version"]).alias("v")) for c in changes]
+        met = reduce(DataFrame.unionByName, parts).join(wanted, ["entity", "id"], "left_semi")
+        return met.groupBy("entity", "id").agg(F.max_by("length", "v").alias("before"))
+
+    def _buckets(self, path: str) -> list[int]:
+        home = self.versions._paths(path)
+        names = [f.getPath().getName() for f in self.versions._system(home).listStatus(home)]
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("bucket="))
+
+    def clone(self, folder: str) -> StoredIndex:
+        """A new index with the same contents, which shares the files that are there; changes of either leave the other as it is."""
+        Versions(self.spark, folder).commit(1, self._as_of_one())
+        return StoredIndex(self.spark, folder, 1)
+
+    def _as_of_one(self) -> dict:
+        if len(self.state["changes"]) > 1:
+            raise ValueError("only an index of one change can be cloned; compact it first")
+        change = self.state["changes"][0]
+        return {"buckets": {b: [[p, 1] for p, _ in parts] for b, parts in self.state["buckets"].items()}, "changes": [{**change, "version": 1}], "totals": self.state["totals"]}
+
+    def compact(self, buckets: list[int] | None = None, parts: int = 4) -> StoredIndex:
+        """The index with some buckets written anew without dead postings, or else those of more than `parts` parts; the files of the
+        others stay. Changes that every bucket is clean of are forgotten, but for the lengths of their rows, which become one list."""
+        state, number = self.state, self.version + 1
+        chosen = [b for b, p in state["buckets"].items() if (int(b) in buckets if buckets is not None else len(p) > parts)]
+        path = self.versions.fresh("segment")
+        after = {b: list(p) for b, p in state["buckets"].items()}
+        if chosen:
+            live = self._live(map(int, chosen)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+            live.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+            there = set(self._buckets(f"{path}/postings"))
+            after |= {b: [[f"{path}/postings/bucket={b}", self.version]] if int(b) in there else [] for b in chosen}
+        changes, oldest = state["changes"], min((p[1] for parts_ in after.values() for p in parts_), default=self.version)
+        old = [c for c in changes if c["version"] <= oldest]
+        if len(old) > 1:
+            parts_ = [self.spark.read.parquet(c["path"]).select("entity", "id", "length", F.lit(c["version"]).alias("v")) for c in old]
+            last = reduce(DataFrame.unionByName, parts_).groupBy("entity", "id").agg(F.max_by("length", "v").alias("length"))
+            last.where("length IS NOT NULL").write.parquet(f"{path}/rows")
+            rows = self.spark.read.parquet(f"{path}/rows").count()
+            changes = [{"path": f"{path}/rows", "version": old[-1]["version"], "rows": rows}, *changes[len(old) :]]
+        self.versions.commit(number, {"buckets": after, "changes": changes, "totals": state["totals"]})
+        return StoredIndex(self.spark, self.versions.folder, number)
+
+
+def _removed(gone: DataFrame) -> DataFrame:
+    return gone.select("entity", F.col("id").cast("string").alias("id")).distinct().withColumn("length", F.lit(None).cast("int"))
 
 
 @dataclass(frozen=True)
@@ -108,35 +224,46 @@ class Phrase:
     near: int | None = None
 
 
+_PART = re.compile(r'NEAR\s*\([^()]*\)|\w+\s*:\s*\(|(?:\w+\s*:\s*)?"[^"]*"\*?|[()]|[^\s()]+')
+
+
 def parse(query: str):
-    """A tree of ("and" | "or" | "not", left, right) and phrases. An empty query is an error."""
-    parts = re.findall(r'NEAR\s*\([^()]*\)|(?:[\w]+\s*:\s*)?"[^"]*"\*?|[()]|[^\s()]+', query)
+    """A tree of ("and" | "or" | "not", left, right) and phrases. An empty query is an error, and so is a parenthesis without its other."""
+    parts = _PART.findall(query)
     at = 0
 
     def words(text: str) -> tuple[str, ...]:
-        return tuple(re.findall(r"[^\W_]+", text.lower()))
+        return tuple(re.findall(r"[^\W_]+", T.fold(text)))
 
-    def leaf(part: str) -> Phrase | None:
-        if part.startswith("NEAR"):
+    def leaf(part: str, field: str | None) -> Phrase | None:
+        if part.startswith("NEAR") and part.endswith(")"):
             inner, _, number = part[part.index("(") + 1 : -1].partition(",")
-            return Phrase(tuple(map(_stem, words(inner))), near=int(number) if number.strip() else NEAR)
+            return Phrase(tuple(map(_stem, words(inner))), field=field, near=int(number) if number.strip() else NEAR)
         named = re.match(r"(\w+)\s*:\s*(.+)$", part, re.DOTALL)
-        field, body = (named[1], named[2]) if named else (None, part)
+        field, body = (named[1], named[2]) if named else (field, part)
         prefix = body.endswith("*")
         found = words(body)
         cut = tuple(w if prefix and i == len(found) - 1 else _stem(w) for i, w in enumerate(found))
         return Phrase(cut, prefix, field) if cut else None
 
-    def either():
+    def either(field: str | None, depth: int):
         nonlocal at
-        left = every()
+        left = every(field, depth)
         while at < len(parts) and parts[at] == "OR":
             at += 1
-            right = every()
+            right = every(field, depth)
             left = ("or", left, right) if left and right else left or right
         return left
 
-    def every():
+    def group(field: str | None, depth: int):
+        nonlocal at
+        inner = either(field, depth + 1)
+        if at >= len(parts):
+            raise ValueError("a parenthesis isn't closed")
+        at += 1
+        return inner
+
+    def every(field: str | None, depth: int):
         nonlocal at
         left = None
         while at < len(parts) and parts[at] not in ("OR", ")"):
@@ -146,20 +273,23 @@ def parse(query: str):
                 continue
             negated = word == "NOT"
             if negated:
-                if at >= len(parts):
+                if at >= len(parts) or parts[at] == ")":
                     break
                 word = parts[at]
                 at += 1
             if word == "(":
-                right = either()
-                at += 1
+                right = group(field, depth)
+            elif word.endswith("(") and ":" in word:
+                right = group(word[:-1].partition(":")[0].strip(), depth)
             else:
-                right = leaf(word)
+                right = leaf(word, field)
             if right is not None:
                 left = ("not", left, right) if negated else ("and", left, right) if left else right
+        if at < len(parts) and parts[at] == ")" and not depth:
+            raise ValueError("a parenthesis isn't opened")
         return left
 
-    tree = either()
+    tree = either(None, 0)
     if tree is None or _negative(tree):
         raise ValueError("an empty full-text query")
     return tree
@@ -194,14 +324,18 @@ def _count(phrase: Phrase) -> Column:
         same = F.filter(own, lambda h: (h["field"] == field) & (h["term"].startswith(term) if prefix else h["term"] == term))
         return F.flatten(F.transform(same, lambda h: h["positions"]))
 
+    def moved(at: Column, back: int) -> Column:
+        return F.transform(at, lambda p: p - back) if back else at
+
     def within(field: Column) -> Column:
         last = len(phrase.terms) - 1
         lists = [places(t, phrase.prefix and i == last, field) for i, t in enumerate(phrase.terms)]
         if phrase.near is not None:
-            reach = phrase.near + 1
+            # the places from which a term is within reach, of every term; sets of them meet in one pass over each
+            from_where = [F.array_distinct(F.flatten(F.transform(x, lambda p: F.sequence(p - (phrase.near + 1), p)))) for x in lists]
             starts = F.array_distinct(F.flatten(F.array(*lists)))
-            return F.size(F.filter(starts, lambda s: reduce(lambda a, b: a & b, (F.exists(x, lambda p: (p >= s) & (p <= s + reach)) for x in lists))))
-        return F.size(F.filter(lists[0], lambda s: reduce(lambda a, b: a & b, (F.array_contains(x, s + i) for i, x in enumerate(lists) if i), F.lit(True))))
+            return F.size(reduce(F.array_intersect, from_where, starts))
+        return F.size(reduce(F.array_intersect, [moved(x, i) for i, x in enumerate(lists)]) if last else lists[0])
 
     fields = F.array_distinct(F.transform(own, lambda h: h["field"]))
     return F.aggregate(F.transform(fields, within), F.lit(0), lambda a, n: a + n)
@@ -221,11 +355,7 @@ def search(index: Index, query: str, *, entities: list[str] | None = None, limit
     wanted = list(dict.fromkeys(_all_phrases(tree)))
     exact = sorted({t for p in wanted for i, t in enumerate(p.terms) if not (p.prefix and i == len(p.terms) - 1)})
     begin = sorted({p.terms[-1] for p in wanted if p.prefix})
-    picked = reduce(lambda a, b: a | b, [F.col("term").isin(*exact)] * bool(exact) + [F.col("term").startswith(b) for b in begin])
-    found = index.read(picked)
-    if "bucket" in found.columns and not begin:
-        buckets = F.array(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)) for t in exact))
-        found = found.where(F.col("bucket").isin(*found.sparkSession.range(1).select(buckets.alias("b")).head().b))
+    found = index.read(exact, begin)
     if entities is not None:
         found = found.where(F.col("entity").isin(*entities)) if entities else found.limit(0)
     rows = found.groupBy("entity", "id", "length").agg(F.collect_list(F.struct("field", "term", "positions")).alias("hits"))

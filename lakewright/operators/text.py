@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,11 +160,28 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+@cache
+def _accents() -> tuple[str, str]:
+    """Letters whose canonical decomposition is one plain letter with marks, and those letters."""
+    marked, plain = [], []
+    for code in range(0x80, 0x1F00):
+        letter = chr(code)
+        base = "".join(c for c in unicodedata.normalize("NFD", letter) if not unicodedata.combining(c))
+        if letter.isalpha() and len(base) == 1 and base != letter:
+            marked.append(letter)
+            plain.append(base)
+    return "".join(marked), "".join(plain)
+
+
 def folded(text: Column) -> Column:
-    """Without the diacritics of Latin letters."""
-    marks = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(F.lower(text), marks, plain)
+    """In lower case and without diacritics, composed or not."""
+    return F.regexp_replace(F.translate(F.lower(text), *_accents()), r"\p{Mn}+", "")
+
+
+def fold(text: str) -> str:
+    """What folded does, to a query."""
+    plain = text.lower().translate(str.maketrans(*_accents()))
+    return "".join(c for c in plain if unicodedata.category(c) != "Mn")
 
 
 def postings(docs: DataFrame, key: str, text: str, *, stem=None) -> DataFrame:

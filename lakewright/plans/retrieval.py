@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from lakewright.operators import text as T
 from lakewright.operators import vector
 from lakewright.plans.registry import register
 from lakewright.plans.vectors import probe
+from lakewright.session import ensure_checkpoint_dir
 from lakewright.sources.tables import table
+from lakewright.sources.versions import Conflict, Versions
 
 #: The kinds that are searched together: table, kind, key, text.
 KINDS = [
@@ -18,9 +22,10 @@ KINDS = [
     ("customer", "customer", "c_custkey", "c_name"), ("supplier", "supplier", "s_suppkey", "s_name"), ("nation", "nation", "n_nationkey", "n_name"), ("region", "region", "r_regionkey", "r_name"),
 ]
 #: The words whose stems are those of the queries below.
-_SQL_WORDS = "a AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS entity, {key}::VARCHAR AS id, {body} AS body FROM {name}{' WHERE turn = 0' if name == 'conversations' else ''}" for name, kind, key, body in KINDS) + ")"
+_KEYS = {"conversations": "conv_id::VARCHAR || ':' || turn::VARCHAR"}
+_SQL_WORDS = "a AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS entity, {_KEYS.get(name, key + '::VARCHAR')} AS id, {body} AS body FROM {name}" for name, kind, key, body in KINDS) + ")"
 _SCORES = """
-t AS (SELECT entity, id, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') AS w FROM a),
+t AS (SELECT entity, id, regexp_extract_all(strip_accents(lower(coalesce(body, ''))), '[\\p{L}\\p{N}]+') AS w FROM a),
 f AS (SELECT entity, id, w, len(w) AS length, len(list_filter(w, lambda x: x IN ('thble', 'thbles', 'thbleing', 'thbleings'))) AS t0, len(list_filter(w, lambda x: x IN ('widget', 'widgets', 'widgeted', 'widgeting', 'widgetings'))) AS t1, len(list_filter(w, lambda x: x = 'asia')) AS t2 FROM t),
 g AS (SELECT entity, count(*) AS n, avg(length) AS mean, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1, count(*) FILTER (t2 > 0) AS d2 FROM f GROUP BY ALL),
 s AS (SELECT entity, id, w, t0, t1, t2, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * length / mean))
@@ -30,26 +35,47 @@ k AS (SELECT entity, id, score, row_number() OVER (PARTITION BY entity ORDER BY
 """
 
 
-def sources(spark: SparkSession, folder: str, kinds: list[str] | None = None) -> list[tuple[DataFrame, str, str, list[str]]]:
+def sources(spark: SparkSession, folder: str, kinds: list[str] | None = None) -> list[S.Source]:
     found = []
     for name, kind, key, body in KINDS:
         if kinds is None or kind in kinds:
             rows = table(spark, folder, name)
-            rows = rows.where("turn = 0") if name == "conversations" else rows
-            found.append((rows.select(key, F.col(body).alias("body")), kind, key, ["body"]))
+            key = F.concat_ws(":", "conv_id", "turn") if name == "conversations" else F.col(key)
+            found.append((rows.select(key.cast("string").alias("id"), F.col(body).alias("body")), kind, "id", ["body"]))
     return found
 
 
+def stored(spark: SparkSession, folder: str) -> S.StoredIndex:
+    """The index of all kinds in the shared folder, made by the first query that asks for it. Its place is named after the tables' files, their sizes
+    and times, so changed tables get a new one."""
+    home = ensure_checkpoint_dir(spark).rstrip("/")
+    files = Versions(spark, home)
+    seen = []
+    for name, *_ in KINDS:
+        at = files._paths(f"{folder}/{name}.parquet")
+        system = files._system(at)
+        found = system.listStatus(at)
+        seen += sorted((name, f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)
+    place = f"{home}/fulltext-{hashlib.sha256(repr((folder, seen)).encode()).hexdigest()[:32]}"
+    index = S.StoredIndex(spark, place)
+    if index.state is None:
+        try:
+            index = index.change(sources(spark, folder))
+        except Conflict:  # another session has made it meanwhile
+            index = S.StoredIndex(spark, place)
+    return index
+
+
 @register(f"WITH {_SQL_WORDS}, {_SCORES} SELECT entity, id, score FROM k WHERE i <= 20 AND entity = 'document'")
 def fts_porter(spark: SparkSession, folder: str) -> DataFrame:
     """An inflected query term meets all forms of its stem."""
-    return S.search(S.Index.of(sources(spark, folder, ["document"])), "thbles OR widgets OR asia")
+    return S.search(stored(spark, folder), "thbles OR widgets OR asia", entities=["document"])
 
 
 @register(f"WITH {_SQL_WORDS}, {_SCORES}, m AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM k WHERE i <= 20) SELECT entity, id, round((n - i + 1) / n, 6) AS relevance FROM m")
 def fts_multi_entity(spark: SparkSession, folder: str) -> DataFrame:
     """Eight kinds; each gives its best 20 and is ranked by place, whatever its raw scores. An unknown kind is dropped."""
-    return S.multi_search(S.Index.of(sources(spark, folder)), "thbles OR widgets OR asia", entities=[k for _, k, *_ in KINDS] + ["unknown"])
+    return S.multi_search(stored(spark, folder), "thbles OR widgets OR asia", entities=[k for _, k, *_ in KINDS] + ["unknown"])
 
 
 @register(
@@ -60,13 +86,13 @@ def fts_multi_entity(spark: SparkSession, folder: str) -> DataFrame:
 )
 def fts_near(spark: SparkSession, folder: str) -> DataFrame:
     """At most three tokens between two terms, in either order."""
-    return S.search(S.Index.of(sources(spark, folder, ["item"])), "NEAR(of and, 3)", limit=1_000_000).select("id")
+    return S.search(stored(spark, folder), "NEAR(of and, 3)", entities=["item"], limit=1_000_000).select("id")
 
 
 @register(f"WITH {_SQL_WORDS}, {_SCORES} SELECT id FROM s WHERE entity = 'part' AND list_contains(w, 'cold') AND len(list_filter(w, lambda x: starts_with(x, 'wid'))) > 0")
 def fts_field_prefix(spark: SparkSession, folder: str) -> DataFrame:
     """A term of one field and a prefix."""
-    return S.search(S.Index.of(sources(spark, folder, ["part"])), "body:cold wid*", limit=1_000_000).select("id")
+    return S.search(stored(spark, folder), "body:(cold wid*)", entities=["part"], limit=1_000_000).select("id")
 
 
 @register(
@@ -80,7 +106,7 @@ def search_router(spark: SparkSession, folder: str) -> DataFrame:
     """The hybrid mode: each side fetches max(limit, 40), and they are blended."""
 
     def text_side(query: str, limit: int) -> DataFrame:
-        return S.multi_search(S.Index.of(sources(spark, folder, ["document"])), query, limit=limit)
+        return S.multi_search(stored(spark, folder), query, entities=["document"], limit=limit)
 
     def near_side(_: str, limit: int) -> DataFrame:
         return vector.vector_search(table(spark, folder, "embeddings", "vec_id", "embedding"), probe(spark, folder), limit=limit)
@@ -108,3 +134,43 @@ def search_router(spark: SparkSession, folder: str) -> DataFrame:
 def fts_snippet(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     return docs.select("doc_id", T.snippet(F.col("text"), ["thble", "moron"], width=8).alias("snippet")).where("snippet IS NOT NULL")
+
+
+_ACCENTED = "('couelle', 'couelles', 'couell', 'couells', 'couelled', 'couelling')"
+
+
+@register(
+    f"""
+    WITH t AS (SELECT doc_id::VARCHAR AS id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+    f AS (SELECT id, len(w) AS length, len(list_filter(w, lambda x: x IN {_ACCENTED})) AS n FROM t),
+    g AS (SELECT count(*) AS docs, avg(length) AS mean, count(*) FILTER (n > 0) AS d FROM f)
+    SELECT id, round(greatest(ln((docs - d + 0.5) / (d + 0.5)), 1e-6) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score FROM f, g WHERE n > 0
+    """
+)
+def fts_accents(spark: SparkSession, folder: str) -> DataFrame:
+    """A query with accents meets words with and without them."""
+    return S.search(stored(spark, folder), "Çouélle", entities=["document"], limit=1_000_000).select("id", "score")
+
+
+@register(
+    """
+    WITH c AS (SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN 'widget asia ' || text ELSE text END AS body FROM documents WHERE doc_id % 100 <> 1 UNION ALL SELECT doc_id + 1000000, 'a widget of asia' FROM documents WHERE doc_id % 100 = 2),
+    t AS (SELECT doc_id::VARCHAR AS id, regexp_extract_all(strip_accents(lower(body)), '[\\p{L}\\p{N}]+') AS w FROM c),
+    f AS (SELECT id, len(w) AS length, len(list_filter(w, lambda x: x IN ('widget', 'widgets', 'widgeted', 'widgeting', 'widgetings'))) AS t1, len(list_filter(w, lambda x: x = 'asia')) AS t2, len(list_filter(w, lambda x: x IN ('thble', 'thbles', 'thbleing', 'thbleings'))) AS t3 FROM t),
+    g AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (t1 > 0) AS d1, count(*) FILTER (t2 > 0) AS d2, count(*) FILTER (t3 > 0) AS d3 FROM f),
+    s AS (SELECT id, round(greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * length / mean))
+      + greatest(ln((n - d2 + 0.5) / (d2 + 0.5)), 1e-6) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * length / mean)) + greatest(ln((n - d3 + 0.5) / (d3 + 0.5)), 1e-6) * t3 * 2.2 / (t3 + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score
+      FROM f, g WHERE (t1 > 0 AND t2 > 0) OR t3 > 0)
+    SELECT id, score FROM s
+    """
+)
+def fts_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """An index after changes: of the documents one in a hundred is changed, one is removed and one is new; queries read through the segments."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    base = Versions(spark, ensure_checkpoint_dir(spark))
+    index = stored(spark, folder).clone(base.fresh("fulltext"))
+    changed = docs.where("doc_id % 100 = 0").select("doc_id", F.concat(F.lit("widget asia "), "text").alias("body"))
+    index = index.change([(changed, "document", "doc_id", ["body"])], docs.where("doc_id % 100 = 1").select(F.lit("document").alias("entity"), F.col("doc_id").alias("id")))
+    new = docs.where("doc_id % 100 = 2").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.lit("a widget of asia").alias("body"))
+    index = index.change([(new, "document", "doc_id", ["body"])]).compact([S.bucket_of("widget")])
+    return S.search(index, "(widgets AND asia) OR thbles", entities=["document"], limit=1_000_000).select("id", "score")

@@ -38,13 +38,23 @@ def test_grammar(sources):
 
 
 def test_a_stored_index_answers_alike(spark, sources, tmp_path):
-    path = str(tmp_path / "index")
-    search.Index.write(sources, path)
-    stored, made = search.Index.open(spark, path), search.Index.of(sources)
-    for query in ("connect", "fox quick", "conn*", '"quick brown"'):
-        assert sorted(search.search(stored, query).collect()) == sorted(search.search(made, query).collect())
-    plan = search.search(stored, "connect")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [" in plan and "bucket" in plan
+    stored, made = search.StoredIndex(spark, str(tmp_path / "index")).change(sources), search.Index.of(sources)
+    for query in ("fox NOT red", '"quick brown"', "conn*", "NEAR(quick fox, 1)"):
+        assert sorted(search.search(stored, query).collect()) == sorted(search.search(made, query).collect()), query
+    read = {f.split("bucket=")[1].split("/")[0] for f in stored.read(["connect"], []).inputFiles() if "bucket=" in f}
+    assert read == {str(search.bucket_of("connect"))}
+
+
+def test_parentheses_and_accents(spark, sources):
+    for wrong in ("a ) b", "(a b", "x:(a b", ")"):
+        with pytest.raises(ValueError):
+            search.parse(wrong)
+    index = search.Index.of(sources)
+    assert found(index, "title:(connect OR notes)") == {"1", "2", "3"} and found(index, "body:(connect OR fox) NOT title:notes") == {"1", "4"}
+    rows = spark.createDataFrame([(1, "un café noir"), (2, "cafe au lait"), (3, "CAFE\u0301 crème, Łódź"), (4, "őrült šaty")], "id int, body string")
+    index = search.Index.of([(rows, "note", "id", ["body"])])
+    for query, ids in (("café", {"1", "2", "3"}), ("cafe", {"1", "2", "3"}), ("CAFÉ creme", {"3"}), ("orult saty", {"4"}), ("őrült", {"4"}), ("cafe\u0301", {"1", "2", "3"}), ("łodz", {"3"})):
+        assert found(index, query) == ids, query
 
 
 def test_kinds_and_limits(sources):
@@ -78,17 +88,43 @@ def test_merged_json_and_recovery(spark):
     assert sorted((r.id, r.status, r.agent) for r in records.recover(given, work).collect()) == [(10, "pending", None), (11, "started", "x"), (12, "done", "x"), (13, "pending", None), (14, "started", "z")]
 
 
-def test_an_index_is_refreshed(spark, sources, tmp_path):
-    old, new = str(tmp_path / "old"), str(tmp_path / "new")
-    search.Index.write(sources[:1], old)
-    changed = spark.createDataFrame([(2, "Zebra", "stripes"), (7, "Late", "a fox came late")], "id int, title string, body string")
-    gone = spark.createDataFrame([("note", 3)], "entity string, id int")
-    search.Index.refresh(spark, old, [(changed, "note", "id", ["title", "body"])], gone, new)
-    index = search.Index.open(spark, new)
-    rows = [r for r in ROWS if r[0] in (1, 4)] + [(2, "Zebra", "stripes"), (7, "Late", "a fox came late")]
-    plain = search.Index.of([(spark.createDataFrame(rows, "id int, title string, body string"), "note", "id", ["title", "body"])])
-    for query in ("fox", "connect", "zebra OR red"):
-        assert sorted(search.search(index, query).collect()) == sorted(search.search(plain, query).collect())
+def test_an_index_is_changed_by_segments(spark, sources, tmp_path):
+    import glob
+    import os
+
+    schema = "id int, title string, body string"
+    fields = ["title", "body"]
+    first = search.StoredIndex(spark, str(tmp_path / "index")).change(sources[:1])
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(str(tmp_path / "index/**/*.parquet"), recursive=True)}
+    gone = spark.createDataFrame([("note", 3), ("note", 99), ("note", 7)], "entity string, id int")
+    second = first.change([(spark.createDataFrame([(2, "Zebra", "stripes"), (7, "Late", "a fox came late")], schema), "note", "id", fields)], gone)
+    third = second.change([(spark.createDataFrame([(2, "Zebra", "red stripes"), (3, "Back", "connected again")], schema), "note", "id", fields)])
+    fourth = third.change([], spark.createDataFrame([("note", 1)], "entity string, id int"))
+    # what is stored of each version, by loops
+    states = [{r[0]: r for r in ROWS}]
+    states.append({k: r for k, r in states[0].items() if k not in (2, 3)} | {2: (2, "Zebra", "stripes"), 7: (7, "Late", "a fox came late")})
+    states.append(states[1] | {2: (2, "Zebra", "red stripes"), 3: (3, "Back", "connected again")})
+    states.append({k: r for k, r in states[2].items() if k != 1})
+
+    def check(index, state):
+        plain = search.Index.of([(spark.createDataFrame(list(state.values()), schema), "note", "id", fields)])
+        for query in ("fox OR connect OR zebra", "late* OR red"):
+            assert sorted(search.search(index, query).collect()) == sorted(search.search(plain, query).collect()), query
+
+    for index, state in zip((first, second, third, fourth), states, strict=True):
+        check(index, state)
+    check(search.StoredIndex(spark, str(tmp_path / "index"), 2), states[1])
+    bucket = search.bucket_of("fox")
+    fifth = fourth.compact([bucket])
+    check(fifth, states[3])
+    assert {b for b in fifth.state["buckets"] if fifth.state["buckets"][b] != fourth.state["buckets"][b]} == {str(bucket)}
+    assert all(os.stat(f).st_mtime_ns == t for f, t in before.items())  # nothing that was there is written again
+    sixth = fifth.compact(list(range(search.BUCKETS)))
+    check(sixth, states[3])
+    assert len(sixth.state["changes"]) == 1 and all(len(p) <= 1 for p in sixth.state["buckets"].values())
+    check(sixth.change([(spark.createDataFrame([(1, "fox", "fox")], schema), "note", "id", fields)]), states[3] | {1: (1, "fox", "fox")})
+    with pytest.raises(Exception, match="another writer"):
+        first.change([], gone)
 
 
 def test_cells_of_vectors(spark, tmp_path):
