@@ -23,7 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.pretokens import MEMORY_BYTES, TextEncoder
+from lakewright.llm.pretokens import TextEncoder
+
+#: Bytes of a worker's memory of pre-tokens.
+MEMORY_BYTES = 72 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
