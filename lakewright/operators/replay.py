@@ -15,13 +15,23 @@ from pyspark.sql import types as T
 OPERATION = T.StructType(
     [T.StructField(n, t) for n, t in (("v", T.IntegerType()), ("ts", T.StringType()), ("ses", T.StringType()), ("op", T.StringType()), ("entity", T.StringType()), ("id", T.StringType()), ("data", T.StringType()))]
 )
+#: A line's file, as listings of files name it.
+NAME = "_metadata.file_path AS file"
 #: What a create leaves open.
 DEFAULTS = {"status": "open", "confidence": "medium", "priority": "3"}
 
 
 def read_log(spark, folder: str) -> DataFrame:
     """Operations of a folder's .jsonl files; v is 1 where it is missing, other versions raise an error."""
-    raw = spark.read.option("pathGlobFilter", "*.jsonl").text(folder).withColumn("file", F.input_file_name())
+    return _operations(spark.read.option("pathGlobFilter", "*.jsonl").text(folder).selectExpr("value", NAME))
+
+
+def read_files(spark, paths: list[str]) -> DataFrame:
+    """Operations of some files."""
+    return _operations(spark.read.text(paths).selectExpr("value", NAME) if paths else spark.createDataFrame([], "value string, file string"))
+
+
+def _operations(raw: DataFrame) -> DataFrame:
     numbered = raw.where(F.trim("value") != "").withColumn("line", F.monotonically_increasing_id())
     parsed = numbered.select("file", "line", F.from_json("value", OPERATION).alias("o"), F.get_json_object("value", "$.data").alias("body")).select("file", "line", "o.*", "body")
     checked = parsed.withColumn("v", F.coalesce("v", F.lit(1))).withColumn("data", F.coalesce("body", "data")).drop("body")

@@ -26,7 +26,7 @@ _KEYS = {"conversations": "conv_id::VARCHAR || ':' || turn::VARCHAR"}
 _SQL_WORDS = "a AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS entity, {_KEYS.get(name, key + '::VARCHAR')} AS id, {body} AS body FROM {name}" for name, kind, key, body in KINDS) + ")"
 _SCORES = """
 t AS (SELECT entity, id, regexp_extract_all(strip_accents(lower(coalesce(body, ''))), '[\\p{L}\\p{N}]+') AS w FROM a),
-f AS (SELECT entity, id, w, len(w) AS length, len(list_filter(w, lambda x: x IN ('thble', 'thbles', 'thbleing', 'thbleings'))) AS t0, len(list_filter(w, lambda x: x IN ('widget', 'widgets', 'widgeted', 'widgeting', 'widgetings'))) AS t1, len(list_filter(w, lambda x: x = 'asia')) AS t2 FROM t),
+f AS (SELECT entity, id, w, len(w) AS length, len(list_filter(w, lambda x: x IN ('thble', 'thbles', 'thbleing', 'thbleings'))) AS t0, len(list_filter(w, lambda x: x IN ('widget', 'widgets', 'widgeted', 'widgeting', 'widgetings'))) AS t1, len(list_filter(w, lambda x: x IN ('asia', 'asias', 'asiaed', 'asiaing', 'asiaings'))) AS t2 FROM t),
 g AS (SELECT entity, count(*) AS n, avg(length) AS mean, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1, count(*) FILTER (t2 > 0) AS d2 FROM f GROUP BY ALL),
 s AS (SELECT entity, id, w, t0, t1, t2, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * length / mean))
   + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * length / mean))
@@ -136,7 +136,7 @@ def fts_snippet(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", T.snippet(F.col("text"), ["thble", "moron"], width=8).alias("snippet")).where("snippet IS NOT NULL")
 
 
-_ACCENTED = "('couelle', 'couelles', 'couell', 'couells', 'couelled', 'couelling')"
+_ACCENTED = "('fur', 'furs', 'furred', 'furring', 'furrings')"
 
 
 @register(
@@ -149,14 +149,14 @@ _ACCENTED = "('couelle', 'couelles', 'couell', 'couells', 'couelled', 'couelling
 )
 def fts_accents(spark: SparkSession, folder: str) -> DataFrame:
     """A query with accents meets words with and without them."""
-    return S.search(stored(spark, folder), "Çouélle", entities=["document"], limit=1_000_000).select("id", "score")
+    return S.search(stored(spark, folder), "FU\u0308R", entities=["document"], limit=1_000_000).select("id", "score")
 
 
 @register(
     """
     WITH c AS (SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN 'widget asia ' || text ELSE text END AS body FROM documents WHERE doc_id % 100 <> 1 UNION ALL SELECT doc_id + 1000000, 'a widget of asia' FROM documents WHERE doc_id % 100 = 2),
     t AS (SELECT doc_id::VARCHAR AS id, regexp_extract_all(strip_accents(lower(body)), '[\\p{L}\\p{N}]+') AS w FROM c),
-    f AS (SELECT id, len(w) AS length, len(list_filter(w, lambda x: x IN ('widget', 'widgets', 'widgeted', 'widgeting', 'widgetings'))) AS t1, len(list_filter(w, lambda x: x = 'asia')) AS t2, len(list_filter(w, lambda x: x IN ('thble', 'thbles', 'thbleing', 'thbleings'))) AS t3 FROM t),
+    f AS (SELECT id, len(w) AS length, len(list_filter(w, lambda x: x IN ('widget', 'widgets', 'widgeted', 'widgeting', 'widgetings'))) AS t1, len(list_filter(w, lambda x: x IN ('asia', 'asias', 'asiaed', 'asiaing', 'asiaings'))) AS t2, len(list_filter(w, lambda x: x IN ('thble', 'thbles', 'thbleing', 'thbleings'))) AS t3 FROM t),
     g AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (t1 > 0) AS d1, count(*) FILTER (t2 > 0) AS d2, count(*) FILTER (t3 > 0) AS d3 FROM f),
     s AS (SELECT id, round(greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * length / mean))
       + greatest(ln((n - d2 + 0.5) / (d2 + 0.5)), 1e-6) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * length / mean)) + greatest(ln((n - d3 + 0.5) / (d3 + 0.5)), 1e-6) * t3 * 2.2 / (t3 + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score
