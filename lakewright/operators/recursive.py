@@ -2,8 +2,9 @@
 
 The budget is a sequential fold over symbols in the order of their files. A symbol costs the bytes of its doc comment (or
 else signature), cut to the chunk size. Spent chunk and byte budgets end the query; a symbol that doesn't fit into
-what is left ends only its file. Candidates are ranked in Spark and brought over in blocks of at most the chunk
-budget's rows; a block holds only files whose first candidate still fits, so every block adds a hit and none is lost.
+what is left ends only its file. Candidates are ranked in Spark once and kept as a table, sorted by their
+place, and rows are brought over in blocks of at most the chunk budget's rows: symbols are scanned and ranked once however many blocks it takes. A block
+holds only files whose first candidate still fits, so every block adds a hit and none is lost.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakewright.session import ensure_checkpoint_dir
+from lakewright.sources.versions import Versions
+
 
 @dataclass(frozen=True)
 class Budget:
@@ -82,6 +86,17 @@ def recursive_query(symbols: DataFrame, kinds: list[str], keywords: list[str], b
     cost = F.least(F.octet_length(F.coalesce("doc_comment", "signature", F.lit(""))), F.lit(budget.max_bytes_per_chunk)).cast("long")
     ranked = matching(symbols, kinds, keywords).withColumn("cost", cost).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= budget.max_chunks)
     ranked = ranked.withColumn("first_cost", F.first("cost").over(order))
+    spark = symbols.sparkSession
+    store = Versions(spark, ensure_checkpoint_dir(spark))
+    path = store.fresh("candidates")
+    ranked.repartitionByRange("path").sortWithinPartitions("path", "nth").write.parquet(path)
+    try:
+        return _fold(spark.read.schema(ranked.schema).parquet(path), budget, external)
+    finally:
+        store.remove(path)
+
+
+def _fold(ranked: DataFrame, budget: Budget, external: bool) -> Result:
     result, seen, after = Result(), set(), F.lit(True)
     while len(result.hits) < budget.max_chunks and result.bytes_used < budget.max_total_bytes:
         left = budget.max_total_bytes - result.bytes_used

@@ -253,17 +253,24 @@ def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     """
-    WITH p AS (SELECT source || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS signature, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_start FROM documents)
-    SELECT path || '::function::p' || (line_start - 1) || '::' || line_start AS ref_id, path, least(octet_length(encode(signature)), 3000)::BIGINT AS bytes
-    FROM p WHERE contains(lower(signature), 'thble') ORDER BY path, line_start LIMIT 200
+    WITH RECURSIVE p AS (SELECT source || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS signature, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_start FROM documents),
+    c AS MATERIALIZED (SELECT path, line_start, least(octet_length(encode(signature)), 3000)::BIGINT AS cost, row_number() OVER (ORDER BY path, line_start) AS i FROM p WHERE contains(lower(signature), 'thble')),
+    r AS (
+      SELECT 0::BIGINT AS i, ''::VARCHAR AS path, 0::BIGINT AS line_start, 0::BIGINT AS cost, false AS taken, 0::BIGINT AS used, 0 AS hits, ''::VARCHAR AS ended
+      UNION ALL
+      SELECT c.i, c.path, c.line_start, c.cost, c.path <> ended AND used + c.cost <= 40000, used + CASE WHEN c.path <> ended AND used + c.cost <= 40000 THEN c.cost ELSE 0 END,
+        hits + (c.path <> ended AND used + c.cost <= 40000)::INT, CASE WHEN c.path <> ended AND used + c.cost > 40000 THEN c.path ELSE ended END
+      FROM r JOIN c ON c.i = r.i + 1 WHERE hits < 200 AND used < 40000)
+    SELECT path || '::function::p' || (line_start - 1) || '::' || line_start AS ref_id, path, cost AS bytes FROM r WHERE taken
     """
 )
 def recursive_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Paragraphs as symbols of their document. 200 chunks of 3,000 bytes can't spend the byte budget, so SQL can say it."""
+    """Paragraphs as symbols of their document. The bytes run out: a paragraph that doesn't fit into what is left ends its document, and later ones
+    take what they can."""
     docs = table(spark, folder, "documents", "doc_id", "source", "text")
     parts = docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "signature"))
     symbols = parts.select("path", F.lit("function").alias("kind"), F.concat(F.lit("p"), F.col("at")).alias("name"), "signature", F.lit(None).cast("string").alias("doc_comment"), (F.col("at") + 1).alias("line_start"))
-    found = recursive.recursive_query(symbols, ["function"], ["thble"], recursive.Budget(max_bytes_per_chunk=3000))
+    found = recursive.recursive_query(symbols, ["function"], ["thble"], recursive.Budget(max_bytes_per_chunk=3000, max_total_bytes=40_000))
     return found.frames(spark)[0].select("ref_id", "path", "bytes")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakewright.operators import log_versions, quantised, rebuild
+from lakewright.operators import lifecycle, log_versions, quantised, rebuild
 from lakewright.plans.registry import register
 from lakewright.session import ensure_checkpoint_dir
 from lakewright.sources.snapshots import Dataset
@@ -106,3 +106,37 @@ def vector_quantised(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh(spark, "quantised")
     quantised.write_index(rows, path)
     return quantised.search(rows.where("vec_id % 20 = 0"), rows, path, k=10, probes=14)
+
+
+_MOVE = "CASE event_type WHEN 'signup' THEN 'transition' WHEN 'error' THEN 'transition' WHEN 'click' THEN 'transition' WHEN 'purchase' THEN 'reopen' ELSE 'update' END"
+_TO = "CASE event_type WHEN 'signup' THEN 'wrapped_up' WHEN 'error' THEN 'abandoned' WHEN 'click' THEN 'archived' END"
+
+
+@register(
+    f"""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, {_TO} AS tgt FROM events),
+    b AS (SELECT user_id, min((ts, event_id)) AS born, min(ts) AS started_at FROM e GROUP BY user_id),
+    m AS (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM e JOIN b USING (user_id) WHERE event_type <> 'view' AND (ts, event_id) > born),
+    r AS (
+      SELECT user_id, 0::BIGINT AS i, 'active' AS status, NULL::VARCHAR AS ended_at, NULL::VARCHAR AS summary, 0::BIGINT AS accepted, 0::BIGINT AS refused FROM b
+      UNION ALL
+      SELECT r.user_id, m.i, CASE WHEN event_type = 'purchase' AND status <> 'active' THEN 'active' WHEN status = 'active' AND event_type IN ('signup', 'error') THEN tgt ELSE status END,
+        CASE WHEN event_type = 'purchase' AND status <> 'active' THEN NULL WHEN status = 'active' AND event_type IN ('signup', 'error') THEN ts ELSE ended_at END,
+        CASE WHEN event_type = 'purchase' AND status <> 'active' THEN NULL WHEN status = 'active' AND event_type = 'signup' THEN 's' || event_id WHEN status = 'active' AND event_type = 'error' THEN NULL ELSE summary END,
+        accepted + ((event_type = 'purchase' AND status <> 'active') OR (status = 'active' AND event_type IN ('signup', 'error')))::INT,
+        refused + (NOT ((event_type = 'purchase' AND status <> 'active') OR (status = 'active' AND event_type IN ('signup', 'error'))))::INT
+      FROM r JOIN m ON m.user_id = r.user_id AND m.i = r.i + 1)
+    SELECT user_id::VARCHAR AS id, status, started_at, ended_at, summary, accepted, refused FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS k FROM r) JOIN b USING (user_id) WHERE k = 1
+    """
+)
+def session_life_cycle(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as the log of sessions: a user's first event opens a session, sign-ups wrap it up, errors abandon it, purchases reopen it, and
+    clicks ask for what is never allowed."""
+    events = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type")
+    first = F.min(F.struct("ts", "event_id")).over(Window.partitionBy("user_id"))
+    log = events.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.lit("events").alias("file"), F.col("event_id").alias("line"), F.lit("session").alias("entity"), F.col("user_id").cast("string").alias("id"),
+        F.when(F.struct("ts", "event_id") == first, "create").otherwise(F.expr(_MOVE)).alias("op"),
+        F.to_json(F.struct(F.expr(_TO).alias("to"), F.when(F.col("event_type") == "signup", F.concat(F.lit("s"), "event_id")).alias("summary"))).alias("data"),
+    )
+    return lifecycle.life_cycles(log).select("id", "status", "started_at", "ended_at", "summary", "accepted", "refused")
