@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from lakewright.operators import lifecycle, log_versions, quantised, rebuild
 from lakewright.plans.registry import register
 from lakewright.session import ensure_checkpoint_dir
+from lakewright.sources import archives
 from lakewright.sources.snapshots import Dataset
 from lakewright.sources.tables import table
 from lakewright.sources.versions import Versions
+from lakewright.streaming import timers
 
 
 def fresh(spark: SparkSession, label: str) -> str:
@@ -140,3 +142,29 @@ def session_life_cycle(spark: SparkSession, folder: str) -> DataFrame:
         F.to_json(F.struct(F.expr(_TO).alias("to"), F.when(F.col("event_type") == "signup", F.concat(F.lit("s"), "event_id")).alias("summary"))).alias("data"),
     )
     return lifecycle.life_cycles(log).select("id", "status", "started_at", "ended_at", "summary", "accepted", "refused")
+
+
+@register("SELECT page_id, url, octet_length(encode(html))::BIGINT AS n_bytes, sha256(html) AS digest FROM pages")
+def archive_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as web archives and read back, in runs of whole members that the offset index names."""
+    archives.register(spark)
+    home = fresh(spark, "archive")
+    archives.write(archives.of_pages(table(spark, folder, "pages")), home, files=int(spark.conf.get("spark.sql.shuffle.partitions"))).count()
+    archives.write_index(spark, home, f"{home}/index")
+    read = spark.read.format("webarchive").option("index", f"{home}/index").option("split", str(1 << 20)).load(home)
+    return read.select(F.regexp_extract("record_id", r"(\d+)", 1).cast("long").alias("page_id"), F.col("uri").alias("url"), F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("digest"))
+
+
+@register(
+    """
+    WITH e AS (SELECT user_id, list(CASE WHEN event_type = 'signup' THEN 1 WHEN event_type IN ('purchase', 'error') THEN -1 ELSE 0 END ORDER BY ts, event_id) AS d FROM events GROUP BY user_id),
+    f AS (SELECT user_id, list_transform(generate_series(1, len(d)), lambda i: list_reduce([0] || d[1:i], lambda a, b: greatest(0, a + b))) AS a FROM e)
+    SELECT user_id::VARCHAR AS key, a[len(a)]::BIGINT AS active, list_max(a)::BIGINT AS peak FROM f
+    """
+)
+def active_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Sign-ups less purchases and errors of each user in the order of their times, never below zero: the last and the highest count."""
+    events = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type")
+    told = events.select(F.col("user_id").cast("string").alias("key"), "event_type", "ts", F.col("event_id").alias("seq"))
+    counted = timers.active_in_order(told, "signup", "purchase", "error")
+    return counted.groupBy("key").agg(F.max_by("active", F.struct("ts", "seq")).alias("active"), F.max("active").alias("peak"))
