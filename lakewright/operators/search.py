@@ -132,9 +132,9 @@ class StoredIndex(Index):
             found = found.unionByName(stored)
         return found
 
-    def change(self, changed: list[Source], gone: DataFrame | None = None) -> StoredIndex:
+    def change(self, changed: list[Source], gone: DataFrame | None = None, *, number: int | None = None) -> StoredIndex:
         """The index after some rows have been set, in place of what it had of them, and those of gone (entity, id) removed. What hasn't
-        changed is neither read nor written."""
+        changed is neither read nor written. The new version has the next number, or a given later one."""
         path = self.versions.fresh("segment")
         if changed:
             rows = _rows(changed)
@@ -150,7 +150,7 @@ class StoredIndex(Index):
         written = self.spark.read.schema("entity string, id string, length int, before int").parquet(f"{path}/rows")
         sums = written.groupBy("entity").agg(*(F.count(c).alias(f"n_{c}") for c in ("length", "before")), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("length", "before")), F.count("*").alias("rows"))
         state = self.state or {"buckets": {}, "changes": [], "totals": {}}
-        totals, count, number = dict(state["totals"]), 0, self.version + 1
+        totals, count, number = dict(state["totals"]), 0, number or self.version + 1
         for r in sums.collect():
             docs, tokens = totals.get(r.entity, (0, 0))
             totals[r.entity] = (docs + r.n_length - r.n_before, tokens + r.length - r.before)

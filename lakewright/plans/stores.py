@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakewright.operators import lifecycle, log_versions, quantised, rebuild
+from lakewright.operators import indexing, lifecycle, log_versions, quantised, rebuild, search
 from lakewright.plans.registry import register
 from lakewright.session import ensure_checkpoint_dir
 from lakewright.sources import archives
@@ -168,3 +168,31 @@ def active_in_order(spark: SparkSession, folder: str) -> DataFrame:
     told = events.select(F.col("user_id").cast("string").alias("key"), "event_type", "ts", F.col("event_id").alias("seq"))
     counted = timers.active_in_order(told, "signup", "purchase", "error")
     return counted.groupBy("key").agg(F.max_by("active", F.struct("ts", "seq")).alias("active"), F.max("active").alias("peak"))
+
+
+_CUT = "SELECT doc_id, unnest(string_split(body, chr(10))) AS line, unnest(generate_series(1, len(string_split(body, chr(10))))) AS nth FROM f"
+
+
+@register(
+    f"""
+    WITH f AS (SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN text || chr(10) || 'a widget of asia' ELSE text END AS body FROM documents WHERE doc_id % 100 <> 1),
+    c AS ({_CUT}), t AS (SELECT doc_id || '#' || nth AS id, regexp_extract_all(strip_accents(lower(line)), '[\\p{{L}}\\p{{N}}]+') AS w FROM c WHERE trim(line) <> ''),
+    h AS (SELECT id, len(w) AS length, len(list_filter(w, lambda x: x IN ('widget', 'widgets', 'widgeted', 'widgeting', 'widgetings'))) AS n FROM t),
+    g AS (SELECT count(*) AS docs, avg(length) AS mean, count(*) FILTER (n > 0) AS d FROM h)
+    SELECT id, round(greatest(ln((docs - d + 0.5) / (d + 0.5)), 1e-6) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score FROM h, g WHERE n > 0
+    """
+)
+def index_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files: a first run cuts all of them into paragraphs and indexes these; of a second one, one file in a hundred has changed and
+    one has gone. The answer is that of a fresh index."""
+    docs = table(spark, folder, "documents", "doc_id", "text").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+
+    def paragraphs(files: DataFrame) -> DataFrame:
+        lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text")).where(F.trim("text") != "")
+        return lines.select("path", F.concat_ws("#", "path", F.col("at") + 1).alias("id"), "text")
+
+    job = indexing.Indexer(spark, fresh(spark, "indexed"), {"chunks": paragraphs}, ("chunks", "chunk", "id", ["text"]))
+    job.run(docs.select("path", "content"))
+    changed = F.when(F.col("doc_id") % 100 == 0, F.concat("content", F.lit("\na widget of asia"))).otherwise(F.col("content"))
+    job.run(docs.where("doc_id % 100 <> 1").select("path", changed.alias("content")))
+    return search.search(job.index(), "widgets", limit=1_000_000_000).select("id", "score")

@@ -80,7 +80,7 @@ def members(stream: io.RawIOBase, start: int, end: int | None, where: str) -> It
         raise ValueError(f"a member without an end at {where}@{at}")
 
 
-def _system(place: str) -> tuple[fs.FileSystem, str]:
+def file_system(place: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     if "://" in place and not place.startswith("file:"):
         return fs.FileSystem.from_uri(place)
@@ -88,7 +88,7 @@ def _system(place: str) -> tuple[fs.FileSystem, str]:
 
 
 def _files(folder: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
-    system, path = _system(folder)
+    system, path = file_system(folder)
     found = system.get_file_info(fs.FileSelector(path, recursive=True))
     return system, sorted((f for f in found if f.is_file and f.path.endswith(".warc.gz")), key=lambda f: f.path)
 
@@ -120,7 +120,7 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[Run]:
         if not self.index:
             return [Run(f.path) for f in _files(self.folder)[1]]
-        system, path = _system(self.index)
+        system, path = file_system(self.index)
         stored = ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False)
         where = None if self.uris is None else ds.field("uri").isin(self.uris)
         table = stored.to_table(columns=["file", "start", "size"], filter=where).sort_by([("file", "ascending"), ("start", "ascending")])
@@ -139,7 +139,7 @@ class ArchiveReader(DataSourceReader):
         return runs
 
     def read(self, run: Run) -> Iterator[tuple]:
-        system, _ = _system(self.folder)
+        system, _ = file_system(self.folder)
         with system.open_input_file(run.file) as stream:
             for start, end in [(run.start, run.end)] if run.places is None else [(s, s + n) for s, n in run.places]:
                 for at, _, contents in members(stream, start, end, run.file):
@@ -172,7 +172,7 @@ def write(rows: DataFrame, folder: str, *, files: int = 8) -> DataFrame:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        system, path = _system(folder)
+        system, path = file_system(folder)
         system.create_dir(path, recursive=True)
         name, count = f"part-{context.partitionId():05d}-{context.taskAttemptId()}", 0
         with system.open_output_stream(f"{path}/{name}.open") as out:
@@ -192,7 +192,7 @@ def write_index(spark: SparkSession, folder: str, path: str) -> None:
     files = spark.createDataFrame([(f.path,) for f in found], "file string").repartition(max(1, len(found)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = _system(folder)
+        system, _ = file_system(folder)
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 with system.open_input_file(file) as stream:

@@ -18,24 +18,31 @@ from lakewright.parsing.symbols import is_test, language_column
 FILE_COLUMNS = "path string, content string"
 
 
+def rules_of(text: str) -> list[tuple[str, bool, bool, bool]]:
+    """(pattern, negated, folders only, anchored) of an ignore file."""
+    rules = []
+    for line in text.split("\n"):
+        line = line.rstrip()
+        if line and not line.startswith("#"):
+            negated = line.startswith("!")
+            body = line[negated:]
+            rules.append((body.strip("/"), negated, body.endswith("/"), "/" in body.rstrip("/")))
+    return rules
+
+
 def _ignore_rules(folder: str, names: tuple[str, ...]) -> list[tuple[str, bool, bool, bool]]:
-    """(pattern, negated, folders only, anchored) of a folder's ignore files."""
     rules = []
     for name in names:
         try:
             with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as lines:
-                for line in lines:
-                    text = line.rstrip("\n").rstrip()
-                    if text and not text.startswith("#"):
-                        negated = text.startswith("!")
-                        body = text[negated:]
-                        rules.append((body.strip("/"), negated, body.endswith("/"), "/" in body.rstrip("/")))
+                rules += rules_of(lines.read())
         except OSError:
             continue
     return rules
 
 
-def _ignored(relative: str, is_folder: bool, rules: list[tuple[str, list[tuple[str, bool, bool, bool]]]]) -> bool:
+def ignored(relative: str, is_folder: bool, rules: list[tuple[str, list[tuple[str, bool, bool, bool]]]]) -> bool:
+    """Whether the last rule that meets a path, of its folder's and those above, ignores it."""
     out = False
     for base, own in rules:
         inner = relative[len(base) :].lstrip("/") if base else relative
@@ -60,8 +67,8 @@ def walk(root: str, *, mode: str = "project", ignore_files: tuple[str, ...] = ("
             rules = [r for r in rules if not r[0] or base == r[0] or base.startswith(r[0] + "/")]
             if own := _ignore_rules(folder, ignore_files):
                 rules.append((base, own))
-            folders[:] = [d for d in folders if d not in pruned and not _ignored(at(d), True, rules)]
-            files = [f for f in files if not _ignored(at(f), False, rules)]
+            folders[:] = [d for d in folders if d not in pruned and not ignored(at(d), True, rules)]
+            files = [f for f in files if not ignored(at(f), False, rules)]
         out += [at(f) for f in files]
     keep = [p for p in out if not include or any(re.match(glob_regex(g), p) for g in include)]
     return sorted(p for p in keep if not any(re.match(glob_regex(g), p) for g in exclude))

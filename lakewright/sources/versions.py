@@ -38,9 +38,9 @@ class Versions:
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
 
     def read(self, n: int | None = None) -> tuple[int, dict | None]:
-        """The number and the document of version n or else of the last one; (0, None) of an empty folder."""
+        """The number and the document of version n or else of the last one; (0, None) of an empty folder, and of version 0."""
         known = self.numbers()
-        if n is None and not known:
+        if n == 0 or (n is None and not known):
             return 0, None
         n = known[-1] if n is None else n
         if n not in known:
