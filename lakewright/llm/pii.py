@@ -53,7 +53,7 @@ OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 CUES = r"(?i)(?:e-?mail|mail|phone|tel|call|fax|mobile|card|visa|credit|account|ip|addr|host|server|contact)[^A-Za-z]*$"
 ASSIGNED = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|credentials?|auth)[a-z0-9_-]*[\"']?\s*(?::|=>?|:=)\s*[\"']?$"
 #: Binned features of a candidate; none of them is what decides a label.
-FEATURES = ["sort", "digits", "seps", "size", "before", "after", "cue", "lead", "uniform"]
+FEATURES = ["sort", "seps", "size", "before", "after", "cue", "lead", "uniform"]
 CONTEXT, ROUNDS, DEPTH, RATE, SMOOTH, PRECISION, PRIOR = 24, 24, 3, 0.3, 1.0, 0.9, 4
 
 
@@ -127,7 +127,6 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
         "end",
         valid.alias("valid"),
         (F.array_position(F.array(*(F.lit(k) for k in [*KINDS, SECRET])), F.col("kind")).cast("int")).alias("sort"),
-        F.least(F.length(digits), F.lit(20)).alias("digits"),
         F.least(seps, F.lit(6)).alias("seps"),
         F.least(F.floor(F.length("shown") / 4), F.lit(12)).cast("int").alias("size"),
         _sort_of(F.right("left", F.lit(1))).alias("before"),
