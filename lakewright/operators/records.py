@@ -120,9 +120,27 @@ def session_start(sessions: DataFrame, *, most: int = 10) -> DataFrame:
 
 
 def store_refs(stored: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Insert or ignore of hits or edges."""
-    fresh = hits.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
-    return stored.unionByName(fresh)
+    """Insert or ignore of hits or edges; of several hits of one key the least row counts, whatever order they come in."""
+    others = [c for c in stored.columns if c not in keys]
+    once = hits.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row_")).select(*keys, "_row_.*") if others else hits.select(*keys).distinct()
+    return stored.unionByName(once.join(stored.select(*keys), keys, "left_anti").select(*stored.columns))
+
+
+def category_counts(edges: DataFrame) -> DataFrame:
+    """(category, n) of a reference graph's edges."""
+    return edges.groupBy("category").agg(F.count("*").alias("n"))
+
+
+def refs_by_signature(refs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(signature, ref_id) of the references that have one of the signatures; of several of one signature the least."""
+    met = refs.join(signatures.select("signature").distinct(), "signature")
+    return met.groupBy("signature").agg(F.min("ref_id").alias("ref_id"))
+
+
+def edge_category(source: Column, target: Column, external: Column) -> Column:
+    """How the paths of two references relate: one module, an outer package, one crate (first segment of the path), or another."""
+    first = lambda path: F.substring_index(path, "/", 1)
+    return F.when(source == target, "same_module").when(external, "external").when(first(source) == first(target), "same_crate").otherwise("other_crate")
 
 
 def plan_files(files: DataFrame, keywords: list[str], *, budget: int, path: str = "path", content: str = "content") -> DataFrame:
@@ -171,11 +189,14 @@ def create(stored: DataFrame, incoming: DataFrame, keys: list[str], defaults: di
     return store_refs(stored, filled, keys)
 
 
-def update(stored: DataFrame, changes: DataFrame, key: str, *, data: str = "data", fields: list[str]) -> DataFrame:
-    """Partial updates: changes has one JSON object for each key; a field that it lacks is kept, null sets null, a value is set
-    in the column's own type."""
-    body = F.from_json(F.col(data), "map<string,string>")
-    named = changes.select(F.col(key).alias("_key_"), body.alias("_body_"))
+def update(stored: DataFrame, changes: DataFrame, key: str, *, data: str = "data", fields: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Partial updates by JSON objects; a field that they lack is kept, null sets null, a value is set in the column's own type. Of several
+    changes of a key each field takes its last value by `order`, or by the objects' text without one."""
+    body = F.map_entries(F.from_json(F.col(data), "map<string,string>"))
+    place = F.struct(*(order or []), F.col(data))
+    told = changes.select(F.col(key).alias("_key_"), place.alias("_at_"), F.explode(body).alias("_e_"))
+    last = told.groupBy("_key_", F.col("_e_.key").alias("_name_")).agg(F.max_by(F.struct(F.col("_e_.value").alias("value")), "_at_").alias("_v_"))
+    named = last.groupBy("_key_").agg(F.map_from_entries(F.collect_list(F.struct("_name_", F.col("_v_.value")))).alias("_body_"))
     joined = stored.join(named, F.col(key) == F.col("_key_"), "left")
 
     def new(c: str) -> Column:
@@ -186,15 +207,34 @@ def update(stored: DataFrame, changes: DataFrame, key: str, *, data: str = "data
 
 
 def schema_problems(json: Column, required: dict[str, str]) -> Column:
-    """What is wrong with a JSON object, as an array: "name: missing", or "name: not integer|number|boolean|string"."""
-    forms = {"integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$", "boolean": "^(true|false)$", "string": r"(?s)^.*$"}
-    found = []
+    """What is wrong with a JSON object, as an array: "name: missing", or "name: not integer|number|boolean|string|object|array" by the type that
+    the value is written in; null is of no type. Text that isn't an object lacks everything."""
+    forms = {"integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN$", "string": "^STRING$", "object": "^OBJECT", "array": "^ARRAY"}
+    parsed, found = F.try_parse_json(json), []
     for name, kind in required.items():
-        value = F.get_json_object(json, f"$.{name}")
-        found.append(F.when(value.isNull(), F.lit(f"{name}: missing")).when(~value.rlike(forms[kind]), F.lit(f"{name}: not {kind}")))
+        value = F.try_variant_get(parsed, f"$['{name}']", "variant")
+        written = F.when(F.is_variant_null(value), "VOID").otherwise(F.schema_of_variant(value))
+        found.append(F.when(value.isNull(), F.lit(f"{name}: missing")).when(~written.rlike(forms[kind]), F.lit(f"{name}: not {kind}")))
     return F.array_compact(F.array(*found))
 
 
+def whats_next(sessions: DataFrame, tasks: DataFrame, hypotheses: DataFrame, audit: DataFrame, *, org: str | None = None) -> dict[str, DataFrame]:
+    """The four frames of what to do next: the last session, open tasks (by status, then age), pending hypotheses (newest first), the 20 last
+    audit rows. With an org its rows and those of none count, without one only those of none; frames without org_id are everyone's."""
+
+    def scoped(rows: DataFrame) -> DataFrame:
+        if "org_id" not in rows.columns:
+            return rows
+        return rows.where(F.col("org_id").isNull() | (F.col("org_id") == org) if org is not None else F.col("org_id").isNull())
+
+    return {
+        "last_session": scoped(sessions).orderBy(F.desc("started_at"), F.desc("id")).limit(1),
+        "open_tasks": scoped(tasks).where(F.col("status").isin("open", "in_progress")).orderBy("status", "created_at", "id"),
+        "pending_hypotheses": scoped(hypotheses).where(F.col("status").isin("unverified", "analyzing")).orderBy(F.desc("created_at"), F.desc("id")),
+        "recent_audit": audit.orderBy(F.desc("created_at"), F.desc("id")).limit(20),
+    }
+
+
 def random_id(prefix: str, *, digits: int = 8) -> Column:
     """prefix- and random hex digits; another one for each row and each run."""
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.md5(F.uuid()), 1, digits))

@@ -130,14 +130,6 @@ def graph_betweenness(spark: SparkSession, folder: str) -> DataFrame:
     return graph.betweenness(first.unionByName(used.select(label("n", "n_nationkey").alias("src"), label("r", "n_regionkey").alias("dst"))))
 
 
-@register()
-def graph_scale_synthetic(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges i mod n to (7 i + 13) mod n without self-loops, n = 5,000 and 20,000 edges."""
-    label = lambda c: F.format_string("n-%08d", c)
-    links = spark.range(20_000).select(label(F.col("id") % 5000).alias("src"), label((F.col("id") * 7 + 13) % 5000).alias("dst")).where("src <> dst")
-    return graph.weak_components(links).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
-
-
 OPS = "CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'transition' ELSE 'update' END"
 
 
@@ -274,23 +266,6 @@ def recursive_budget(spark: SparkSession, folder: str) -> DataFrame:
     return found.frames(spark)[0].select("ref_id", "path", "bytes")
 
 
-@register(
-    """
-    WITH t AS (SELECT item_id AS id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: x IN ('the', 'of', 'with'))) AS shared, CASE WHEN contains(lower(text), 'thble') THEN length(text) / 10 END AS rank FROM benchmark)
-    SELECT id, round(10 * shared + 2 * (1 + id % 3) - 0.2 * (id % 30) - coalesce(rank, 50), 6) AS score FROM t WHERE shared > 0 OR rank IS NOT NULL ORDER BY score DESC, id LIMIT 10
-    """
-)
-def precedent_score(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "benchmark", "item_id", "text")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    shared = items.select(F.col("item_id").alias("id"), F.size(F.filter(words, lambda w: w.isin("the", "of", "with"))).alias("shared")).where("shared > 0")
-    now = F.expr("TIMESTAMP '2024-02-01 00:00:00'")
-    grade = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.col("item_id") % 3 + 1).cast("int"))
-    decisions = items.select(F.col("item_id").alias("id"), grade.alias("confidence"), (now - F.make_dt_interval((F.col("item_id") % 30).cast("int"))).alias("created_at"))
-    ranked = items.where(F.lower("text").contains("thble")).select(F.col("item_id").alias("id"), (F.length("text") / 10).alias("rank"))
-    return recursive.precedents(shared, ranked, decisions, now)
-
-
 # --- extensions: event-time windows, rollups, as-of join --------------------------------------------------------------
 
 

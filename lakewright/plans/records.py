@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,10 +157,20 @@ def nested_state(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("r_regionkey", "r_name", "nations", F.coalesce("n", F.lit(0)).alias("suppliers"))
 
 
-@register("SELECT user_id, 'k' AS field, arg_max(props->>'k', (ts, event_id)) AS value FROM events WHERE props->>'k' IS NOT NULL GROUP BY ALL")
+@register(
+    """
+    WITH f AS (SELECT user_id, ts, event_id, 'k' AS field, props->>'k' AS value FROM events UNION ALL SELECT user_id, ts, event_id, event_type, event_id::VARCHAR FROM events
+      UNION ALL SELECT user_id, ts, event_id, 'late', CASE WHEN event_id % 2 = 0 THEN event_type END FROM events WHERE event_id % 3 = 0)
+    SELECT user_id, field, arg_max_null(value, (ts, event_id)) AS value FROM f GROUP BY ALL HAVING arg_max_null(value, (ts, event_id)) IS NOT NULL
+    """
+)
 def merged_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """JSON objects of the steps of a user merged, later steps first."""
-    return K.merge_maps(table(spark, folder, "events", "user_id", "ts", "event_id", "props"), ["user_id"], "props", [F.col("ts"), F.col("event_id")]).where("value IS NOT NULL")
+    """JSON objects of several fields, one of them named by the event's kind and one sometimes there and sometimes null, merged by user: later steps
+    win field by field."""
+    events = table(spark, folder, "events", "user_id", "ts", "event_id", "event_type", "props")
+    late = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "late": '), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise("null"))).otherwise("")
+    told = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "'), "event_type", F.lit('": '), F.col("event_id").cast("string"), late, F.lit("}"))
+    return K.merge_maps(events.withColumn("props", told), ["user_id"], "props", [F.col("ts"), F.col("event_id")]).where("value IS NOT NULL")
 
 
 @register("SELECT event_id, json_array_length('[' || props || ',' || event_id || ']')::INT AS n, (props->>'k')::INT AS k FROM events")
@@ -395,11 +407,21 @@ def daily_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return R.upsert(days, days.where("event_type = 'click'").withColumn("n", F.col("n") + 1), ["day", "event_type"])
 
 
-@register("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'k: missing' WHEN event_id % 3 = 1 THEN 'k: not integer' ELSE '' END AS problems FROM events")
+@register(
+    """
+    SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'k: missing' WHEN 1 THEN 'k: not integer' WHEN 2 THEN 'k: not integer' WHEN 3 THEN 'k: not integer,name: not string' WHEN 4 THEN 'k: missing,name: missing' ELSE '' END AS problems FROM events
+    """
+)
 def schema_check(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events", "event_id", "props")
-    broken = F.when(F.col("event_id") % 3 == 0, "{}").when(F.col("event_id") % 3 == 1, '{"k": "x"}').otherwise(F.col("props"))
-    return events.select("event_id", F.array_join(K.schema_problems(broken, {"k": "integer"}), ",").alias("problems"))
+    """Objects without a field, with text, null or an object in the place of a number or a text, and text that is no object."""
+    events = table(spark, folder, "events", "event_id", "event_type", "props")
+    kind, k = F.col("event_id") % 6, F.get_json_object("props", "$.k").cast("long")
+    name = F.col("event_type").alias("name")
+    said = (
+        F.when(kind == 0, F.to_json(F.struct(name))).when(kind == 1, F.to_json(F.struct(k.cast("string").alias("k"), name))).when(kind == 2, F.concat(F.lit('{"k": null, "name": "'), "event_type", F.lit('"}')))
+        .when(kind == 3, F.to_json(F.struct(F.struct(k.alias("k")).alias("k"), F.struct(name).alias("name")))).when(kind == 4, F.col("event_type")).otherwise(F.to_json(F.struct(k.alias("k"), name)))
+    )
+    return events.select("event_id", F.array_join(K.schema_problems(said, {"k": "integer", "name": "string"}), ",").alias("problems"))
 
 
 @register("SELECT n_name, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
@@ -476,3 +498,67 @@ def step_table(spark: SparkSession, folder: str) -> DataFrame:
 def span_fallback(spark: SparkSession, folder: str) -> DataFrame:
     made = table(spark, folder, "part", "p_partkey").select(F.col("p_partkey").cast("string").alias("path"), F.lit("/// Doc\n  pub fn f() {\n}\nstruct S;\nlet x = 1;\n").alias("content"))
     return K.fallback_spans(T.lines(made, path="path", content="content")).select("path", "line_no", "kind")
+
+
+@register(
+    """
+    WITH e AS (SELECT user_id, event_id, ts, event_type, event_id % 4 AS r FROM events), u AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer),
+    seg AS (SELECT user_id, arg_max_null(CASE WHEN r = 0 THEN NULL ELSE event_type END, (ts, event_id)) AS v, count(*) AS n FROM e WHERE r IN (0, 1) GROUP BY user_id),
+    bal AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS v FROM e WHERE r = 2 GROUP BY user_id)
+    SELECT c_custkey, CASE WHEN seg.n IS NOT NULL THEN seg.v ELSE c_mktsegment END AS c_mktsegment, coalesce(bal.v::DOUBLE, c_acctbal) AS c_acctbal FROM u LEFT JOIN seg ON seg.user_id = c_custkey LEFT JOIN bal ON bal.user_id = c_custkey
+    """
+)
+def update_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Many partial updates of each customer, by the events of the same number: each field takes its last value, null too."""
+    events = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type")
+    r = F.col("event_id") % 4
+    said = F.when(r == 0, '{"c_mktsegment": null}').when(r == 1, F.concat(F.lit('{"c_mktsegment": "'), "event_type", F.lit('"}'))).when(r == 2, F.concat(F.lit('{"c_acctbal": '), F.col("event_id").cast("string"), F.lit("}"))).otherwise("{}")
+    changes = events.select(F.col("user_id").alias("c_custkey"), "ts", "event_id", said.alias("data"))
+    stored = table(spark, folder, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
+    return K.update(stored, changes, "c_custkey", fields=["c_mktsegment", "c_acctbal"], order=[F.col("ts"), F.col("event_id")])
+
+
+@register(
+    """
+    WITH s AS (SELECT 'last_session' AS frame, event_id::VARCHAR AS id FROM events WHERE event_type = 'signup' ORDER BY ts DESC, event_id DESC LIMIT 1),
+    a AS (SELECT 'recent_audit' AS frame, event_id::VARCHAR AS id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20)
+    SELECT * FROM s UNION ALL SELECT * FROM a UNION ALL SELECT 'open_tasks', o_orderkey::VARCHAR FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_custkey % 3 <> 2
+    UNION ALL SELECT 'pending_hypotheses', c_custkey::VARCHAR FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey % 3 <> 2
+    """
+)
+def whats_next(spark: SparkSession, folder: str) -> DataFrame:
+    """All four frames: the last session, open tasks, pending hypotheses and the last audit rows, of an org and of none."""
+    events = table(spark, folder, "events", "event_id", "ts", "event_type").select(F.col("event_id").alias("id"), F.col("ts").alias("started_at"), F.col("ts").alias("created_at"), "event_type")
+    org = lambda c: F.when(F.col(c) % 3 == 1, "mine").when(F.col(c) % 3 == 2, "theirs").alias("org_id")
+    tasks = table(spark, folder, "orders", "o_orderkey", "o_orderstatus", "o_orderdate", "o_custkey")
+    tasks = tasks.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "P", "in_progress").otherwise("done").alias("status"), F.col("o_orderdate").alias("created_at"), org("o_custkey"))
+    guesses = table(spark, folder, "customer", "c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
+    status = F.when(F.col("c_mktsegment") == "BUILDING", "unverified").when(F.col("c_mktsegment") == "MACHINERY", "analyzing").otherwise("confirmed")
+    guesses = guesses.select(F.col("c_custkey").alias("id"), status.alias("status"), F.col("c_acctbal").alias("created_at"), org("c_nationkey"))
+    frames = K.whats_next(events.where("event_type = 'signup'"), tasks, guesses, events, org="mine")
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(name).alias("frame"), F.col("id").cast("string").alias("id")) for name, rows in frames.items()))
+
+
+@register(
+    """
+    WITH l AS (SELECT l_orderkey, l_linenumber, p_partkey, p_brand || '/' || (p_size % 5) AS path, p_size, lead(p_partkey) OVER w AS next_key FROM lineitem JOIN part ON p_partkey = l_partkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, p_partkey)),
+    e AS (SELECT DISTINCT l.p_partkey AS a, next_key AS b, l.path, t.p_brand || '/' || (t.p_size % 5) AS other, t.p_size % 7 = 0 AS outer_ FROM l JOIN part t ON t.p_partkey = next_key WHERE l.p_partkey <> next_key)
+    SELECT CASE WHEN path = other THEN 'same_module' WHEN outer_ THEN 'external' WHEN split_part(path, '/', 1) = split_part(other, '/', 1) THEN 'same_crate' ELSE 'other_crate' END AS category, count(*) AS n FROM e GROUP BY ALL
+    """
+)
+def reference_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts that follow each other in an order refer to one another; each pair is stored once, and counted by how their paths relate."""
+    parts = table(spark, folder, "part", "p_partkey", "p_brand", "p_size").select("p_partkey", F.concat_ws("/", "p_brand", (F.col("p_size") % 5).cast("string")).alias("path"), (F.col("p_size") % 7 == 0).alias("outer"))
+    lines = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    pairs = lines.select(F.col("l_partkey").alias("source"), F.lead("l_partkey").over(order).alias("target")).where("target IS NOT NULL AND source <> target")
+    near, far = parts.select(F.col("p_partkey").alias("source"), F.col("path").alias("near")), parts.select(F.col("p_partkey").alias("target"), F.col("path").alias("far"), "outer")
+    edges = pairs.join(near, "source").join(far, "target").select("source", "target", K.edge_category(F.col("near"), F.col("far"), F.col("outer")).alias("category"))
+    return K.category_counts(K.store_refs(edges.limit(0), edges, ["source", "target"]))
+
+
+@register("SELECT p_name AS signature, min(p_partkey) AS ref_id FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size = 7) GROUP BY ALL")
+def references_by_signature(spark: SparkSession, folder: str) -> DataFrame:
+    """References looked up by their signatures."""
+    parts = table(spark, folder, "part", "p_partkey", "p_name", "p_size").select(F.col("p_partkey").alias("ref_id"), F.col("p_name").alias("signature"), "p_size")
+    return K.refs_by_signature(parts, parts.where("p_size = 7"))

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewright.operators import recursive
 from lakewright.operators import search as S
 from lakewright.operators import text as T
 from lakewright.operators import vector
@@ -174,3 +175,22 @@ def fts_segments(spark: SparkSession, folder: str) -> DataFrame:
     new = docs.where("doc_id % 100 = 2").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.lit("a widget of asia").alias("body"))
     index = index.change([(new, "document", "doc_id", ["body"])]).compact([S.bucket_of("widget")])
     return S.search(index, "(widgets AND asia) OR thbles", entities=["document"], limit=1_000_000).select("id", "score")
+
+
+@register(
+    f"""
+    WITH {_SQL_WORDS}, {_SCORES}, r AS (SELECT id, -score AS rank FROM s WHERE entity = 'item' AND t0 + t1 + t2 > 0),
+    e AS (SELECT item_id, item_id::VARCHAR AS id, len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x IN ('the', 'of', 'with'))) AS shared FROM benchmark)
+    SELECT e.id, round(10 * shared + 2 * (1 + item_id % 3) - 0.2 * (item_id % 30) - coalesce(rank, 50), 6) AS score FROM e LEFT JOIN r USING (id) WHERE shared > 0 OR rank IS NOT NULL ORDER BY score DESC, e.id LIMIT 10
+    """
+)
+def precedent_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Earlier decisions by shared evidence, confidence, age and the full-text rank of a subject (BM25, the smaller the better)."""
+    items = table(spark, folder, "benchmark", "item_id", "text").withColumn("id", F.col("item_id").cast("string"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    shared = items.select("id", F.size(F.filter(words, lambda w: w.isin("the", "of", "with"))).alias("shared")).where("shared > 0")
+    now = F.expr("TIMESTAMP '2024-02-01 00:00:00'")
+    grade = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.col("item_id") % 3 + 1).cast("int"))
+    decisions = items.select("id", grade.alias("confidence"), (now - F.make_dt_interval((F.col("item_id") % 30).cast("int"))).alias("created_at"))
+    found = S.search(stored(spark, folder), "thbles OR widgets OR asia", entities=["item"], limit=1_000_000_000)
+    return recursive.precedents(shared, found.select("id", (-F.col("score")).alias("rank")), decisions, now)
