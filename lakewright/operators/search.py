@@ -1,6 +1,6 @@
 """Full-text search over stemmed postings, a stored index of segments, and a router over the kinds of search.
 
-Texts are folded (case, diacritics), cut into runs of letters and digits and stemmed (Porter); only distinct tokens are stemmed. The index
+Texts are folded (case, diacritics), cut into runs of letters and digits and stemmed (Porter). A row's key must be its own. The index
 has a row for each (entity, id, field, term) with the term's positions. BM25 is that of the common embedded full-text engines: an inverse
 document frequency of ln((N - n + 0.5) / (n + 0.5)), at least 1e-6, summed over phrases.
 
@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,36 +31,58 @@ from lakewright.sources.versions import Versions, broadcast_few
 BUCKETS = 64
 #: How many tokens may lie between the terms of NEAR without a number.
 NEAR = 10
-_stem = lru_cache(100_000)(stem)
+
+
+@lru_cache(100_000)
+def _stem(word: str) -> str:
+    return stem(word)
+
 
 #: (rows, entity, key, fields) of one kind of row.
 Source = tuple[DataFrame, str, str | Column, list[str]]
 
 
-def _rows(sources: list[Source]) -> DataFrame:
-    """(entity, id, field, tokens) of every field; ids as strings."""
+def _wide(sources: list[Source]) -> DataFrame:
+    """(entity, id, length, fields) of every row: the tokens of all fields together, and (field, tokens) of each; ids as strings."""
     parts = []
     for rows, entity, key, fields in sources:
-        named = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields)))
+        cut = F.array(*(F.struct(F.lit(f).alias("field"), T.tokens(T.folded(F.col(f).cast("string"))).alias("tokens")) for f in fields))
         key = F.col(key) if isinstance(key, str) else key
-        parts.append(rows.select(F.lit(entity).alias("entity"), key.cast("string").alias("id"), named.alias("x")))
+        parts.append(rows.select(F.lit(entity).alias("entity"), key.cast("string").alias("id"), cut.alias("fields")))
     every = reduce(DataFrame.unionByName, parts)
-    return every.select("entity", "id", "x.field", T.tokens(T.folded(F.col("x.text"))).alias("tokens"))
+    return every.select("entity", "id", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["tokens"])).alias("length"), "fields")
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    """(entity, id, field, term, positions). A row's tokens are gathered by term where the row is, so that what is shuffled is a row for each
-    distinct token; distinct tokens are stemmed, and of two that have one stem the positions are put together."""
-    spread = rows.select("entity", "id", "field", F.posexplode("tokens").alias("at", "token"))
-    places = spread.groupBy("entity", "id", "field", "token").agg(F.collect_list("at").alias("positions"))
-    stems = stem_terms(places.select(F.col("token").alias("term")).distinct())
-    stemmed = places.join(stems.select(F.col("term").alias("token"), F.col("stem").alias("term")), "token")
-    return stemmed.groupBy("entity", "id", "field", "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+def _rows(wide: DataFrame) -> DataFrame:
+    """(entity, id, length, field, tokens) of every field."""
+    return wide.select("entity", "id", "length", F.explode("fields").alias("x")).select("entity", "id", "length", "x.field", "x.tokens")
 
 
-def _lengths(rows: DataFrame) -> DataFrame:
-    """(entity, id, length): the tokens of all fields."""
-    return rows.groupBy("entity", "id").agg(F.sum(F.size("tokens")).cast("int").alias("length"))
+def _postings(rows: DataFrame) -> DataFrame:
+    """(entity, id, field, term, positions, length), made where the rows are. A row's tokens are put together before they are stemmed, and a worker
+    remembers stems."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            of, terms, places, ends = [], [], [], [0]
+            for row, tokens in enumerate(batch.column(4).to_pylist()):
+                by_token: dict[str, list[int]] = {}
+                for at, token in enumerate(tokens):
+                    by_token.setdefault(token, []).append(at)
+                by_term: dict[str, list[int]] = {}
+                for token, at in by_token.items():
+                    term = _stem(token)
+                    by_term[term] = sorted(by_term[term] + at) if term in by_term else at
+                for term, at in by_term.items():
+                    of.append(row)
+                    terms.append(term)
+                    places += at
+                    ends.append(len(places))
+            entity, id_, length, field = (c.take(pa.array(of, pa.int32())) for c in batch.columns[:4])
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([entity, id_, field, pa.array(terms, pa.string()), positions, length], ["entity", "id", "field", "term", "positions", "length"])
+
+    return rows.mapInArrow(run, "entity string, id string, field string, term string, positions array<int>, length int")
 
 
 def totals(sizes: DataFrame) -> DataFrame:
@@ -82,17 +105,16 @@ class Index:
     @classmethod
     def of(cls, sources: list[Source]) -> Index:
         """Without storing anything, for a query or two over little: the tokens whose stems are asked for are picked out first."""
-        rows = _rows(sources)
-        sizes = _lengths(rows)
+        wide = _wide(sources)
+        rows = _rows(wide)
 
         def read(exact: list[str], begin: list[str]) -> DataFrame:
-            spread = rows.select("entity", "id", "field", F.posexplode("tokens").alias("at", "token"))
+            spread = rows.select("entity", "id", "length", "field", F.posexplode("tokens").alias("at", "token"))
             known = stem_terms(rows.select(F.explode("tokens").alias("term")).distinct()).where(_wanted(F.col("stem"), exact, begin))
             met = spread.join(known.select(F.col("term").alias("token"), F.col("stem").alias("term")), "token")
-            places = met.groupBy("entity", "id", "field", "term").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-            return places.join(sizes, ["entity", "id"])
+            return met.groupBy("entity", "id", "length", "field", "term").agg(F.sort_array(F.collect_list("at")).alias("positions"))
 
-        return cls(read, totals(sizes))
+        return cls(read, totals(wide))
 
 
 def _wanted(term: Column, exact: list[str], begin: list[str]) -> Column:
@@ -137,9 +159,9 @@ class StoredIndex(Index):
         changed is neither read nor written. The new version has the next number, or a given later one."""
         path = self.versions.fresh("segment")
         if changed:
-            rows = _rows(changed)
-            sizes = _lengths(rows)
-            out = _postings(rows).join(sizes, ["entity", "id"]).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+            wide = _wide(changed)
+            sizes = wide.select("entity", "id", "length")
+            out = _postings(_rows(wide)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
             out.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
             # a row that is both set and gone is set
             listed = sizes if gone is None else sizes.unionByName(_removed(gone).join(sizes, ["entity", "id"], "left_anti"))
