@@ -68,7 +68,7 @@ def catalog_registered(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("SELECT user_id::VARCHAR AS session_id, count(*) AS operations, count(*) FILTER (event_type = 'signup') AS created, count(DISTINCT event_type) AS actions FROM events GROUP BY user_id")
 def trail_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """Operations appended to a log with a folder for each session, read back, each an audit row."""
+    """Operations appended to a log that keeps a session together, read back, each an audit row."""
     events = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type")
     rows = events.select(
         F.lit(1).alias("v"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.col("user_id").cast("string").alias("ses"), F.when(F.col("event_type") == "signup", "create").otherwise(F.col("event_type")).alias("op"),

@@ -137,9 +137,15 @@ def is_stale(manifest: DataFrame, now: Column, seconds: int = 3600) -> DataFrame
     return manifest.select("exported_at", (age > seconds).alias("stale"))
 
 
+#: Folders of a log.
+LOG_FOLDERS = 64
+
+
 def append_log(operations: DataFrame, folder: str) -> None:
-    """Appends operations to a log, a folder for each session."""
-    operations.write.mode("append").partitionBy("ses").json(folder)
+    """Appends operations to a log. A session's operations of one call are in one file, in the order of their times; sessions are dealt over
+    LOG_FOLDERS folders by their hash, so files don't grow with the number of sessions, and each line names its session."""
+    placed = operations.withColumn("part", F.pmod(F.xxhash64("ses"), F.lit(LOG_FOLDERS)).cast("int"))
+    placed.repartition("part").sortWithinPartitions("part", "ses", "ts").write.mode("append").partitionBy("part").json(folder)
 
 
 def as_json_lines(rows: DataFrame) -> DataFrame:

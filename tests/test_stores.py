@@ -154,3 +154,18 @@ def test_one_writer_a_version(spark, tmp_path):
     with pytest.raises(Conflict):
         versions.commit(1, {"x": 2})
     assert versions.read() == (1, {"x": "é"}) and versions.numbers() == [1]
+
+
+def test_files_of_a_log_do_not_grow_with_its_sessions(spark, tmp_path):
+    import glob
+
+    from lakewright.sources import sinks
+
+    home = str(tmp_path / "log")
+    rows = spark.range(4000).select(F.lit("create").alias("op"), (F.col("id") % 1000).cast("string").alias("ses"), F.lpad(F.col("id").cast("string"), 6, "0").alias("ts")).repartition(8)
+    for _ in range(2):
+        sinks.append_log(rows, home)
+    assert len(glob.glob(f"{home}/**/*.json", recursive=True)) <= 2 * sinks.LOG_FOLDERS
+    read = spark.read.schema("op string, ses string, ts string").json(home).select("*", F.col("_metadata.file_path").alias("file"))
+    assert sorted(map(tuple, read.select(*rows.columns).collect())) == sorted(list(map(tuple, rows.collect())) * 2)
+    assert read.groupBy("ses").agg(F.count_distinct("file").alias("n")).agg(F.max("n")).head()[0] == 2
