@@ -152,3 +152,24 @@ def test_multiline_matches_and_targets(spark):
     for more in ({}, {"paths": ["x"], "everything": True}):
         with pytest.raises(ValueError):
             text.grep_target(**more)
+
+
+def test_postings_lie_in_blocks(spark, tmp_path):
+    """A term that all rows have takes few stored rows, and the texts are read once; compaction keeps that."""
+    rows = spark.range(3000).select("id", F.concat(F.lit("common words of every row, number n"), "id").alias("body")).repartition(2)
+    index = search.StoredIndex(spark, str(tmp_path / "index")).change([(rows, "note", "id", ["body"])])
+    bucket = search.bucket_of("common")
+    for state in (index, index.change([], spark.createDataFrame([("note", 7)], "entity string, id int")).compact([bucket])):
+        paths = [p for p, _ in state.state["buckets"][str(bucket)]]
+        assert spark.read.parquet(*paths).where("term = 'common'").count() <= 16
+        assert search.search(state, "common", limit=10_000).count() == (3000 if state is index else 2999)
+    assert index.state["totals"]["note"][0] == 3000
+
+
+def test_a_query_of_one_kind_indexes_that_kind_only(spark):
+    from lakewright.plans import retrieval
+
+    part = retrieval.stored(spark, "/root/testdata/sf0.001", "part")
+    assert set(part.state["totals"]) == {"part"}
+    both = search.Index.together([part, retrieval.stored(spark, "/root/testdata/sf0.001", "region")])
+    assert {r.entity for r in search.search(both, "asia OR cold", limit=10_000).collect()} == {"part", "region"}
