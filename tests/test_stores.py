@@ -169,3 +169,27 @@ def test_files_of_a_log_do_not_grow_with_its_sessions(spark, tmp_path):
     read = spark.read.schema("op string, ses string, ts string").json(home).select("*", F.col("_metadata.file_path").alias("file"))
     assert sorted(map(tuple, read.select(*rows.columns).collect())) == sorted(list(map(tuple, rows.collect())) * 2)
     assert read.groupBy("ses").agg(F.count_distinct("file").alias("n")).agg(F.max("n")).head()[0] == 2
+
+
+def test_scores_of_many_queries_are_held_in_parts():
+    """What a task holds at once doesn't grow with queries times rows of a block."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    draw = np.random.default_rng(1)
+    ids, vectors = np.arange(6000), draw.normal(size=(6000, 8)).astype(np.float32)
+    rows = pd.DataFrame({"row_id": ids[:2048], "v": list(vectors[:2048])})
+    run = vector._scan(SimpleNamespace(value=(ids, vectors)), 3, 1024, 6, True)
+    tracemalloc.start()
+    found = pd.concat(run(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and len(found) == 6000 * 3
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    for q in (0, 1023, 1024, 5999):
+        scores = np.round(unit[:2048] @ unit[q], 6)
+        want = [r for r in np.lexsort((ids[:2048], -scores)) if r != q][:3]
+        assert found[found.query_id == q].row_id.tolist() == want
