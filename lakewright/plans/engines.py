@@ -237,7 +237,7 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
 def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: whether every chunk keeps the bound, and whether the chunks cover the text's characters but white space."""
     docs = table(spark, folder, "documents", "doc_id", "text")
-    made = chunks.chunk_documents(docs, path="doc_id", content="text")
+    made = chunks.chunk_documents(docs, path="doc_id", content="text", columns=["path", "char_len"])
     stats = made.groupBy("path").agg(F.max("char_len").alias("most"), F.sum("char_len").alias("chars"), F.count("*").alias("n"))
     joined = stats.join(docs.select(F.col("doc_id").cast("string").alias("path"), F.length(F.regexp_replace("text", r"\s+", "")).alias("bare")), "path")
     return joined.select("path", (F.col("most") <= chunks.MOST_CHARS).alias("bounded"), (F.col("chars") >= F.col("bare")).alias("whole"))

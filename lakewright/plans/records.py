@@ -464,7 +464,7 @@ def chunk_sections(spark: SparkSession, folder: str) -> DataFrame:
 def chunk_splits(spark: SparkSession, folder: str) -> DataFrame:
     """Texts without a line end are cut hard, at 2,048 characters with 200 of overlap."""
     made = table(spark, folder, "part", "p_partkey", "p_size").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"), F.repeat(F.lit("x"), F.col("p_size").cast("int") * 173 + 1).alias("content"))
-    found = chunks.chunk_documents(made, path="path", content="content")
+    found = chunks.chunk_documents(made, path="path", content="content", columns=["path", "char_len"])
     return found.groupBy("path").agg(F.count("*").alias("pieces"), F.sum("char_len").alias("chars"))
 
 

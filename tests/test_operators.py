@@ -212,3 +212,28 @@ def test_symbols(spark):
     files = spark.createDataFrame([("a.go", "func Go() {\n}\n"), ("b.json", '{"k": 1}'), ("c.xyz", "?")], "path string, content string")
     assert values(symbols.extract_symbols(files), "path", "kind", "name") == [("a.go", "function", "Go"), ("b.json", "property", "k")]
     assert [r[0] for r in files.select(symbols.language_column(F.col("path"))).collect()] == ["go", "json", None]
+
+
+def test_chunks_of_a_long_text_take_no_square_of_its_time():
+    import re
+    import time
+
+    from lakewright.parsing import chunks
+
+    text = "é" * 3_000_000
+    start = time.perf_counter()
+    found = chunks.chunk_document(text, "a.txt")
+    assert time.perf_counter() - start < 5
+    assert [c["byte_offset"] for c in found] == [2 * i * (chunks.MOST_CHARS - chunks.OVERLAP) for i in range(len(found))]
+    for odd in ("\n\n\n\nab\n \n\t\nc", "a\n\n\n", "\n\n\n", "", "a\n\nb"):
+        plain = [(m.start(), m[0]) for m in re.finditer(r"(?:(?!\n[ \t]*\n[ \t]*\n).)+", odd, re.DOTALL) if m[0].strip()]
+        assert [(at, body) for _, _, at, body in chunks.sections(odd, "text")] == plain
+
+
+def test_chunks_leave_a_worker_in_parts(spark, monkeypatch):
+    from lakewright.parsing import chunks
+
+    monkeypatch.setattr(chunks, "PART_CHARS", 5000)
+    rows = spark.createDataFrame([(i, "word " * 4000) for i in range(3)], "id int, text string")
+    whole = [(str(i), c["char_len"]) for i in range(3) for c in chunks.chunk_document("word " * 4000, "x")]
+    assert sorted(map(tuple, chunks.chunk_documents(rows, path="id", content="text", columns=["path", "char_len"]).collect())) == sorted(whole)
