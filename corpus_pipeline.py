@@ -12,12 +12,15 @@ text hash; a document without a doc_id stays only if nothing in its group has on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm import byte_bpe, decontaminate, pii, quality, shingles
+from lakewright.llm import byte_bpe, decontaminate, pii, quality, shingles, simhash
 from lakewright.llm.common import broadcast_if_few, materialise, scratch_path, scratch_scope
+from lakewright.llm.components import components
 from lakewright.sources.tables import table
 
 #: Words of a shingle in the near-duplicate stage.
@@ -43,12 +46,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_documents(docs, ratings, keep=[_rows(docs)]).where("keep").select("row.*")
 
 
+def _kept_apart(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives, in a table of its own; the scratch tables that it took are removed at once."""
+    path = scratch_path(spark, label)
+    with scratch_scope(spark):
+        make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the document with the smallest doc_id, and of its texts that of the smallest hash."""
-    groups = shingles.near_copies(docs.select("doc_id", "text"), width=SHINGLE_WORDS)
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("kept_h"))
-    marked = groups.groupBy(F.col("doc_id").alias("id_of"), F.col("h").alias("h_of")).agg(F.count("*").alias("rows"), F.first(stays).alias("stays"))
-    odd = materialise(marked.where("rows > 1 OR NOT stays"), "near-copies")
+    """Keeps of each group the document with the smallest doc_id, and of its texts that of the smallest hash. Documents are linked by their SimHash
+    fingerprints, through the pivot tables of op5, and by the exact similarity of their shingle sets, which fingerprints of near copies often miss;
+    a group is what can be reached by both kinds of links."""
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")).alias("place")
+
+    def by_fingerprints() -> DataFrame:
+        return simhash.near_duplicates(docs.select(place, "text"), key="place").where("place <> component_id").select(F.col("component_id").alias("u"), F.col("place").alias("v"))
+
+    def by_shingles() -> DataFrame:
+        found = shingles.near_copies(docs.select("doc_id", "text"), width=SHINGLE_WORDS)
+        least, own = (F.struct(F.col(k).isNull().alias("nameless"), F.col(k).alias("doc_id"), F.col(h).alias("h")) for k, h in (("component_id", "kept_h"), ("doc_id", "h")))
+        return found.select(least.alias("u"), own.alias("v")).where("u <> v")
+
+    def repeated() -> DataFrame:
+        return docs.select(place).groupBy("place").agg(F.count("*").alias("rows")).where("rows > 1")
+
+    links = _kept_apart(spark, "simhash-linked", by_fingerprints).unionByName(_kept_apart(spark, "shingle-linked", by_shingles))
+    gone = components(links, "near-copies").select(F.col("node").alias("place"), F.lit(False).alias("stays"))
+    more = _kept_apart(spark, "near-repeated", repeated).join(gone, "place", "left_anti").select("place", F.lit(True).alias("stays"))
+    odd = materialise(gone.unionByName(more).select(F.col("place.doc_id").alias("id_of"), F.col("place.h").alias("h_of"), "stays"), "near-odd")
     hashed, goes, twice = _hashed(docs), odd.where("NOT stays"), odd.where("stays")
     kept = hashed.join(broadcast_if_few(goes), _same(hashed, goes), "left_anti")
     if twice.isEmpty():

@@ -63,3 +63,30 @@ def test_stages_on_awkward_tables(spark):
         assert (left.count() > 0) == (table is docs)
     redacted = corpus_pipeline.personal_data_stage(spark, docs, FOLDER).where("length(text) > 1000").head()
     assert redacted.text == "mail [EMAIL] " * 9000 and redacted.n_chars == len(redacted.text)
+
+
+def test_near_duplicates_are_linked_by_fingerprints_too(spark):
+    """Groups of both kinds of links: one that only SimHash finds (few words changed in a repetitive text), and one that only shingles find."""
+    from lakewright.llm import shingles, simhash
+
+    base = [f"w{i}" for i in range(40)]
+    texts = {1: " ".join(base * 3 + [f"x{i}" for i in range(30)])}
+    texts[2] = " ".join(base * 3 + [f"x{i}" for i in range(30)] + ["end"])
+    for n in range(3, 60):
+        texts[n] = " ".join(base * 12 + [f"{n}y{i}" for i in range(12)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    fp, sh = ({r.doc_id: r.component_id for r in x.collect()} for x in (simhash.near_duplicates(docs), shingles.near_copies(docs, width=corpus_pipeline.SHINGLE_WORDS)))
+    parent = {k: k for k in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for links in (fp, sh):
+        for k, c in links.items():
+            a, b = sorted((root(k), root(c)))
+            parent[b] = a
+    want = {root(k) for k in texts}
+    assert any(fp[k] != k and sh[k] == k for k in texts)  # SimHash alone has links
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER).collect()} == want
