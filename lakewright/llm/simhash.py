@@ -129,17 +129,18 @@ def fingerprint_groups(classes: DataFrame) -> DataFrame:
     known = classes.select("fp", "n", *(t.alias(name) for t, name in zip(pivot_table(F.col("fp")), tables, strict=True)))
     spread = known.select(F.explode(block_keys(F.col("fp"), blocks_for(classes.count()))).alias("key"), "fp", "n", *tables)
     heaviest = spread.groupBy("key").agg(F.max(F.struct("n", "fp", *tables)).alias("c"), F.count("*").alias("members")).where("members > 1")
+    # sizes are estimated from the few bytes of a fingerprint, not from its many keys, so that Spark would broadcast all keys from the driver
     members = materialise(
-        spread.drop("n").join(heaviest.select("key", "c"), "key").where("fp <> c.fp").select("key", F.struct("fp", *tables).alias("x"), "c"), "simhash-keys"
+        spread.drop("n").join(heaviest.select("key", "c").hint("merge"), "key").where("fp <> c.fp").select("key", F.struct("fp", *tables).alias("x"), "c"), "simhash-keys"
     )
     stars = components(members.where(linked("x", "c")).select(F.col("c.fp").alias("u"), F.col("x.fp").alias("v")), "simhash-stars")
-    rooted = members.join(stars.select(F.col("node").alias("xn"), F.col("root").alias("xr")), F.col("x.fp") == F.col("xn"), "left")
-    rooted = rooted.join(stars.select(F.col("node").alias("cn"), F.col("root").alias("cr")), F.col("c.fp") == F.col("cn"), "left")
+    rooted = members.join(stars.select(F.col("node").alias("xn"), F.col("root").alias("xr")).hint("merge"), F.col("x.fp") == F.col("xn"), "left")
+    rooted = rooted.join(stars.select(F.col("node").alias("cn"), F.col("root").alias("cr")).hint("merge"), F.col("c.fp") == F.col("cn"), "left")
     rooted = materialise(
         rooted.select("key", "x", F.coalesce("xr", "x.fp").alias("root"), F.coalesce("cr", "c.fp").alias("centre")), "simhash-rooted"
     )
     apart = rooted.where("root <> centre").select("key", F.col("x").alias("y"), F.col("root").alias("other"))
-    bridges = apart.join(rooted.select("key", "x", "root"), "key").where((F.col("other") != F.col("root")) & linked("y", "x"))
+    bridges = apart.hint("merge").join(rooted.select("key", "x", "root"), "key").where((F.col("other") != F.col("root")) & linked("y", "x"))
     found = bridges.select(F.least("other", "root").alias("u"), F.greatest("other", "root").alias("v")).distinct()
     return components(stars.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(found), "simhash-groups")
 
@@ -151,7 +152,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     groups = fingerprint_groups(classes)
     rooted = classes.join(groups, classes.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_class = materialise(rooted.join(named, "root").select(F.col("fp").alias("class"), "component"), "simhash-named")
-    return marked.join(by_class, F.col("fp") == F.col("class")).select(
+    by_class = materialise(rooted.join(named.hint("merge"), "root").select(F.col("fp").alias("class"), "component"), "simhash-named")
+    return marked.join(by_class.hint("merge"), F.col("fp") == F.col("class")).select(
         F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")
     )

@@ -90,3 +90,19 @@ def test_documents(spark):
     assert {(a, b) for a, b, _ in found} == {(9, 4), (4, 4), (7, 7), (8, 7), (2, 2), (None, None)} and len(found) == 7
     assert all(f == "0" * 16 for a, _, f in found if a in (7, 8))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keys_are_never_sent_through_the_driver(spark, monkeypatch):
+    """Few bytes of fingerprints have very many keys; Spark's own estimate would have them broadcast."""
+    plans, write = {}, simhash.materialise
+
+    def seen(df, label, *more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label, *more)
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.md5(F.col("id").cast("string")), F.sha1(F.col("id").cast("string"))).alias("text"))
+    assert simhash.near_duplicates(docs).select("component_id").distinct().count() == 2000
+    for label in ("simhash-keys", "simhash-rooted", "simhash-named"):
+        assert "SortMergeJoin" in plans[label], label
+    assert "BroadcastHashJoin" not in plans["simhash-keys"]
