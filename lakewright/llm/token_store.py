@@ -49,6 +49,9 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 1024
 #: Frames' bytes that a shard aims at, and shards whose totals are summed together.
 SHARD_BYTES, GROUP = 32 << 20, 1024
 
+#: Bytes of pre-tokens that a worker remembers.
+MEMORY_BYTES = 72 << 20
+
 INDEX = "array<struct<doc_id:long,offset:long,length:int,n_tokens:long>>"
 
 
@@ -69,7 +72,7 @@ class LibraryEncoder:
         self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.kind = {2: "H", 4: "I"}[width]
         self.apart = not _byte_level(definition)
-        self.encoder = TextEncoder(KNOWN_PATTERN, self._encode_new, width, self._whole)
+        self.encoder = TextEncoder(KNOWN_PATTERN, self._encode_new, width, self._whole, MEMORY_BYTES)
 
     def _packed(self, ids: list[int]) -> bytes:
         return pack(f"<{len(ids)}{self.kind}", *ids)
