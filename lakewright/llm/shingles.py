@@ -9,11 +9,12 @@ can reach. A shingle is known by its 64-bit hash.
   hashes. The sample only decides how many pairs are tested, never which are found.
 * Every set carries a bitmap of BITS bits, each the parity of how many of its shingles hash there. Two bitmaps never differ in more
   bits than the sets differ in shingles, so pairs whose bitmaps differ too much aren't made at all.
-* A pair is tested if it shares enough such keys, at places that leave room for the overlap that it needs, and linked if
-  the whole sets, made again from the texts, are similar enough.
+* A pair is tested if it shares enough such keys, at places that leave room for the overlap that it needs. A set of more than BITS
+  shingles has a sketch as well, a bitmap that grows with it, since BITS parities tell little of large sets; it discards pairs before whole
+  sets are moved. What is left is linked if the whole sets, made again from the texts, are similar enough.
 * A key of more than FEW sets is first tested against some centres of its own, for rounds that go on while they link anything and for
   ROUNDS at most; then all its sets that are still in another group than its centre are tested against the rest, so no link between
-  different groups is lost. A key of very many sets is split: a part of SPLIT of them meets all that are apart.
+  different groups is lost. A key of more than SPLIT sets is split: a part of SPLIT of them meets all that are apart.
 
 Defined results: those of lakewright.llm.simhash; texts without words are one class.
 """
@@ -72,8 +73,13 @@ def _class(found: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _bitmap(found: np.ndarray) -> np.ndarray:
-    return np.packbits((np.bincount(found & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+def _bitmap(found: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return np.packbits((np.bincount(found & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """A bitmap of a bit a shingle or more, a power of two; none for a set of up to BITS shingles."""
+    return _bitmap(found, 1 << (len(found) - 1).bit_length()) if len(found) > BITS else np.empty(0, np.int64)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -100,23 +106,24 @@ def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def prefixes(docs: DataFrame, *, key: str, text: str, width: int) -> DataFrame:
-    """(key, row, h, class, n, prefix, bits): row tells rows apart, h is the text's hash, n the size of its set."""
+    """(key, row, h, class, n, prefix, bits, sketch): row tells rows apart, h is the text's hash, n the size of its set."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text=text, width=width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
-            classes, sizes, firsts, bitmaps = [], [], [], []
+            classes, sizes, firsts, bitmaps, sketches = [], [], [], [], []
             for x in batch.column(3).to_pylist():
                 found = shingles(x or "", width)
                 classes.append(_class(found))
                 sizes.append(len(found))
                 firsts.append(prefix(found, *shared.value))
                 bitmaps.append(_bitmap(found))
-            arrays = [*batch.columns[:3], pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts), _lists(bitmaps)]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "row", "h", "class", "n", "prefix", "bits"])
+                sketches.append(sketch(found))
+            arrays = [*batch.columns[:3], pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), *map(_lists, (firsts, bitmaps, sketches))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "row", "h", "class", "n", "prefix", "bits", "sketch"])
 
     source = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("h"), text)
-    return source.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, row long, h long, class long, n int, prefix array<long>, bits array<long>")
+    return source.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, row long, h long, class long, n int, prefix array<long>, bits array<long>, sketch array<long>")
 
 
 def _first(n: Column) -> Column:
@@ -124,8 +131,8 @@ def _first(n: Column) -> Column:
     return F.ceil(n * LEAST / OF)
 
 
-def _overlap() -> Column:
-    return F.ceil((F.col("x.n") + F.col("y.n")) * LEAST / (LEAST + OF))
+def _overlap(x: str = "x.n", y: str = "y.n") -> Column:
+    return F.ceil((F.col(x) + F.col(y)) * LEAST / (LEAST + OF))
 
 
 def _near() -> Column:
@@ -135,6 +142,18 @@ def _near() -> Column:
     return sized & (differ <= F.col("x.n") + F.col("y.n") - 2 * _overlap())
 
 
+def _sketches_near() -> Column:
+    """Whether the sketches us and vs of sets of un and vn shingles leave it open that they are similar enough. The halves of a sketch fold into
+    the sketch of half its bits, and sizes are within LEAST / OF, so one fold makes two sketches equally long."""
+
+    def folded(a: str, b: str) -> Column:
+        n = F.size(b)
+        return F.when(F.size(a) > n, F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(a))
+
+    differ = F.aggregate(F.zip_with(folded("us", "vs"), folded("vs", "us"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+    return differ <= F.col("un") + F.col("vn") - 2 * _overlap("un", "vn")
+
+
 def candidates(pairs: DataFrame, *, whole: bool) -> DataFrame:
     """(u, v): the distinct pairs of sets that can be similar enough; pairs has key, x and y.
 
@@ -168,9 +187,16 @@ def set_groups(once: DataFrame, docs: DataFrame, *, text: str, width: int) -> Da
         return found.where("low <> high").select("key", F.col("c.x").alias("y"), F.col("c.root").alias("centre"))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) whose whole sets, made again from the texts, are similar enough."""
-        nodes = materialise(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct(), "shingle-several")
-        hashes = materialise(once.join(broadcast_if_few(nodes), "class").select(F.col("h").alias("_h_")), "shingle-texts")
+        """Those of the pairs (u, v) whose whole sets, made again from the texts, are similar enough. Sketches are compared first."""
+
+        def ends() -> DataFrame:
+            return broadcast_if_few(materialise(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct(), "shingle-several"))
+
+        sketched = materialise(once.where(F.size("sketch") > 0).join(ends(), "class").select("class", "n", "sketch"), "shingle-sketches")
+        left, right = (sketched.select(F.col("class").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s")) for c in "uv")
+        small = F.col("us").isNull() | F.col("vs").isNull()
+        pairs = materialise(pairs.join(left, "u", "left").join(right, "v", "left").where(small | _sketches_near()).select("u", "v"), "shingle-near")
+        hashes = materialise(once.join(ends(), "class").select(F.col("h").alias("_h_")), "shingle-texts")
         texts = docs.join(broadcast_if_few(hashes), F.xxhash64(text) == F.col("_h_"), "left_semi")
         known = materialise(shingle_sets(texts, text=text, width=width).dropDuplicates(["class"]), "shingle-sets")
         left, right = (known.select(F.col("class").alias(c), F.col("shingles").alias(f"{c}s")) for c in "uv")
@@ -194,13 +220,23 @@ def set_groups(once: DataFrame, docs: DataFrame, *, text: str, width: int) -> Da
         if after is None:
             break
         groups = after
-    current = rooted()
-    mixed = materialise(current.join(centred(current, ROUNDS).select("key", "centre"), "key"), "shingle-mixed")
+
+    def mixed_keys(which: str) -> DataFrame:
+        current = rooted().where(which)
+        root = F.struct(F.xxhash64(F.lit(ROUNDS), "x.class").alias("drawn"), "root")
+        several = current.groupBy("key").agg(F.max(root)["root"].alias("centre"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        return current.join(several.select("key", "centre").hint("merge"), "key")
+
+    # sets of a key are moved once, to where they meet; only those of a key that is split are moved again
+    met = mixed_keys(f"members <= {SPLIT}").select("key", "x", "root", "centre")
+    here = met.where("root <> centre").select("key", F.col("x").alias("y"), F.col("root").alias("other")).hint("merge").join(met, "key")
+    mixed = materialise(mixed_keys(f"members > {SPLIT}"), "shingle-mixed")
     parts = F.ceil(F.col("members") / SPLIT)
     apart = mixed.where("root <> centre").select("key", F.col("x").alias("y"), F.col("root").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     parted = mixed.select("key", "x", "root", "centre", F.pmod(F.col("x.class"), parts).alias("part"))
     # of two that are both apart, each is met by the other, so one of the two ways is taken
-    after = joined_by(apart.join(parted, ["key", "part"]).where("root = centre OR other < root"), whole=True)
+    pairs = apart.join(parted, ["key", "part"]).select(*here.columns).unionByName(here).where("root = centre OR other < root")
+    after = joined_by(pairs, whole=True)
     return groups if after is None else after
 
 

@@ -126,12 +126,17 @@ def block_keys(fp: Column, blocks: int = BLOCKS) -> Column:
 def fingerprint_groups(classes: DataFrame) -> DataFrame:
     """(node, root) over distinct fingerprints; classes has fp and n (its documents). Roots themselves are left out."""
     tables = [f"t{k}" for k in range(PIVOTS // 7)]
-    known = classes.select("fp", "n", *(t.alias(name) for t, name in zip(pivot_table(F.col("fp")), tables, strict=True)))
-    spread = known.select(F.explode(block_keys(F.col("fp"), blocks_for(classes.count()))).alias("key"), "fp", "n", *tables)
-    heaviest = spread.groupBy("key").agg(F.max(F.struct("n", "fp", *tables)).alias("c"), F.count("*").alias("members")).where("members > 1")
+    spread = classes.select(F.explode(block_keys(F.col("fp"), blocks_for(classes.count()))).alias("key"), "fp", "n")
+    heaviest = spread.groupBy("key").agg(F.max(F.struct("n", "fp")).alias("c"), F.count("*").alias("members")).where("members > 1")
+
+    def tabled(fp: str) -> Column:
+        return F.struct(F.col(fp).alias("fp"), *(t.alias(name) for t, name in zip(pivot_table(F.col(fp)), tables, strict=True)))
+
+    # tables follow from fingerprints, so they are made only where keys are shared, not moved with all keys
     # sizes are estimated from the few bytes of a fingerprint, not from its many keys, so that Spark would broadcast all keys from the driver
     members = materialise(
-        spread.drop("n").join(heaviest.select("key", "c").hint("merge"), "key").where("fp <> c.fp").select("key", F.struct("fp", *tables).alias("x"), "c"), "simhash-keys"
+        spread.drop("n").join(heaviest.select("key", "c.fp").withColumnRenamed("fp", "heaviest").hint("merge"), "key").where("fp <> heaviest").select("key", tabled("fp").alias("x"), tabled("heaviest").alias("c")),
+        "simhash-keys",
     )
     stars = components(members.where(linked("x", "c")).select(F.col("c.fp").alias("u"), F.col("x.fp").alias("v")), "simhash-stars")
     rooted = members.join(stars.select(F.col("node").alias("xn"), F.col("root").alias("xr")).hint("merge"), F.col("x.fp") == F.col("xn"), "left")

@@ -90,3 +90,44 @@ def test_large_group_of_falling_similarity(spark, monkeypatch):
     found = shingles.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), width=5).collect()
     assert {r.doc_id: r.component_id for r in found} == expected
     assert 100 < len(set(expected.values())) < 1900
+
+
+def test_sketches_spare_whole_sets(spark, monkeypatch):
+    """Long texts of which a half or more is common are told apart by sketches; whole sets are made only of the two that are nearly similar enough and of near copies."""
+    dice = random.Random(4)
+    passage = [f"p{k}" for k in range(2400)]
+    own = lambda n: [f"w{dice.randrange(10**6)}" for _ in range(n)]
+    texts = [" ".join(passage + own(1600)) for _ in range(10)]
+    first = own(5000)
+    texts += [" ".join(first[: 5000 - n] + own(n)) for n in (0, 100, 500, 560, 3000)]
+    texts += [" ".join(texts[0].split()[:3900] + own(200))]  # sketches of different sizes, links by whole sets
+    texts, made, write = dict(enumerate(texts)), [], shingles.materialise
+
+    def written(df, label, *more):
+        done = write(df, label, *more)
+        if label == "shingle-sets":
+            made.append(done.count())
+        return done
+
+    monkeypatch.setattr(shingles, "materialise", written)
+    monkeypatch.setattr(shingles, "COMMON", 0)  # else the passage comes last and brings no pairs together
+    found = shingles.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2), width=5).collect()
+    expected = grouped(texts)
+    assert {r.doc_id: r.component_id for r in found} == expected and expected[15] == 0 and len(set(expected.values())) == 13
+    assert made and sum(made) <= 8
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_in_shingles(spark):
+    dice = random.Random(6)
+    words = [f"w{k}" for k in range(1300)]
+    sets = []
+    for _ in range(16):
+        kept = words[: dice.choice([1000, 1020, 1100, 1200])]
+        for at in dice.sample(range(len(kept)), dice.choice([0, 20, 60, 200])):
+            kept[at] = f"x{dice.randrange(10**6)}"
+        sets.append(shingles.shingles(" ".join(kept), 5))
+    pairs = [(a, b) for a, b in combinations(sets, 2) if min(len(a), len(b)) * 5 >= max(len(a), len(b)) * 4]
+    assert {len(shingles.sketch(s)) for s in sets} == {16, 32}
+    rows = [(len(a), len(b), shingles.sketch(a).tolist(), shingles.sketch(b).tolist(), 9 * len(set(a.tolist()) & set(b.tolist())) >= 4 * (len(a) + len(b))) for a, b in pairs]
+    told = spark.createDataFrame(rows, "un int, vn int, us array<long>, vs array<long>, similar boolean").withColumn("near", shingles._sketches_near()).collect()
+    assert all(r.near for r in told if r.similar) and any(r.similar and len(r.us) != len(r.vs) for r in told) and any(not r.near for r in told)
