@@ -119,9 +119,17 @@ def session_start(sessions: DataFrame, *, most: int = 10) -> DataFrame:
 # --- reference graph and file plans -----------------------------------------------------------------------------------
 
 
+#: Hits that a task may get on average; of more than so many for each of Spark's shuffle partitions, more partitions are made.
+TASK_ROWS = 500_000
+
+
 def store_refs(stored: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
     """Insert or ignore of hits or edges; of several hits of one key the least row counts, whatever order they come in."""
     others = [c for c in stored.columns if c not in keys]
+    # a task holds the tables and the sorted rows of both sides at once, so its share mustn't grow with the hits
+    parts = -(-hits.count() // TASK_ROWS)
+    if parts > int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        hits = hits.repartition(parts, *keys)
     once = hits.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row_")).select(*keys, "_row_.*") if others else hits.select(*keys).distinct()
     return stored.unionByName(once.join(stored.select(*keys), keys, "left_anti").select(*stored.columns))
 

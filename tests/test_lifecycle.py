@@ -76,3 +76,17 @@ def test_types_of_fields(spark):
     frame = spark.createDataFrame(rows, "j string, want string").select("j", "want", records.schema_problems(F.col("j"), kinds).alias("found"))
     for r in frame.collect():
         assert {x[0] for x in r.found} == set(r.want), r.j
+
+
+def test_a_tasks_share_of_hits_is_bounded(spark, monkeypatch):
+    """Hits beyond TASK_ROWS for each of the four shuffle partitions are dealt over more, with the same rows; a null key is nobody's."""
+    monkeypatch.setattr(records, "TASK_ROWS", 20, raising=False)
+    hits = spark.createDataFrame([(k % 200, f"v{k}") for k in range(400)] + [(None, "n")], "k int, v string")
+    once = records.store_refs(hits.limit(0), hits, ["k"])
+    assert once.select(F.spark_partition_id()).distinct().count() > 4
+    least = [(k, min(f"v{k}", f"v{k + 200}")) for k in range(200)]
+    assert sorted(tuple(r) for r in once.collect() if r.k is not None) == least and once.count() == 201
+    again = records.store_refs(once, hits, ["k"])
+    assert sorted(tuple(r) for r in again.collect() if r.k is not None) == least and again.count() == 202
+    edges = hits.select("k")
+    assert records.store_refs(records.store_refs(edges.limit(0), edges, ["k"]), edges.dropna(), ["k"]).count() == 201
