@@ -23,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewright.llm.common import give_back
 from lakewright.llm.pretokens import TextEncoder
 
-#: Bytes of a worker's memory of pre-tokens.
-MEMORY_BYTES = 72 << 20
+#: Bytes of a worker's memory of pre-tokens, and documents that it takes at a time.
+MEMORY_BYTES, PART_DOCS = 32 << 20, 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -157,13 +158,14 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*shared.value)
-        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+        for batch in (whole.slice(at, PART_DOCS) for whole in batches for at in range(0, whole.num_rows, PART_DOCS)):
             rows = []
             for x in codec.encode(batch.column(1)):
                 back = codec.decode(x)
                 rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(back).hexdigest(), x if ids else None, back.decode() if decoded else None))
             out = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True))]
             yield pa.RecordBatch.from_arrays(out, [key, *_NAMES]).select([key, *names])
+            give_back()
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids, *["decoded"] * decoded]
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, columns)

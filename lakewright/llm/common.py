@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -75,6 +76,12 @@ def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS, *, size: Column
     return F.broadcast(df) if found.n <= rows and found.bytes <= BROADCAST_BYTES else df
 
 
+def give_back() -> None:
+    """Returns to the system what a worker has freed; the C library else keeps what numpy's arrays took. Nothing where it can't."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class Recent:
     """A bounded memory of computed values in two generations: when the younger is full it becomes the older, and
     what is asked for again moves to the younger. Keys longer than `longest` aren't kept, so its size in bytes is

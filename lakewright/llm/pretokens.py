@@ -20,7 +20,7 @@ import regex
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 UNUSUAL = "[^\\t\\n\\r -~À-ÖØ-öø-ÿ–—‘-‟…]"
 #: Bytes of texts that are cut together, bytes of a worker's memory of pre-tokens, and the longest that it keeps.
-PART_BYTES, MEMORY_BYTES, LONGEST = 6 << 20, 144 << 20, 64
+PART_BYTES, MEMORY_BYTES, LONGEST = 1 << 20, 144 << 20, 64
 #: What an entry takes beside its key and value: two objects' heads and its share of the table.
 ENTRY_BYTES = 160
 

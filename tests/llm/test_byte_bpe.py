@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import tiktoken
@@ -50,3 +51,15 @@ def test_table(spark):
         assert row.decoded == text and row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert row.n_tokens == len(reference().encode_ordinary(text)) and row.ids_sha256 == hashlib.sha256(row.ids).hexdigest()
     assert byte_bpe.encode_documents(docs.limit(0), RANKS, PATTERN).count() == 0
+
+
+def test_many_short_texts_take_little_at_a_time():
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(1, 4))) for _ in range(2000)]
+    texts = [" ".join(r.choices(words, k=700)) for _ in range(2500)]
+    codec = byte_bpe.Codec(byte_bpe.PerfectHash(byte_bpe.read_ranks(RANKS)), PATTERN)
+    tracemalloc.start()
+    n = sum(map(len, codec.encode(texts)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n and most < 64 << 20
