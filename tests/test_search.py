@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from lakewright.operators import records, search
 from pyspark.sql import functions as F
@@ -173,3 +175,20 @@ def test_a_query_of_one_kind_indexes_that_kind_only(spark):
     assert set(part.state["totals"]) == {"part"}
     both = search.Index.together([part, retrieval.stored(spark, "/root/testdata/sf0.001", "region")])
     assert {r.entity for r in search.search(both, "asia OR cold", limit=10_000).collect()} == {"part", "region"}
+
+
+def test_packed_blocks_give_their_postings_back():
+    ids, lengths = pa.array(["a#1", "é", None, "", "b"]), pa.array([5, 4, 3, 2, 9], pa.int32())
+    counts, positions, starts = np.array([2, 1, 0, 3, 1]), np.array([0, 4, 2, 5, 6, 7, 8]), np.array([0, 1, 4])
+    keys = [pa.array(list("xxx")), pa.array(["f", None, "f"]), pa.array(["t", "", "u"])]
+    block = pa.RecordBatch.from_arrays([*keys, *search._packed(ids, lengths, counts, positions, starts)], search._NAMES)
+    want = [("x", "a#1", "f", "t", [0, 4], 5), ("x", "é", None, "", [2], 4), ("x", None, None, "", [], 3), ("x", "", None, "", [5, 6, 7], 2), ("x", "b", "f", "u", [8], 9)]
+    for batches in ([block], [block.slice(0, 1), block.slice(1), block.slice(0, 0)]):
+        assert [tuple(r.values()) for got in search._unpacked(iter(batches)) for r in got.to_pylist()] == want
+
+
+def test_texts_are_cut_once_and_blocks_hold_no_arrays(spark):
+    rows = spark.createDataFrame([(1, "a b")], "id int, body string")
+    plan = search._rows(search._wide([(rows, "note", "id", ["body"])]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert "array" not in search._BLOCK
