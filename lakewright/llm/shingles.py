@@ -175,7 +175,7 @@ def set_groups(once: DataFrame, docs: DataFrame, *, text: str, width: int) -> Da
     keyed = once.select(F.posexplode("prefix").alias("at", "key"), "class").withColumn("members", F.count("*").over(Window.partitionBy("key")))
     shared = keyed.where("members > 1").join(once.select("class", "n", *(F.get("bits", F.lit(k)).alias(b) for k, b in enumerate(_BITMAP))), "class")
     members = materialise(shared.select("key", "members", F.struct("class", "n", "at", *_BITMAP).alias("x")), "shingle-keys")
-    groups = components(members.select(F.col("x.class").alias("u"), F.col("x.class").alias("v")).limit(0), "shingle-groups")
+    groups = members.select(F.col("x.class").alias("node"), F.col("x.class").alias("root")).limit(0)
 
     def rooted() -> DataFrame:
         joined = members.join(broadcast_if_few(groups), F.col("x.class") == F.col("node"), "left")
