@@ -138,18 +138,14 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """
     WITH n AS (SELECT q.vec_id AS qid, e.label = q.label AS good,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS place
-      FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),
-    k AS (SELECT qid, count(*) FILTER (place <= 5 AND good) / 5 AS p, coalesce(1.0 / min(CASE WHEN good THEN place END), 0) AS r FROM n WHERE place <= 20 GROUP BY qid)
+      FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id),
+    k AS (SELECT qid, count(*) FILTER (place <= 5 AND good) / 5 AS p, coalesce(1.0 / min(CASE WHEN good THEN place END), 0) AS r FROM n GROUP BY qid)
     SELECT round(avg(p), 6) AS precision_at_k, round(avg(r), 6) AS mrr FROM k
     """
 )
 def precision_mrr(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
-    near = vector.batch_knn(rows.where("vec_id % 20 = 0"), rows, k=20)
-    labels = rows.select("vec_id", "label")
-    own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
-    judged = near.join(labels, "vec_id").join(own, "query_id").withColumn("good", F.col("label") == F.col("wanted"))
-    return T.retrieval_metrics(judged, query="query_id", place="place", relevant="good", k=5)
+    places = vector.relevant_places(table(spark, folder, "embeddings", "vec_id", "embedding", "label"), k=5)
+    return T.retrieval_metrics(places, query="query_id", place="place", relevant="good", k=5)
 
 
 @register("SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages")

@@ -193,3 +193,44 @@ def test_scores_of_many_queries_are_held_in_parts():
         scores = np.round(unit[:2048] @ unit[q], 6)
         want = [r for r in np.lexsort((ids[:2048], -scores)) if r != q][:3]
         assert found[found.query_id == q].row_id.tolist() == want
+
+
+def test_precision_of_all_queries_by_whole_rankings(spark, tmp_path, monkeypatch):
+    """precision_mrr counts every row as a query, and a first relevant row wherever it stands, as its SQL does."""
+    import random
+
+    import duckdb
+
+    from lakewright.plans.catalogue import ORACLES, QUERIES
+
+    monkeypatch.setattr(vector, "BLOCK_BYTES", 4 * 8 * 60)  # several blocks and tiles
+    monkeypatch.setattr(vector, "TILE_ROWS", 16)
+    monkeypatch.setattr(vector, "TILE_QUERIES", 7)
+    dice = random.Random(3)
+    rows = [(i, [dice.gauss(0, 1) for _ in range(8)], dice.choice([0, 0, 0, 1, i])) for i in range(1, 220) if i % 20]
+    rows += [(300 + i, [1.0] + [0.0] * 7, i % 3) for i in range(40)]  # ties
+    rows += [(401, [0.0] * 8, 0), (402, None, 0), (403, [1.0] * 8, None), (404, None, None), (405, None, 2), (406, [-1.0] * 8, 7000), (407, [float(j) for j in range(8)], 7000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert list(QUERIES["precision_mrr"](spark, str(tmp_path)).collect()) == duck.execute(ORACLES["precision_mrr"]).fetchall()
+    places = vector.relevant_places(spark.read.parquet(str(tmp_path / "embeddings.parquet")), k=5).collect()
+    assert {r.query_id for r in places} == {r[0] for r in rows} and max(r.place for r in places if r.good) > 20
+    ranked = """SELECT q.vec_id, coalesce(e.label = q.label, false) AS good, row_number() OVER (PARTITION BY q.vec_id
+        ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS place FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id"""
+    wanted = duck.execute(f"WITH n AS ({ranked}) SELECT vec_id, place, good FROM n QUALIFY place <= 5 OR good AND place = min(place) FILTER (good) OVER (PARTITION BY vec_id)").fetchall()
+    assert sorted(map(tuple, places)) == sorted(wanted)
+    assert vector.relevant_places(spark.createDataFrame(rows[:1], "vec_id long, embedding array<float>, label int"), k=5).count() == 0
+    with pytest.raises(ValueError, match="one length"):
+        vector.relevant_places(spark.createDataFrame([(1, [1.0], 0), (2, [1.0, 2.0], 0)], "vec_id long, embedding array<float>, label int"), k=5)
+
+
+def test_precision_by_hand(spark, tmp_path):
+    """Of 30 vectors in a row only the first and the last, 29th of each other's neighbours, are of one group."""
+    import math
+
+    from lakewright.plans.catalogue import QUERIES
+
+    rows = [(i, [math.cos(i / 50), math.sin(i / 50)], 0 if i in (1, 30) else i) for i in range(1, 31)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["precision_mrr"](spark, str(tmp_path)).collect() == [(0.0, round(2 / 29 / 30, 6))]
